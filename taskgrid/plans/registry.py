@@ -186,3 +186,105 @@ def _launch_subset(s, d):
     t = tasks(s, d)
     pre = q.needs_work_preview(t).filter("needs_work_count > 0").select("list_name")
     return q.launch_subset(t, selected=pre)
+
+
+# -- comparator -----------------------------------------------------------------
+from taskgrid.operators import compare as c  # noqa: E402
+
+LAYOUT = ("list_name", "ali", "address", "city", "zip", "polygon_status")
+CMP_CTE = (", d1 AS (SELECT " + ", ".join(LAYOUT) + " FROM v1), d2 AS (SELECT "
+           + ", ".join(LAYOUT) + " FROM v2)")
+
+
+def WV(body: str) -> str:
+    return fx.with_ctes(CMP_CTE + "\n" + body, fx.V_SQL)
+
+
+def v1(s, d):
+    return fx.v1(s, d)
+
+
+def v2(s, d):
+    return fx.v2(s, d)
+
+
+def _exists(a: str, b: str, key: str, neg: bool = False) -> str:
+    return (f"{'NOT ' if neg else ''}EXISTS (SELECT 1 FROM {b} WHERE {b}.{key} "
+            f"IS NOT DISTINCT FROM {a}.{key})")
+
+
+def _unmatched_cte(key: str) -> str:
+    return (f", u AS (SELECT *, 'File 1' AS source FROM d1 WHERE {_exists('d1', 'd2', key, True)} "
+            f"UNION ALL SELECT *, 'File 2' AS source FROM d2 WHERE {_exists('d2', 'd1', key, True)})")
+
+
+def _conflicts_sql(key: str, check: str) -> str:
+    others = [x for x in LAYOUT if x != key]
+    order = ", ".join(f"{x} NULLS FIRST" for x in others)
+    strings = {"list_name", "address", "city", "zip", "polygon_status"}
+
+    def side(t: str, suf: str) -> str:
+        return ", ".join(
+            (f"coalesce({t}.{x}, '')" if x in strings else f"{t}.{x}") + f" AS {x}{suf}" for x in others)
+
+    firsts = ", ".join(
+        f"{f} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn "
+        f"FROM {d} WHERE {key} IS NOT NULL) WHERE rn = 1)" for f, d in (("f1", "d1"), ("f2", "d2")))
+    return WV(f", {firsts}\nSELECT f1.{key}, {side('f1', '_file1')}, {side('f2', '_file2')} "
+              f"FROM f1 JOIN f2 ON f1.{key} = f2.{key} "
+              f"WHERE coalesce(CAST(f1.{check} AS VARCHAR), '') <> coalesce(CAST(f2.{check} AS VARCHAR), '')")
+
+
+for _key, _check, _suffix in (("ali", "address", "ali"), ("address", "ali", "address")):
+    register(f"matched_by_{_suffix}", WV(f"SELECT * FROM d1 WHERE {_exists('d1', 'd2', _key)}"))(
+        lambda s, d, k=_key: c.matched(v1(s, d), v2(s, d), k))
+    register(f"only_in_one_by_{_suffix}", WV(
+        _unmatched_cte(_key) + "\nSELECT *, CASE WHEN count(*) OVER (PARTITION BY "
+        f"{_key}) > 1 THEN '⚠️ Yes' ELSE 'No' END AS duplicate FROM u"))(
+        lambda s, d, k=_key: c.only_in_one(v1(s, d), v2(s, d), k))
+    register("unmatched_duplicate_count" + ("" if _key == "ali" else "_by_address"), WV(
+        _unmatched_cte(_key) + f"\nSELECT count(*) - count(DISTINCT {_key}) - CASE WHEN count(*) > "
+        f"count({_key}) THEN 1 ELSE 0 END AS unmatched_duplicate_count FROM u"))(
+        lambda s, d, k=_key: c.unmatched_duplicate_count(v1(s, d), v2(s, d), k))
+    register(f"conflicts_by_{_suffix}", _conflicts_sql(_key, _check))(
+        lambda s, d, k=_key, ch=_check: c.conflicts(v1(s, d), v2(s, d), k, ch))
+
+_OLD = ", ".join(f"o.{x} AS {x}_old" for x in LAYOUT if x != "address")
+_NEW = ", ".join(f"n.{x} AS {x}_new" for x in LAYOUT if x != "address")
+_PAIR_COLS = ("o.list_name AS list_name_old, o.ali AS ali_old, {addr} AS address, o.city AS city_old, "
+              "o.zip AS zip_old, o.polygon_status AS polygon_status_old, " + _NEW)
+PAIRS_CTE = (", p AS (SELECT " + _PAIR_COLS.format(addr="o.address") +
+             " FROM d1 o JOIN d2 n ON o.address IS NOT DISTINCT FROM n.address)")
+BUCKETS_SQL = {
+    "changed_lost": "coalesce(ali_old <> ali_new, true) AND polygon_status_old IS NOT NULL AND polygon_status_new IS NULL",
+    "changed_never": "coalesce(ali_old <> ali_new, true) AND polygon_status_old IS NULL AND polygon_status_new IS NULL",
+    "lost_only": "coalesce(ali_old = ali_new, false) AND polygon_status_old IS NOT NULL AND polygon_status_new IS NULL",
+    "clean": "coalesce(ali_old = ali_new, false) AND coalesce(polygon_status_old = polygon_status_new, false)",
+}
+MIGRATION_CTE = (
+    ", m AS (SELECT " + _PAIR_COLS.format(addr="CASE WHEN o._in IS NULL THEN n.address ELSE o.address END")
+    + ", CASE WHEN o._in IS NULL THEN 'right_only' WHEN n._in IS NULL THEN 'left_only' ELSE 'both' END AS side "
+    "FROM (SELECT *, TRUE AS _in FROM d1) o FULL JOIN (SELECT *, TRUE AS _in FROM d2) n "
+    "ON o.address IS NOT DISTINCT FROM n.address)")
+
+register("migration_join", WV(MIGRATION_CTE + "\nSELECT * FROM m"))(
+    lambda s, d: c.migration_join(v1(s, d), v2(s, d)))
+register("migration_only_old", WV(f"SELECT * FROM d1 WHERE {_exists('d1', 'd2', 'address', True)}"))(
+    lambda s, d: c.migration_only_old(v1(s, d), v2(s, d)))
+register("migration_only_new", WV(f"SELECT * FROM d2 WHERE {_exists('d2', 'd1', 'address', True)}"))(
+    lambda s, d: c.migration_only_new(v1(s, d), v2(s, d)))
+for _key, _bucket in (("migration_changed_status_lost", "changed_lost"),
+                      ("migration_changed_never_marked", "changed_never"),
+                      ("migration_status_lost", "lost_only"),
+                      ("migration_clean", "clean")):
+    register(_key, WV(PAIRS_CTE + f"\nSELECT * FROM p WHERE {BUCKETS_SQL[_bucket]}"))(
+        lambda s, d, b=_bucket: c.migration_bucket(v1(s, d), v2(s, d), b))
+
+_CASE = ("CASE WHEN side = 'left_only' THEN 'only_old' WHEN side = 'right_only' THEN 'only_new' "
+         + " ".join(f"WHEN {cond} THEN '{b}'" for b, cond in BUCKETS_SQL.items()) + " ELSE 'other' END")
+register("migration_summary", WV(
+    MIGRATION_CTE + f", x AS (SELECT {_CASE} AS bk FROM m)\n"
+    "SELECT b.bucket, count(x.bk) AS row_count FROM (VALUES ('only_old'), ('only_new'), ('changed_lost'), "
+    "('changed_never'), ('lost_only'), ('clean'), ('other')) AS b(bucket) "
+    "LEFT JOIN x ON x.bk = b.bucket GROUP BY b.bucket"))(
+    lambda s, d: c.migration_summary(v1(s, d), v2(s, d)))
