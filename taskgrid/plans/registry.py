@@ -288,3 +288,148 @@ register("migration_summary", WV(
     "('changed_never'), ('lost_only'), ('clean'), ('other')) AS b(bucket) "
     "LEFT JOIN x ON x.bk = b.bucket GROUP BY b.bucket"))(
     lambda s, d: c.migration_summary(v1(s, d), v2(s, d)))
+
+
+# -- launcher -------------------------------------------------------------------
+from taskgrid.operators import assign as a  # noqa: E402
+
+TASK_COLS = ("category", "list_id", "list_name", "ali", "polygon_status", "store_name", "address",
+             "city", "state", "zip", "geo_accuracy", "construction_flag", "parent_ali", "latitude",
+             "longitude", "batch")
+SEED = 0
+H_SQL = ("md5(concat_ws('|', '" + str(SEED) + "', "
+         + ", ".join(f"coalesce(CAST({x} AS VARCHAR), '\\N')" for x in TASK_COLS) + "))")
+NAMES = fx.ANALYSTS
+N = len(NAMES)
+WP = lambda body: fx.with_ctes(body, fx.PLAN_SQL, fx.SPLIT_PLAN_SQL)
+WB = lambda body: fx.with_ctes(body, fx.BAD_PLAN_SQL)
+IN_NAMES = "(SELECT analyst FROM analysts)"
+
+SPLIT_ROWS_SQL = (
+    ", sr AS (SELECT list_name FROM plan WHERE target = 'Split'),\n"
+    f"ranked AS (SELECT t.*, row_number() OVER (PARTITION BY list_name ORDER BY {H_SQL}) - 1 AS rk "
+    "FROM tasks t WHERE list_name IN (SELECT list_name FROM sr)),\n"
+    "sl AS (SELECT sp.list_name, sp.analyst, sp.n, sum(sp.n) OVER (PARTITION BY sp.list_name "
+    "ORDER BY a.position ROWS UNBOUNDED PRECEDING) AS hi FROM split_plan sp JOIN analysts a USING (analyst)),\n"
+    "split_rows AS (SELECT r.* EXCLUDE (rk), sl.analyst FROM ranked r JOIN sl "
+    "ON r.list_name = sl.list_name AND r.rk >= sl.hi - sl.n AND r.rk < sl.hi),\n"
+    f"whole_rows AS (SELECT t.*, p.target AS analyst FROM tasks t JOIN plan p ON t.list_name = p.list_name "
+    f"WHERE p.target IN {IN_NAMES}),\n"
+    "assigned AS (SELECT * FROM whole_rows UNION ALL SELECT * FROM split_rows)")
+
+
+def _plan_inputs(s, d):
+    t = tasks(s, d)
+    return t, fx.plan(s, t), fx.split_plan(s, t)
+
+
+def _applied(s, d):
+    t, p, sp = _plan_inputs(s, d)
+    return t, a.apply_plan(t, NAMES, p, sp, seed=SEED)
+
+
+register("retailer_mode", W(
+    "SELECT CASE WHEN count(DISTINCT list_name) = 1 THEN 'single' ELSE 'multi' END AS mode, "
+    "count(DISTINCT list_name) AS retailers FROM tasks"))(
+    lambda s, d: a.retailer_mode(tasks(s, d)))
+register("split_target", W(
+    f"SELECT count(*) AS total, {N} AS analysts, count(*) // {N} AS target, count(*) % {N} AS remainder "
+    "FROM tasks"))(lambda s, d: a.split_target(tasks(s, d), N))
+register("equal_split", fx.with_ctes(
+    f", ranked AS (SELECT t.*, row_number() OVER (ORDER BY {H_SQL}) - 1 AS rk FROM tasks t),\n"
+    f"c AS (SELECT count(*) // {N} AS tg, count(*) % {N} AS rem FROM tasks),\n"
+    "sl AS (SELECT a.analyst, CASE WHEN a.position = 0 THEN 0 ELSE c.rem + a.position * c.tg END AS lo, "
+    "c.rem + (a.position + 1) * c.tg AS hi FROM analysts a, c)\n"
+    "SELECT r.* EXCLUDE (rk), sl.analyst FROM ranked r JOIN sl ON r.rk >= sl.lo AND r.rk < sl.hi",
+    fx.ANALYSTS_SQL))(lambda s, d: a.equal_split(tasks(s, d), NAMES, seed=SEED))
+
+
+@register("fixed_count_split", WP(SPLIT_ROWS_SQL + "\nSELECT * FROM split_rows"))
+def _fixed_count_split(s, d):
+    t, p, sp = _plan_inputs(s, d)
+    return a.split_by_counts(t, sp, NAMES, seed=SEED)
+
+
+register("apply_plan", WP(SPLIT_ROWS_SQL + "\nSELECT * FROM assigned"))(
+    lambda s, d: _applied(s, d)[1])
+
+
+@register("unassigned_count", WP(
+    ", assigned AS (SELECT t.ali FROM tasks t JOIN plan p ON t.list_name = p.list_name "
+    f"WHERE p.target IN {IN_NAMES} OR p.target = 'Split')\n"
+    "SELECT count(*) AS unassigned_count FROM (SELECT ali FROM tasks EXCEPT SELECT ali FROM assigned)"))
+def _unassigned(s, d):
+    t, asg = _applied(s, d)
+    return a.unassigned_count(t, asg)
+
+
+@register("assignment_summary", WP(
+    ", per AS (SELECT analyst, sum(v) AS tasks_assigned, "
+    "string_agg(DISTINCT list_name, ', ' ORDER BY list_name) AS assigned_retailers FROM ("
+    f"SELECT p.target AS analyst, r.list_name, r.cnt AS v FROM retailers r JOIN plan p USING (list_name) "
+    f"WHERE p.target IN {IN_NAMES} "
+    "UNION ALL SELECT sp.analyst, sp.list_name, sp.n FROM split_plan sp WHERE sp.n > 0) GROUP BY analyst),\n"
+    "body AS (SELECT a.position, a.analyst, CAST(coalesce(per.tasks_assigned, 0) AS BIGINT) AS tasks_assigned, "
+    "coalesce(per.assigned_retailers, '') AS assigned_retailers FROM analysts a LEFT JOIN per USING (analyst)),\n"
+    "tot AS (SELECT sum(tasks_assigned) AS t FROM body)\n"
+    f"SELECT analyst, tasks_assigned, CAST(coalesce({pct_sql('tasks_assigned', 't')}, 0.0) AS VARCHAR) || '%' "
+    "AS percentage, assigned_retailers FROM body, tot "
+    "UNION ALL SELECT 'Total', CAST(t AS BIGINT), '100.0%', '' FROM tot"))
+def _summary(s, d):
+    return a.assignment_summary(_applied(s, d)[1], NAMES)
+
+
+SHEET_SQL = ("SELECT '' AS \"Date\", category AS \"Category\", list_id AS \"List ID\", list_name AS \"List Name\", "
+             "ali AS \"ALI\", '' AS \"Polygon Status\", store_name AS \"Store Name\", address AS \"Address\", "
+             "city AS \"City\", state AS \"State\", zip AS \"ZIP\", '' AS \"Source-1\", '' AS \"Source-2\", "
+             "'' AS \"Remark\", analyst FROM assigned")
+register("analyst_sheets", WP(SPLIT_ROWS_SQL + "\n" + SHEET_SQL))(
+    lambda s, d: a.analyst_sheets(_applied(s, d)[1]))
+
+ASSIGNED_COUNTS_SQL = (
+    ", got AS (SELECT analyst, sum(v) AS v FROM ("
+    f"SELECT p.target AS analyst, r.cnt AS v FROM retailers r JOIN plan p USING (list_name) WHERE p.target IN {IN_NAMES} "
+    "UNION ALL SELECT sp.analyst, sp.n FROM retailers r JOIN plan p USING (list_name) "
+    f"JOIN split_plan sp USING (list_name) WHERE p.target = 'Split' AND sp.analyst IN {IN_NAMES}) GROUP BY analyst),\n"
+    "ac AS (SELECT a.analyst, CAST(coalesce(got.v, 0) AS BIGINT) AS assigned FROM analysts a "
+    "LEFT JOIN got USING (analyst))")
+
+
+def _assigned_counts(s, d):
+    t, p, sp = _plan_inputs(s, d)
+    return t, a.assigned_counts(q.records_per_retailer(t), NAMES, p, sp)
+
+
+register("assigned_counts", WP(ASSIGNED_COUNTS_SQL + "\nSELECT * FROM ac"))(
+    lambda s, d: _assigned_counts(s, d)[1])
+
+
+@register("balance_status", WP(
+    ASSIGNED_COUNTS_SQL + f", tg AS (SELECT count(*) // {N} AS target FROM tasks)\n"
+    "SELECT ac.analyst, ac.assigned, tg.target, CASE WHEN tg.target <= 0 THEN 'neutral' "
+    "WHEN ac.assigned > tg.target THEN 'over' WHEN ac.assigned = tg.target THEN 'onTarget' "
+    "WHEN ac.assigned >= tg.target * 0.85::DOUBLE THEN 'near' ELSE 'filling' END AS status, "
+    "CASE WHEN tg.target > 0 THEN least(ac.assigned / tg.target * 100, 100.0) ELSE 0.0 END AS bar_pct "
+    "FROM ac, tg"))
+def _balance(s, d):
+    t, counts = _assigned_counts(s, d)
+    return a.balance_status(counts, a.split_target(t, N))
+
+
+@register("plan_problems", WB(
+    "SELECT 'unassigned_retailer' AS problem, r.list_name, CAST(NULL AS VARCHAR) AS analyst, "
+    "r.cnt AS expected, CAST(NULL AS BIGINT) AS actual FROM retailers r "
+    "WHERE r.list_name NOT IN (SELECT list_name FROM bad_plan WHERE target IS NOT NULL) "
+    "UNION ALL SELECT 'split_sum_mismatch', r.list_name, NULL, r.cnt, CAST(coalesce(s.actual, 0) AS BIGINT) "
+    "FROM retailers r JOIN bad_plan p ON p.list_name = r.list_name AND p.target = 'Split' "
+    "LEFT JOIN (SELECT list_name, sum(n) AS actual FROM bad_split_plan GROUP BY list_name) s "
+    "ON s.list_name = r.list_name WHERE coalesce(s.actual, 0) <> r.cnt "
+    "UNION ALL SELECT 'unknown_analyst', list_name, target, NULL, NULL FROM bad_plan "
+    f"WHERE target IS NOT NULL AND target <> 'Split' AND target NOT IN {IN_NAMES} "
+    "UNION ALL SELECT 'unknown_analyst', s.list_name, s.analyst, NULL, NULL FROM bad_split_plan s "
+    "WHERE s.list_name IN (SELECT list_name FROM bad_plan WHERE target = 'Split') "
+    f"AND s.analyst NOT IN {IN_NAMES}"))
+def _plan_problems(s, d):
+    t = tasks(s, d)
+    bp, bsp = fx.bad_plan(s, t)
+    return a.plan_problems(q.records_per_retailer(t), NAMES, bp, bsp)
