@@ -433,3 +433,99 @@ def _plan_problems(s, d):
     t = tasks(s, d)
     bp, bsp = fx.bad_plan(s, t)
     return a.plan_problems(q.records_per_retailer(t), NAMES, bp, bsp)
+
+
+# -- sources, sinks, views ------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from taskgrid.config import NA_TOKENS  # noqa: E402
+from taskgrid.operators import view  # noqa: E402
+from taskgrid.session import scratch_path  # noqa: E402
+from taskgrid.sinks import writers  # noqa: E402
+from taskgrid.sources import files, schema  # noqa: E402
+
+STRING_COLS = ("category", "list_name", "polygon_status", "store_name", "address", "city", "state", "zip",
+               "geo_accuracy", "construction_flag", "batch")
+NA_SQL = "(" + ", ".join(f"'{t}'" for t in NA_TOKENS) + ")"
+
+
+def _na(c: str) -> str:
+    return f"CASE WHEN {c} IN {NA_SQL} THEN NULL ELSE {c} END AS {c}"
+
+
+def _roundtrip_cols(overrides: dict[str, str] | None = None) -> str:
+    overrides = overrides or {}
+    return ", ".join(overrides.get(c, _na(c) if c in STRING_COLS else c) for c in TASK_COLS)
+
+
+@register("read_tasks_csv", W(f"SELECT {_roundtrip_cols()} FROM tasks"))
+def _read_csv(s, d):
+    path = scratch_path(s, "tasks-csv")
+    writers.write_table(tasks(s, d), path, fmt="csv")
+    return files.read_tasks_csv(s, path)
+
+
+@register("union_sheets", W(
+    "SELECT " + _roundtrip_cols({"zip": f"CASE WHEN batch = 'A' THEN NULL WHEN zip IN {NA_SQL} THEN NULL "
+                                       "ELSE zip END AS zip"})
+    + ", CASE WHEN batch = 'N' THEN 'batch ' || batch END AS remark FROM tasks"))
+def _union_sheets(s, d):
+    t = tasks(s, d)
+    base = scratch_path(s, "sheets")
+    first = t.filter(F.col("batch") == "A").drop("zip")
+    second = t.filter(F.col("batch") == "N").withColumn("remark", F.concat(F.lit("batch "), F.col("batch")))
+    third = (t.filter(F.col("batch") == "R")
+              .withColumn("polygon_status", F.coalesce(
+                  F.col("polygon_status"), F.when(F.col("list_id") % 2 == 0, "N/A").otherwise("null")))
+              .select(*reversed(t.columns)))
+    paths = []
+    for i, sheet in enumerate((first, second, third)):
+        p = f"{base}/sheet{i + 1}"
+        writers.write_table(sheet, p, fmt="csv")
+        paths.append(p)
+    return files.union_sheets(s, paths)
+
+
+DISPLAY_SQL = ", ".join(
+    f'{c} AS "{schema.DEFAULT.display(c)}"' for c in TASK_COLS)
+register("rename_columns", W(f"SELECT {DISPLAY_SQL} FROM tasks"))(
+    lambda s, d: schema.to_display(tasks(s, d)))
+
+_CHECK_ROWS = ([(c, "upload") for c in schema.DEFAULT.required]
+               + [(c, "analyser") for c in ("geo_accuracy", "parent_ali")])
+_LAYOUT_SET = set(LAYOUT)
+register("input_check", W(
+    ", probe AS (SELECT count(*) > 0 AS has_rows FROM (SELECT 1 FROM tasks LIMIT 1))\n"
+    "SELECT v.column_name, v.required_by, v.present, probe.has_rows FROM (VALUES "
+    + ", ".join(f"('{c}', '{by}', {str(c in _LAYOUT_SET).lower()})" for c, by in _CHECK_ROWS)
+    + ") AS v(column_name, required_by, present), probe"))(
+    # checked on the comparison layout, which lacks most required columns
+    lambda s, d: schema.input_check(schema.available_columns(tasks(s, d))))
+register("available_columns", W("SELECT " + ", ".join(LAYOUT) + " FROM tasks"))(
+    lambda s, d: schema.available_columns(tasks(s, d)))
+
+
+@register("write_table", W("SELECT * FROM tasks"))
+def _write_table(s, d):
+    path = scratch_path(s, "table")
+    writers.write_table(tasks(s, d), path, fmt="parquet", display_names=True)
+    return schema.from_display(s.read.parquet(path))
+
+
+@register("write_assignments", WP(SPLIT_ROWS_SQL + "\n" + SHEET_SQL))
+def _write_assignments(s, d):
+    asg = _applied(s, d)[1]
+    path = scratch_path(s, "assignments")
+    writers.write_assignments(a.analyst_sheets(asg), a.assignment_summary(asg, NAMES), path)
+    return s.read.parquet(f"{path}/sheets")
+
+
+register("json_records", W(
+    "SELECT to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in TASK_COLS) + ")) AS record FROM tasks"))(
+    lambda s, d: writers.json_records(tasks(s, d)))
+register("page", W(
+    "SELECT * FROM tasks ORDER BY " + ", ".join(f"{c} NULLS FIRST" for c in TASK_COLS)
+    + " LIMIT 50 OFFSET 100"))(lambda s, d: view.page(tasks(s, d), 2))
+register("page_count", W(
+    "SELECT count(*) AS rows, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM tasks"))(
+    lambda s, d: view.page_count(tasks(s, d)))
