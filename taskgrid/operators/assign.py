@@ -117,32 +117,38 @@ def split_by_counts(df: DataFrame, split_plan, analysts: Sequence[str], seed: in
     names = _names(analysts)
     bound = _known_bound(split_plan) if _bound is None else _bound
     sp = split_frame(spark, split_plan, names)
-    if validate:
-        bad = sp.filter(~F.col("analyst").isin(names)).limit(20).collect()
-        if bad:
-            raise ValueError(f"split names analysts who are not listed: "
-                             f"{sorted({(r['list_name'], r['analyst']) for r in bad})}")
-    retailers = sp.select("list_name").distinct()
-    retailers = _bounded(retailers.withColumnRenamed("list_name", "_rn"), bound)
+    retailers = _bounded(sp.select(F.col("list_name").alias("_rn")).distinct(), bound)
     rows = df.join(retailers, F.col(cfg.list_name) == retailers["_rn"], "left_semi")
+    if validate:
+        _check_split(rows, sp, names, cfg)
     cols = df.columns
     x, bc = slicing.bucket_counts(rows, cfg.list_name, seed, digits)
     w = Window.partitionBy("list_name").orderBy("seq", "analyst").rowsBetween(Window.unboundedPreceding, 0)
     slices = (sp.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
                 .select(F.col("list_name").alias("_g"), "analyst", "lo", "hi"))
-    if validate:
-        bc = bc.persist()
-        have = bc.groupBy("_g").agg(F.sum("_n").alias("available"))
-        want = sp.groupBy(F.col("list_name").alias("_g")).agg(F.sum("n").alias("requested"))
-        off = (want.join(have, "_g", "left").na.fill(0, ["available"])
-                   .filter(F.col("requested") != F.col("available")).limit(20).collect())
-        if off:
-            r = off[0]
-            raise ValueError(f"Numbers do not add up. Requested {r['requested']} but retailer "
-                             f"{r['_g']!r} has {r['available']} ALIs.")
     return slicing.assign_ranges(x, bc, slices, cols, slice_bound=bound)
 
 
+def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConfig) -> None:
+    """One job: per split retailer, requested vs available rows and any
+    analyst who is not listed. Collects at most 20 offending retailers."""
+    have = rows.groupBy(F.col(cfg.list_name).alias("list_name")).agg(F.count(F.lit(1)).alias("available"))
+    want = sp.groupBy("list_name").agg(
+        F.sum("n").alias("requested"),
+        F.array_sort(F.collect_set(F.when(~F.col("analyst").isin(names), F.col("analyst")))).alias("unknown"))
+    bad = (want.join(have, "list_name", "left").na.fill(0, ["available"])
+               .filter((F.col("requested") != F.col("available")) | (F.size("unknown") > 0))
+               .orderBy("list_name").limit(20).collect())
+    for r in bad:
+        if r["unknown"]:
+            raise ValueError(f"split of retailer {r['list_name']!r} names analysts who are not "
+                             f"listed: {list(r['unknown'])}")
+    if bad:
+        r = bad[0]
+        raise ValueError(f"Numbers do not add up. Requested {r['requested']} but retailer "
+                         f"{r['list_name']!r} has {r['available']} ALIs.")
+
+
 def _bounded(df: DataFrame, bound: int | None) -> DataFrame:
     return slicing._maybe_broadcast(df, bound)
 
