@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, TimestampNTZType, TimestampType
 
 from taskgrid.config import DEFAULT, TaskConfig
 from taskgrid.sources.schema import to_display
@@ -45,7 +45,11 @@ def json_records(df: DataFrame, column: str = "record") -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = F.nanvl(c, F.lit(None).cast(f.dataType))
+        elif isinstance(f.dataType, (TimestampType, TimestampNTZType)):
+            # ISO-8601 with the fraction only when it is not zero
+            base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            frac = F.date_format(c, "SSSSSS")
+            c = F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac))
         cols.append(c.alias(f.name))
-    opts = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-            "dateFormat": "yyyy-MM-dd"}
+    opts = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"}
     return df.select(F.to_json(F.struct(*cols), opts).alias(column))
