@@ -339,3 +339,56 @@ def launch_summary(rows: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
         F.when(F.count_distinct(cfg.list_name) == 1, "single").otherwise("multi").alias("mode"),
         _n().alias("total_alis"),
         F.count_distinct(cfg.list_name).alias("retailers"))
+
+
+def coverage_by(df: DataFrame, keys: Sequence[str], cfg: TaskConfig = DEFAULT) -> DataFrame:
+    """A18 per group: the coverage counts for each value of ``keys``."""
+    flags = _flag_counts(cfg)
+    return df.groupBy(*keys).agg(
+        _n().alias("total"), *_coverage_counts(cfg),
+        *_named({k: flags[k] for k in ("mall_tenant", "multi_level", "construction")}))
+
+
+def retailer_profile(df: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
+    """Long-form per-retailer counts: one row per (retailer, flag label,
+    status label, parent present, needs work). Every per-retailer output
+    (A4, A5, A6, A12, A21) is a small aggregate of this table, so one scan
+    of the data serves all of them. Null retailers are dropped."""
+    return (df.filter(F.col(cfg.list_name).isNotNull())
+              .groupBy(F.col(cfg.list_name).alias(cfg.list_name),
+                       F.coalesce(F.col(cfg.construction_flag), F.lit(cfg.flag_normal)).alias("_flag"),
+                       F.coalesce(F.col(cfg.polygon_status), F.lit(cfg.flag_normal)).alias("_status"),
+                       F.col(cfg.parent_ali).isNotNull().alias("_parent"),
+                       needs_work_condition(cfg).alias("_needs"))
+              .agg(_n().alias("_c")))
+
+
+def from_profile(profile: DataFrame, cfg: TaskConfig = DEFAULT,
+                 flag_values: Sequence[str] | None = None,
+                 status_values: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """A4, A5, A6, A12, A21 computed from ``retailer_profile`` output."""
+    ln = cfg.list_name
+
+    def pivot(col: str, values) -> DataFrame:
+        if values is None:
+            values = sorted(r[0] for r in profile.select(col).distinct().collect())
+        values = list(values)
+        if TOTAL_LABEL in values or ln in values:
+            raise ValueError(f"a pivot value collides with an output column: {values}")
+        return profile.groupBy(ln).agg(
+            *[F.coalesce(F.sum(F.when(F.col(col) == v, F.col("_c"))), F.lit(0)).alias(v) for v in values],
+            F.sum("_c").alias(TOTAL_LABEL))
+
+    return {
+        "per_retailer": profile.groupBy(ln).agg(F.sum("_c").alias("record_count"))
+                               .orderBy(F.desc("record_count"), F.asc(ln)),
+        "construction_flag": pivot("_flag", flag_values),
+        "polygon_status": pivot("_status", status_values),
+        "parent_per_retailer": profile.groupBy(ln).agg(
+            F.sum(F.when(F.col("_parent"), F.col("_c")).otherwise(0)).alias("Connected"),
+            F.sum(F.when(~F.col("_parent"), F.col("_c")).otherwise(0)).alias("Unknown"),
+            F.sum("_c").alias(TOTAL_LABEL)),
+        "needs_work_preview": profile.groupBy(ln).agg(
+            F.sum(F.when(F.col("_needs"), F.col("_c")).otherwise(0)).alias("needs_work_count"))
+                                     .orderBy(F.desc("needs_work_count"), F.asc(ln)),
+    }
