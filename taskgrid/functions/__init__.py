@@ -1,7 +1,7 @@
 from taskgrid.functions.nullsafe import (
-    differs, is_in, not_in, pct, require_same_type, same,
+    differs, equals, is_in, not_in, pct, require_same_type, same,
 )
 from taskgrid.functions.keys import row_hash
 
-__all__ = ["differs", "is_in", "not_in", "pct", "require_same_type", "same",
+__all__ = ["differs", "equals", "is_in", "not_in", "pct", "require_same_type", "same",
            "row_hash"]

@@ -12,24 +12,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The predicates below are written as IS [NOT] NULL combined with plain
+# comparisons rather than ``coalesce(..., literal)``: the truth table is the
+# same and never null, and Parquet can evaluate them in the scan (a coalesce
+# is not a pushable filter). ``values`` never contains null.
+
 def is_in(c: Column, values: Iterable[str]) -> Column:
     """Membership where a null value is simply *not* a member (never null)."""
-    return F.coalesce(c.isin(list(values)), F.lit(False))
+    return c.isNotNull() & c.isin(list(values))
 
 
 def not_in(c: Column, values: Iterable[str]) -> Column:
     """Negated membership that keeps nulls (``~Series.isin`` behaviour)."""
-    return ~is_in(c, values)
+    return c.isNull() | ~c.isin(list(values))
+
+
+def equals(c: Column, value) -> Column:
+    """``c == value`` that is false (not null) for a null ``c``."""
+    return c.isNotNull() & (c == value)
 
 
 def differs(a: Column, b: Column) -> Column:
     """``a != b`` where a null on either side counts as different."""
-    return F.coalesce(a != b, F.lit(True))
+    return a.isNull() | b.isNull() | (a != b)
 
 
 def same(a: Column, b: Column) -> Column:
     """``a == b`` where a null on either side counts as not equal."""
-    return F.coalesce(a == b, F.lit(False))
+    return a.isNotNull() & b.isNotNull() & (a == b)
 
 
 def pct(n: Column, total: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskgrid.config import DEFAULT, TOTAL_LABEL, TaskConfig
-from taskgrid.functions.nullsafe import is_in, not_in, pct
+from taskgrid.functions.nullsafe import equals, is_in, not_in, pct
 from taskgrid.operators.joins import repeated_keys
 
 
@@ -146,7 +146,7 @@ def construction_flag_percentages(df: DataFrame, cfg: TaskConfig = DEFAULT) -> D
 
 
 def _status_counts(cfg: TaskConfig) -> dict[str, Column]:
-    verified = F.count_if(F.col(cfg.polygon_status) == cfg.status_verified_qa)
+    verified = F.count_if(equals(F.col(cfg.polygon_status), cfg.status_verified_qa))
     return {"verified_qa": verified, "unverified": _n() - verified}
 
 
@@ -192,7 +192,7 @@ def _construction_error(cfg: TaskConfig) -> Column:
 
 def same_flag(cfg: TaskConfig, label: str) -> Column:
     """Raw flag equals ``label`` (a null flag equals nothing)."""
-    return F.coalesce(F.col(cfg.construction_flag) == label, F.lit(False))
+    return equals(F.col(cfg.construction_flag), label)
 
 
 def qc_mall_tenant_errors(df: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
