@@ -1,38 +1,99 @@
 """Join helpers shared by the operators.
 
 Keys are compared null-safely (a null key equals a null key), which is how
-pandas membership and merges treat missing values. Before a semi/anti join
-the key side is reduced to its distinct keys: a partial aggregate that
-collapses hot keys map-side, so a key holding a third of all rows is one row
-after the exchange. A hot key on the probe side is split by AQE's skew-join
-handling (semi, anti, inner and left-outer joins all qualify).
+pandas membership and merges treat missing values.
+
+A null-safe key is carried as two plain columns, ``(value or a default,
+value is null)``, and every aggregate and join on it uses that pair. Spark
+would rewrite ``a <=> b`` into the same pair inside the join, but an
+aggregate grouped on the raw key is partitioned by the raw key, so the join
+would shuffle the aggregate a second time; grouping on the pair makes the
+aggregate's output partitioning satisfy the join directly.
+
+Before a semi/anti join the key side is reduced to its distinct keys: a
+partial aggregate that collapses hot keys map-side, so a key holding a third
+of all rows is one row after the exchange. A hot key on the probe side is
+split by AQE's skew-join handling (semi, anti, inner and left-outer joins
+all qualify).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _default(dt: T.DataType) -> Column | None:
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
+                       T.DoubleType, T.DecimalType)):
+        return F.lit(0).cast(dt)
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, T.DateType):
+        return F.to_date(F.lit("1970-01-01"))
+    return None
+
+
+def ns_key(df: DataFrame, key: str, prefix: str = "_k") -> tuple[Column, Column]:
+    """The null-safe pair for ``df[key]``: ``(coalesce(key, default), isnull(key))``."""
+    c = F.col(_q(key))
+    d = _default(df.schema[key].dataType)
+    if d is None:
+        raise TypeError(f"unsupported key type {df.schema[key].dataType.simpleString()}")
+    return F.coalesce(c, d).alias(f"{prefix}v"), c.isNull().alias(f"{prefix}n")
+
+
+def ns_cond(prefix_a: str, prefix_b: str) -> Column:
+    """Equality of two null-safe pairs."""
+    return ((F.col(f"{prefix_a}v") == F.col(f"{prefix_b}v"))
+            & (F.col(f"{prefix_a}n") == F.col(f"{prefix_b}n")))
 
 
-def distinct_keys(df: DataFrame, key: str, alias: str = "_k") -> DataFrame:
-    """The distinct values of ``key`` (null included) as column ``alias``."""
-    return df.select(F.col(key).alias(alias)).distinct()
+def with_ns_key(df: DataFrame, key: str, prefix: str = "_k") -> DataFrame:
+    v, n = ns_key(df, key, prefix)
+    return df.withColumns({f"{prefix}v": v, f"{prefix}n": n})
+
+
+def distinct_keys(df: DataFrame, key: str, prefix: str = "_r") -> DataFrame:
+    """Distinct null-safe key pairs of ``df[key]`` (null is a key)."""
+    v, n = ns_key(df, key, prefix)
+    return df.select(v, n).distinct()
 
 
 def keyed_semi(left: DataFrame, right: DataFrame, key: str, how: str = "left_semi",
                right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` whose ``key`` does (``left_semi``) or does not
     (``left_anti``) occur in ``right``, null matching null."""
-    rk = distinct_keys(right, right_key or key)
-    lt = left.alias("_l")
-    return lt.join(rk, F.col(f"_l.{_q(key)}").eqNullSafe(rk["_k"]), how).select(
-        *[F.col(f"_l.{_q(c)}") for c in left.columns])
+    return semi_on_pairs(left, key, distinct_keys(right, right_key or key, "_r"), how)
+
+
+def semi_on_pairs(left: DataFrame, key: str, pairs: DataFrame, how: str = "left_semi",
+                  prefix: str = "_r") -> DataFrame:
+    """Semi/anti join of ``left`` on ``key`` against null-safe pairs
+    (columns ``<prefix>v``, ``<prefix>n``)."""
+    lt = with_ns_key(left, key, "_l")
+    return lt.join(pairs, ns_cond("_l", prefix), how).select(*[F.col(_q(c)) for c in left.columns])
+
+
+def repeated_keys(df: DataFrame, key: str, prefix: str = "_r") -> DataFrame:
+    """Null-safe pairs of ``key`` values that occur more than once."""
+    v, n = ns_key(df, key, prefix)
+    return (df.groupBy(v, n).agg(F.count(F.lit(1)).alias("_cnt"))
+              .filter(F.col("_cnt") > 1).drop("_cnt"))
+
 
+def flag_repeated(df: DataFrame, key: str, flag: str) -> DataFrame:
+    """``df`` plus a boolean ``flag``: does the row's key occur more than once.
 
-def repeated_keys(df: DataFrame, key: str, alias: str = "_k") -> DataFrame:
-    """Distinct values of ``key`` that occur more than once (null is a value)."""
-    return (df.groupBy(F.col(key).alias(alias)).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > 1).select(alias))
+    The key counts are an aggregate joined back (left outer), not a window, so
+    a hot key never funnels all its rows into one task."""
+    reps = repeated_keys(df, key, "_r").withColumn("_hit", F.lit(True))
+    lt = with_ns_key(df, key, "_l")
+    return (lt.join(reps, ns_cond("_l", "_r"), "left")
+              .select(*[F.col(_q(c)) for c in df.columns], F.coalesce("_hit", F.lit(False)).alias(flag)))
 
 
 def _q(name: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from taskgrid.config import DEFAULT, TOTAL_LABEL, TaskConfig
 from taskgrid.functions.nullsafe import equals, is_in, not_in, pct
-from taskgrid.operators.joins import repeated_keys
+from taskgrid.operators.joins import repeated_keys, semi_on_pairs
 
 
 
@@ -110,9 +110,7 @@ def duplicate_ali_rows(df: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
     task) semi-joined back, rather than a window that would put every row of
     a hot key into one task.
     """
-    keys = repeated_keys(df, cfg.ali)
-    t = df.alias("_t")
-    return t.join(keys, F.col(f"_t.{cfg.ali}").eqNullSafe(keys["_k"]), "left_semi").select("_t.*")
+    return semi_on_pairs(df, cfg.ali, repeated_keys(df, cfg.ali))
 
 
 # -- percentages ----------------------------------------------------------------
