@@ -129,16 +129,24 @@ def split_by_counts(df: DataFrame, split_plan, analysts: Sequence[str], seed: in
     return slicing.assign_ranges(x, bc, slices, cols, slice_bound=bound)
 
 
-def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConfig) -> None:
-    """One job: per split retailer, requested vs available rows and any
-    analyst who is not listed. Collects at most 20 offending retailers."""
+def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConfig,
+                 split_names: DataFrame | None = None) -> None:
+    """One job checks every Split retailer: it has counts, they name listed
+    analysts only, and they add up to its row count. At most 20 offending
+    retailers reach the driver."""
     have = rows.groupBy(F.col(cfg.list_name).alias("list_name")).agg(F.count(F.lit(1)).alias("available"))
     want = sp.groupBy("list_name").agg(
         F.sum("n").alias("requested"),
         F.array_sort(F.collect_set(F.when(~F.col("analyst").isin(names), F.col("analyst")))).alias("unknown"))
-    bad = (want.join(have, "list_name", "left").na.fill(0, ["available"])
-               .filter((F.col("requested") != F.col("available")) | (F.size("unknown") > 0))
+    base = split_names if split_names is not None else want.select("list_name")
+    bad = (base.join(want, "list_name", "left").join(have, "list_name", "left")
+               .na.fill(0, ["available"])
+               .filter(F.col("requested").isNull() | (F.col("requested") != F.col("available"))
+                       | (F.size("unknown") > 0))
                .orderBy("list_name").limit(20).collect())
+    for r in bad:
+        if r["requested"] is None:
+            raise ValueError(f"Missing split counts for retailer: {r['list_name']}")
     for r in bad:
         if r["unknown"]:
             raise ValueError(f"split of retailer {r['list_name']!r} names analysts who are not "
@@ -169,18 +177,18 @@ def apply_plan(df: DataFrame, analysts: Sequence[str], plan, split_plan=None,
     names = _names(analysts)
     bound = _known_bound(plan, split_plan)
     p = plan_frame(spark, plan)
-    split_names = p.filter(F.col("target") == SPLIT).select("list_name")
+    split_names = p.filter(F.col("target") == SPLIT).select("list_name").distinct()
     sp = split_frame(spark, split_plan, names).join(split_names, "list_name", "left_semi")
     if validate:
-        missing = split_names.join(sp.select("list_name"), "list_name", "left_anti").limit(20).collect()
-        if missing:
-            raise ValueError(f"Missing split counts for retailer: {missing[0]['list_name']}")
+        sn = _bounded(split_names.withColumnRenamed("list_name", "_rn"), bound)
+        split_rows = df.join(sn, F.col(cfg.list_name) == sn["_rn"], "left_semi")
+        _check_split(split_rows, sp, names, cfg, split_names)
     whole = p.filter(F.col("target").isin(names)).select(
         F.col("list_name").alias("_rn"), F.col("target").alias("analyst"))
     whole = _bounded(whole, bound)
     cols = df.columns
     whole_rows = df.join(whole, F.col(cfg.list_name) == whole["_rn"]).select(*cols, "analyst")
-    split_rows = split_by_counts(df, sp, names, seed, cfg, validate=validate, _bound=bound)
+    split_rows = split_by_counts(df, sp, names, seed, cfg, validate=False, _bound=bound)
     return whole_rows.unionByName(split_rows)
 
 

@@ -42,7 +42,8 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     it survives lost executors and cuts the lineage."""
     from taskgrid.session import scratch_path
     path = scratch_path(spark, "fixture-tasks")
-    derive_tasks(spark, sf_dir).write.parquet(path)
+    # one file per core at least, so a scan of the stored table uses them all
+    derive_tasks(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.parquet(path)
 
 
