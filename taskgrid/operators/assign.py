@@ -208,7 +208,12 @@ def unassigned_count(df: DataFrame, assignments: DataFrame, cfg: TaskConfig = DE
 def assignment_summary(assignments: DataFrame, analysts: Sequence[str],
                        cfg: TaskConfig = DEFAULT) -> DataFrame:
     """Per analyst the row count, its share as ``"x%"`` and the sorted
-    retailer list; analysts without rows are kept; a ``Total`` row last."""
+    retailer list; analysts without rows are kept; a ``Total`` row last.
+
+    One aggregate over the assignments; the small per-analyst table (one row
+    per listed analyst) gets its total from a window and emits the ``Total``
+    row alongside the first analyst's row, so the assignments are not
+    evaluated a second time for the total."""
     spark = assignments.sparkSession
     names = analysts_frame(spark, analysts)
     per = assignments.groupBy("analyst").agg(
@@ -217,14 +222,16 @@ def assignment_summary(assignments: DataFrame, analysts: Sequence[str],
     s = (F.broadcast(names).join(per, "analyst", "left")
            .na.fill({"tasks_assigned": 0, "assigned_retailers": ""}))
     total = F.sum("tasks_assigned").over(Window.partitionBy())
-    share = F.coalesce(pct(F.col("tasks_assigned"), total), F.lit(0.0))
-    body = s.select("position", "analyst", "tasks_assigned",
-                    F.concat(share.cast("string"), F.lit("%")).alias("percentage"),
-                    "assigned_retailers")
-    tot = s.agg(F.lit(len(analysts)).alias("position"), F.lit(TOTAL_LABEL).alias("analyst"),
-                F.coalesce(F.sum("tasks_assigned"), F.lit(0)).cast("bigint").alias("tasks_assigned"),
-                F.lit("100.0%").alias("percentage"), F.lit("").alias("assigned_retailers"))
-    return body.unionByName(tot).orderBy("position").drop("position")
+    s = s.withColumn("_total", total)
+    share = F.coalesce(pct(F.col("tasks_assigned"), F.col("_total")), F.lit(0.0))
+    row = F.struct(F.col("position"), F.col("analyst"), F.col("tasks_assigned"),
+                   F.concat(share.cast("string"), F.lit("%")).alias("percentage"),
+                   F.col("assigned_retailers"))
+    tot = F.struct(F.lit(len(analysts)).alias("position"), F.lit(TOTAL_LABEL).alias("analyst"),
+                   F.col("_total").cast("bigint").alias("tasks_assigned"),
+                   F.lit("100.0%").alias("percentage"), F.lit("").alias("assigned_retailers"))
+    rows = F.when(F.col("position") == 0, F.array(row, tot)).otherwise(F.array(row))
+    return s.select(F.inline(rows)).orderBy("position").drop("position")
 
 
 def analyst_sheets(assignments: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:

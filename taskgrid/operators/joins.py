@@ -85,16 +85,5 @@ def repeated_keys(df: DataFrame, key: str, prefix: str = "_r") -> DataFrame:
               .filter(F.col("_cnt") > 1).drop("_cnt"))
 
 
-def flag_repeated(df: DataFrame, key: str, flag: str) -> DataFrame:
-    """``df`` plus a boolean ``flag``: does the row's key occur more than once.
-
-    The key counts are an aggregate joined back (left outer), not a window, so
-    a hot key never funnels all its rows into one task."""
-    reps = repeated_keys(df, key, "_r").withColumn("_hit", F.lit(True))
-    lt = with_ns_key(df, key, "_l")
-    return (lt.join(reps, ns_cond("_l", "_r"), "left")
-              .select(*[F.col(_q(c)) for c in df.columns], F.coalesce("_hit", F.lit(False)).alias(flag)))
-
-
 def _q(name: str) -> str:
     return f"`{name}`" if not name.isidentifier() else name

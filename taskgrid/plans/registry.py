@@ -516,7 +516,7 @@ def _write_table(s, d):
 def _write_assignments(s, d):
     asg = _applied(s, d)[1]
     path = scratch_path(s, "assignments")
-    writers.write_assignments(a.analyst_sheets(asg), a.assignment_summary(asg, NAMES), path)
+    writers.write_assignments(asg, NAMES, path)
     return s.read.parquet(f"{path}/sheets")
 
 

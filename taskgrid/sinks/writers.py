@@ -8,6 +8,8 @@ never committed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, TimestampNTZType, TimestampType
@@ -29,12 +31,23 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", display_names: b
         raise ValueError(f"unsupported format {fmt!r}")
 
 
-def write_assignments(sheets: DataFrame, summary: DataFrame, path: str, fmt: str = "parquet",
-                      mode: str = "errorifexists") -> None:
-    """K2: ``path/summary`` plus ``path/sheets/analyst=<name>/`` per analyst."""
-    summary.coalesce(1).write.mode(mode).format(fmt).option("header", True).save(f"{path}/summary")
-    (sheets.repartition("analyst").write.mode(mode).format(fmt).option("header", True)
-           .partitionBy("analyst").save(f"{path}/sheets"))
+def write_assignments(assignments: DataFrame, analysts: Sequence[str], path: str,
+                      fmt: str = "parquet", mode: str = "errorifexists",
+                      cfg: TaskConfig = DEFAULT) -> None:
+    """K2: ``path/sheets/analyst=<name>/`` (the 14-column analyst layout) and
+    ``path/summary`` (T7).
+
+    The sheets are written first and the summary is computed from the
+    written table, so the assignment is evaluated once and the summary job
+    does not depend on its lineage."""
+    from taskgrid.operators.assign import analyst_sheets, assignment_summary
+
+    (analyst_sheets(assignments, cfg).repartition("analyst").write.mode(mode).format(fmt)
+        .option("header", True).partitionBy("analyst").save(f"{path}/sheets"))
+    sheets = assignments.sparkSession.read.format(fmt).option("header", True).load(f"{path}/sheets")
+    written = sheets.select(F.col("`List Name`").alias(cfg.list_name), "analyst")
+    (assignment_summary(written, analysts, cfg).coalesce(1).write.mode(mode).format(fmt)
+        .option("header", True).save(f"{path}/summary"))
 
 
 def json_records(df: DataFrame, column: str = "record") -> DataFrame:

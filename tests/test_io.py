@@ -66,9 +66,10 @@ def test_writers_round_trip(spark, tmp_dir):
     writers.write_table(df, f"{tmp_dir}/t", fmt="csv", display_names=True)
     back = schema.from_display(files.read_tasks_csv(spark, f"{tmp_dir}/t", types=None))
     assert sorted(r.ali for r in back.collect()) == ["0", "1", "2", "3", "4"]   # types=None: text
-    sheets = df.withColumn("analyst", F.when(F.col("ali") < 2, "Ann").otherwise("Bo"))
-    summary = spark.createDataFrame([("Ann", 2)], "analyst string, tasks_assigned long")
-    writers.write_assignments(sheets, summary, f"{tmp_dir}/wb")
+    asg = df.withColumn("analyst", F.when(F.col("ali") < 2, "Ann").otherwise("Bo"))
+    writers.write_assignments(asg, ["Ann", "Bo", "Cy"], f"{tmp_dir}/wb")
+    summary = {r.analyst: r.tasks_assigned for r in spark.read.parquet(f"{tmp_dir}/wb/summary").collect()}
+    assert summary == {"Ann": 2, "Bo": 3, "Cy": 0, "Total": 5}
     assert sorted(d for d in os.listdir(f"{tmp_dir}/wb/sheets") if d.startswith("analyst=")) == \
         ["analyst=Ann", "analyst=Bo"]
     assert spark.read.parquet(f"{tmp_dir}/wb/sheets").count() == 5
