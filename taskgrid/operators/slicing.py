@@ -50,13 +50,13 @@ def bucket_counts(df: DataFrame, group: str | None, seed: int | str = 0,
                   digits: int = 4, hash_columns: Sequence[str] | None = None):
     """Rows with ``_g`` (group), ``_h`` (hash), ``_b`` (bucket), and the
     per-bucket counts with their rank range ``[_start, _end)`` in the group."""
-    x = (df.withColumn("_h", row_hash(df, seed, hash_columns or df.columns))
-           .withColumn("_b", F.substring("_h", 1, digits))
-           .withColumn("_g", F.col(group).cast("string") if group else F.lit("")))
+    h = row_hash(df, seed, hash_columns or df.columns)
+    x = df.select("*", h.alias("_h"), F.substring(h, 1, digits).alias("_b"),
+                  (F.col(group).cast("string") if group else F.lit("")).alias("_g"))
     w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("_n").over(w)
     bc = (x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-           .withColumn("_end", F.sum("_n").over(w))
-           .withColumn("_start", F.col("_end") - F.col("_n")))
+           .select("_g", "_b", "_n", end.alias("_end"), (end - F.col("_n")).alias("_start")))
     return x, bc
 
 
@@ -88,13 +88,15 @@ def assign_ranges(x: DataFrame, bc: DataFrame, slices: DataFrame, columns: Seque
            .agg(F.count(F.lit(1)).alias("_c"),
                 F.any_value(F.struct(*[col(_q(c)) for c in columns])).alias("_row")))
     w = Window.partitionBy("_g", "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_e", col("_es") + F.sum("_c").over(w)).withColumn("_s", col("_e") - col("_c"))
+    e = col("_es") + F.sum("_c").over(w)
+    d = d.select("_g", "_h", "_row", e.alias("_e"), (e - col("_c")).alias("_s"))
     p = d.join(s, (col("_g") == col("_sg")) & (col("_lo") < col("_e")) & (col("_hi") > col("_s")))
     k = F.least(col("_e"), col("_hi")) - F.greatest(col("_s"), col("_lo"))
-    p = (p.withColumn("_k", k)
-          .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                     F.expr(f"(_k - 1) div {CHUNK}"))))
-          .withColumn("_m", F.least(F.lit(CHUNK).cast("bigint"), col("_k") - col("_chunk") * CHUNK)))
+    p = p.select("_h", "_row", "_an", k.alias("_k")).select(
+        "_h", "_row", "_an", "_k",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_k - 1) div {CHUNK}"))).alias("_chunk"))
+    p = p.select("_h", "_row", "_an", "_chunk",
+                 F.least(F.lit(CHUNK).cast("bigint"), col("_k") - col("_chunk") * CHUNK).alias("_m"))
     # an explicit partition count: AQE leaves it alone, so a large copy group
     # is emitted by many tasks instead of being coalesced back into a few
     nparts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
