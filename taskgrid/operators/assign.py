@@ -54,11 +54,16 @@ def split_target(df: DataFrame, n_analysts: int) -> DataFrame:
 
 # -- T3 -------------------------------------------------------------------------
 def equal_split(df: DataFrame, analysts: Sequence[str], seed: int | str = 0,
-                digits: int = 4) -> DataFrame:
+                digits: int | None = None) -> DataFrame:
     """Seeded shuffle cut into ``len(analysts)`` slices of ``total div n``
-    rows; the first analyst also takes the whole remainder."""
+    rows; the first analyst also takes the whole remainder.
+
+    ``digits`` (hash-prefix buckets, see ``slicing``) defaults to a value
+    derived from the row count."""
     names = _names(analysts)
     cols = df.columns
+    if digits is None:
+        digits = slicing.auto_digits(df.count())
     x, bc = slicing.bucket_counts(df, None, seed, digits)
     k = len(names)
     tot = bc.groupBy("_g").agg(F.sum("_n").alias("_t"))
@@ -108,7 +113,7 @@ def _known_bound(*frames) -> int | None:
 
 
 def split_by_counts(df: DataFrame, split_plan, analysts: Sequence[str], seed: int | str = 0,
-                    cfg: TaskConfig = DEFAULT, digits: int = 4, validate: bool = True,
+                    cfg: TaskConfig = DEFAULT, digits: int | None = None, validate: bool = True,
                     _bound: int | None = None) -> DataFrame:
     """T4 for every retailer in ``split_plan`` in one pass: rank each
     retailer's rows by hash and cut them by the given counts, in ``seq``
@@ -119,8 +124,9 @@ def split_by_counts(df: DataFrame, split_plan, analysts: Sequence[str], seed: in
     sp = split_frame(spark, split_plan, names)
     retailers = _bounded(sp.select(F.col("list_name").alias("_rn")).distinct(), bound)
     rows = df.join(retailers, F.col(cfg.list_name) == retailers["_rn"], "left_semi")
-    if validate:
-        _check_split(rows, sp, names, cfg)
+    largest = _check_split(rows, sp, names, cfg) if validate else None
+    if digits is None:
+        digits = slicing.auto_digits(largest) if largest is not None else 4
     cols = df.columns
     x, bc = slicing.bucket_counts(rows, cfg.list_name, seed, digits)
     w = Window.partitionBy("list_name").orderBy("seq", "analyst").rowsBetween(Window.unboundedPreceding, 0)
@@ -130,20 +136,23 @@ def split_by_counts(df: DataFrame, split_plan, analysts: Sequence[str], seed: in
 
 
 def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConfig,
-                 split_names: DataFrame | None = None) -> None:
+                 split_names: DataFrame | None = None) -> int:
     """One job checks every Split retailer: it has counts, they name listed
     analysts only, and they add up to its row count. At most 20 offending
-    retailers reach the driver."""
+    retailers reach the driver. Returns the largest split retailer's row
+    count (it sizes the hash buckets)."""
     have = rows.groupBy(F.col(cfg.list_name).alias("list_name")).agg(F.count(F.lit(1)).alias("available"))
     want = sp.groupBy("list_name").agg(
         F.sum("n").alias("requested"),
         F.array_sort(F.collect_set(F.when(~F.col("analyst").isin(names), F.col("analyst")))).alias("unknown"))
     base = split_names if split_names is not None else want.select("list_name")
-    bad = (base.join(want, "list_name", "left").join(have, "list_name", "left")
-               .na.fill(0, ["available"])
-               .filter(F.col("requested").isNull() | (F.col("requested") != F.col("available"))
-                       | (F.size("unknown") > 0))
-               .orderBy("list_name").limit(20).collect())
+    is_bad = (F.col("requested").isNull() | (F.col("requested") != F.col("available"))
+              | (F.coalesce(F.size("unknown"), F.lit(0)) > 0))
+    # offending retailers first, then the largest one
+    top = (base.join(want, "list_name", "left").join(have, "list_name", "left")
+               .na.fill(0, ["available"]).withColumn("_bad", is_bad)
+               .orderBy(F.desc("_bad"), F.desc("available"), "list_name").limit(20).collect())
+    bad = [r for r in top if r["_bad"]]
     for r in bad:
         if r["requested"] is None:
             raise ValueError(f"Missing split counts for retailer: {r['list_name']}")
@@ -155,6 +164,7 @@ def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConf
         r = bad[0]
         raise ValueError(f"Numbers do not add up. Requested {r['requested']} but retailer "
                          f"{r['list_name']!r} has {r['available']} ALIs.")
+    return top[0]["available"] if top else 0
 
 
 def _bounded(df: DataFrame, bound: int | None) -> DataFrame:
@@ -179,16 +189,18 @@ def apply_plan(df: DataFrame, analysts: Sequence[str], plan, split_plan=None,
     p = plan_frame(spark, plan)
     split_names = p.filter(F.col("target") == SPLIT).select("list_name").distinct()
     sp = split_frame(spark, split_plan, names).join(split_names, "list_name", "left_semi")
+    largest = None
     if validate:
         sn = _bounded(split_names.withColumnRenamed("list_name", "_rn"), bound)
         split_rows = df.join(sn, F.col(cfg.list_name) == sn["_rn"], "left_semi")
-        _check_split(split_rows, sp, names, cfg, split_names)
+        largest = _check_split(split_rows, sp, names, cfg, split_names)
     whole = p.filter(F.col("target").isin(names)).select(
         F.col("list_name").alias("_rn"), F.col("target").alias("analyst"))
     whole = _bounded(whole, bound)
     cols = df.columns
     whole_rows = df.join(whole, F.col(cfg.list_name) == whole["_rn"]).select(*cols, "analyst")
-    split_rows = split_by_counts(df, sp, names, seed, cfg, validate=False, _bound=bound)
+    digits = slicing.auto_digits(largest) if largest is not None else None
+    split_rows = split_by_counts(df, sp, names, seed, cfg, digits=digits, validate=False, _bound=bound)
     return whole_rows.unionByName(split_rows)
 
 

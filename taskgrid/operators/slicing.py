@@ -39,6 +39,19 @@ CHUNK = 4096          # copies of one row emitted per output row of the explode
 BROADCAST_SLICES = 1_000_000  # largest slice table that is broadcast
 
 
+def auto_digits(rows: int) -> int:
+    """Bucket prefix length for a group of ``rows`` rows.
+
+    With ``16**d`` buckets the bucket table holds up to ``16**d`` rows per
+    group and an edge bucket about ``rows / 16**d``; ``d ≈ log16(rows) / 2``
+    keeps both near ``sqrt(rows)`` (1 digit for thousands of rows, 5 for a
+    trillion)."""
+    import math
+    if rows <= 1:
+        return 1
+    return max(1, min(6, round(math.log(rows, 16) / 2)))
+
+
 def _maybe_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
     """Broadcast ``df`` only when its row count has a known, small bound."""
     if bound is not None and bound <= BROADCAST_SLICES:
