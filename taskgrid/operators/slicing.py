@@ -64,8 +64,11 @@ def bucket_counts(df: DataFrame, group: str | None, seed: int | str = 0,
     """Rows with ``_g`` (group), ``_h`` (hash), ``_b`` (bucket), and the
     per-bucket counts with their rank range ``[_start, _end)`` in the group."""
     h = row_hash(df, seed, hash_columns or df.columns)
-    x = df.select("*", h.alias("_h"), F.substring(h, 1, digits).alias("_b"),
-                  (F.col(group).cast("string") if group else F.lit("")).alias("_g"))
+    # Without a group every row is in group ''. It is written as an empty
+    # prefix of the hash rather than a literal: a literal key would be folded
+    # away and the joins below planned as nested loops instead of hash joins.
+    g = F.col(group).cast("string") if group else F.substring(h, 1, 0)
+    x = df.select("*", h.alias("_h"), F.substring(h, 1, digits).alias("_b"), g.alias("_g"))
     w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("_n").over(w)
     bc = (x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
