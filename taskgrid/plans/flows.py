@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskgrid.config import DEFAULT, TaskConfig
-from taskgrid.functions.nullsafe import pct
 from taskgrid.operators import assign, compare as cmp, quality as q
 
 
@@ -75,4 +74,4 @@ def compare(df1: DataFrame, df2: DataFrame, kind: str, cfg: TaskConfig = DEFAULT
     return cmp.compare(df1, df2, kind, cfg, null_keys)
 
 
-__all__ = ["analyse", "launch", "compare", "pct"]
+__all__ = ["analyse", "launch", "compare"]
