@@ -190,6 +190,10 @@ def apply_plan(df: DataFrame, analysts: Sequence[str], plan, split_plan=None,
     split_names = p.filter(F.col("target") == SPLIT).select("list_name").distinct()
     sp = split_frame(spark, split_plan, names).join(split_names, "list_name", "left_semi")
     largest = None
+    if validate and isinstance(plan, DataFrame):
+        twice = p.groupBy("list_name").count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"retailer {twice[0]['list_name']!r} appears more than once in the plan")
     if validate:
         sn = _bounded(split_names.withColumnRenamed("list_name", "_rn"), bound)
         split_rows = df.join(sn, F.col(cfg.list_name) == sn["_rn"], "left_semi")

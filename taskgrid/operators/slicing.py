@@ -28,6 +28,7 @@ count.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -46,7 +47,6 @@ def auto_digits(rows: int) -> int:
     group and an edge bucket about ``rows / 16**d``; ``d ≈ log16(rows) / 2``
     keeps both near ``sqrt(rows)`` (1 digit for thousands of rows, 5 for a
     trillion)."""
-    import math
     if rows <= 1:
         return 1
     return max(1, min(6, round(math.log(rows, 16) / 2)))

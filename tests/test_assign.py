@@ -120,6 +120,9 @@ def test_apply_plan_rules(spark):
         a.apply_plan(df, ["Ann"], {"R1": "Split"}, {})
     with pytest.raises(ValueError):
         a.apply_plan(df, ["Ann"], {"R1": "Split"}, {"R1": {"Zed": counts["R1"]}})
+    dup_plan = spark.createDataFrame([("R0", "Ann"), ("R0", "Bo")], "list_name string, target string")
+    with pytest.raises(ValueError, match="more than once"):
+        a.apply_plan(df, ["Ann", "Bo"], dup_plan)
     un = a.unassigned_count(df, res).first()[0]
     assigned_alis = {r["ali"] for r in rows if r.get("list_name") in ("R0", "R1")}
     assert un == len({r["ali"] for r in rows} - assigned_alis)
