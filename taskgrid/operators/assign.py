@@ -136,9 +136,10 @@ def split_by_counts(df: DataFrame, split_plan, analysts: Sequence[str], seed: in
 
 
 def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConfig,
-                 split_names: DataFrame | None = None) -> int:
+                 split_names: DataFrame | None = None, plan: DataFrame | None = None) -> int:
     """One job checks every Split retailer: it has counts, they name listed
-    analysts only, and they add up to its row count. At most 20 offending
+    analysts only, and they add up to its row count; and, given a plan
+    table, that no retailer is planned twice. At most 20 offending
     retailers reach the driver. Returns the largest split retailer's row
     count (it sizes the hash buckets)."""
     have = rows.groupBy(F.col(cfg.list_name).alias("list_name")).agg(F.count(F.lit(1)).alias("available"))
@@ -148,11 +149,24 @@ def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConf
     base = split_names if split_names is not None else want.select("list_name")
     is_bad = (F.col("requested").isNull() | (F.col("requested") != F.col("available"))
               | (F.coalesce(F.size("unknown"), F.lit(0)) > 0))
+    checks = (base.join(want, "list_name", "left").join(have, "list_name", "left")
+                  .na.fill(0, ["available"])
+                  .select("list_name", "requested", "available", "unknown", is_bad.alias("_bad"),
+                          F.lit(False).alias("_twice")))
+    if plan is not None:
+        twice = (plan.groupBy("list_name").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+                     .select("list_name", F.lit(None).cast("bigint").alias("requested"),
+                             F.lit(None).cast("bigint").alias("available"),
+                             F.lit(None).cast("array<string>").alias("unknown"),
+                             F.lit(True).alias("_bad"), F.lit(True).alias("_twice")))
+        checks = checks.unionByName(twice)
     # offending retailers first, then the largest one
-    top = (base.join(want, "list_name", "left").join(have, "list_name", "left")
-               .na.fill(0, ["available"]).withColumn("_bad", is_bad)
-               .orderBy(F.desc("_bad"), F.desc("available"), "list_name").limit(20).collect())
+    top = (checks.orderBy(F.desc("_bad"), F.desc("_twice"), F.desc("available"), "list_name")
+                 .limit(20).collect())
     bad = [r for r in top if r["_bad"]]
+    for r in bad:
+        if r["_twice"]:
+            raise ValueError(f"retailer {r['list_name']!r} appears more than once in the plan")
     for r in bad:
         if r["requested"] is None:
             raise ValueError(f"Missing split counts for retailer: {r['list_name']}")
@@ -190,14 +204,12 @@ def apply_plan(df: DataFrame, analysts: Sequence[str], plan, split_plan=None,
     split_names = p.filter(F.col("target") == SPLIT).select("list_name").distinct()
     sp = split_frame(spark, split_plan, names).join(split_names, "list_name", "left_semi")
     largest = None
-    if validate and isinstance(plan, DataFrame):
-        twice = p.groupBy("list_name").count().filter("count > 1").limit(1).collect()
-        if twice:
-            raise ValueError(f"retailer {twice[0]['list_name']!r} appears more than once in the plan")
     if validate:
         sn = _bounded(split_names.withColumnRenamed("list_name", "_rn"), bound)
         split_rows = df.join(sn, F.col(cfg.list_name) == sn["_rn"], "left_semi")
-        largest = _check_split(split_rows, sp, names, cfg, split_names)
+        # a dict cannot name a retailer twice; a table can
+        largest = _check_split(split_rows, sp, names, cfg, split_names,
+                               plan=p if isinstance(plan, DataFrame) else None)
     whole = p.filter(F.col("target").isin(names)).select(
         F.col("list_name").alias("_rn"), F.col("target").alias("analyst"))
     whole = _bounded(whole, bound)
