@@ -4,17 +4,21 @@ Keys are compared null-safely (a null key equals a null key), which is how
 pandas membership and merges treat missing values.
 
 A null-safe key is carried as two plain columns, ``(value or a default,
-value is null)``, and every aggregate and join on it uses that pair. Spark
-would rewrite ``a <=> b`` into the same pair inside the join, but an
-aggregate grouped on the raw key is partitioned by the raw key, so the join
-would shuffle the aggregate a second time; grouping on the pair makes the
-aggregate's output partitioning satisfy the join directly.
+value is null)``; joins compare both (Spark rewrites ``a <=> b`` into the
+same pair).
 
 Before a semi/anti join the key side is reduced to its distinct keys: a
 partial aggregate that collapses hot keys map-side, so a key holding a third
 of all rows is one row after the exchange. A hot key on the probe side is
 split by AQE's skew-join handling (semi, anti, inner and left-outer joins
-all qualify).
+all qualify) — which needs *both* join inputs to be shuffle stages. So an
+aggregate that feeds such a join groups by the raw key and derives the pair
+afterwards: the pair is then re-shuffled (a shuffle of distinct keys only)
+and the probe side stays splittable. Grouping on the pair directly would
+save that shuffle but let the aggregate feed the join without an exchange,
+and a hot probe key would land whole in one task. Joins between two
+aggregates (one row per key on each side, nothing to split) group on the
+pair (``ns_key``) and skip the extra shuffle.
 """
 
 from __future__ import annotations
@@ -57,10 +61,16 @@ def with_ns_key(df: DataFrame, key: str, prefix: str = "_k") -> DataFrame:
     return df.withColumns({f"{prefix}v": v, f"{prefix}n": n})
 
 
+def pairs_of(df: DataFrame, raw: str, dtype, prefix: str) -> DataFrame:
+    """Project an aggregate's raw key column ``raw`` to a null-safe pair."""
+    c = F.col(raw)
+    return df.withColumns({f"{prefix}v": F.coalesce(c, _default(dtype)), f"{prefix}n": c.isNull()}).drop(raw)
+
+
 def distinct_keys(df: DataFrame, key: str, prefix: str = "_r") -> DataFrame:
     """Distinct null-safe key pairs of ``df[key]`` (null is a key)."""
-    v, n = ns_key(df, key, prefix)
-    return df.select(v, n).distinct()
+    dt = df.schema[key].dataType
+    return pairs_of(df.select(F.col(_q(key)).alias("_raw")).distinct(), "_raw", dt, prefix)
 
 
 def keyed_semi(left: DataFrame, right: DataFrame, key: str, how: str = "left_semi",
@@ -80,9 +90,10 @@ def semi_on_pairs(left: DataFrame, key: str, pairs: DataFrame, how: str = "left_
 
 def repeated_keys(df: DataFrame, key: str, prefix: str = "_r") -> DataFrame:
     """Null-safe pairs of ``key`` values that occur more than once."""
-    v, n = ns_key(df, key, prefix)
-    return (df.groupBy(v, n).agg(F.count(F.lit(1)).alias("_cnt"))
+    dt = df.schema[key].dataType
+    reps = (df.groupBy(F.col(_q(key)).alias("_raw")).agg(F.count(F.lit(1)).alias("_cnt"))
               .filter(F.col("_cnt") > 1).drop("_cnt"))
+    return pairs_of(reps, "_raw", dt, prefix)
 
 
 def _q(name: str) -> str:
