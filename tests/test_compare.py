@@ -119,3 +119,22 @@ def test_fixture_counts_sf0001(spark):
     assert s == {"changed_lost": 169, "changed_never": 166, "lost_only": 158, "clean": 849,
                  "only_old": 2043, "only_new": 2147, "other": 1157}
     assert c.matched(v1, v2, "ali").count() == 2210
+
+
+@pytest.mark.parametrize("key", ["ali", "address"])
+def test_file_rows_split_into_matched_and_one_sided(spark, key):
+    v1, v2 = registry.v1(spark, SF001), registry.v2(spark, SF001)
+    one = c.only_in_one(v1, v2, key)
+    assert c.matched(v1, v2, key).count() + one.filter("source = 'File 1'").count() == v1.count()
+    assert c.matched(v2, v1, key).count() + one.filter("source = 'File 2'").count() == v2.count()
+
+
+def test_migration_parts_cover_both_files(spark):
+    v1, v2 = registry.v1(spark, SF001), registry.v2(spark, SF001)
+    j = c.migration_join(v1, v2)
+    sides = {r.side: r["count"] for r in j.groupBy("side").count().collect()}
+    assert sides["left_only"] == c.migration_only_old(v1, v2).count()
+    assert sides["right_only"] == c.migration_only_new(v1, v2).count()
+    assert j.filter("side = 'both'").select("list_name_old", "ali_old", "address", "city_old", "zip_old",
+                                            "polygon_status_old").distinct().count() <= \
+        v1.count() - sides["left_only"]
