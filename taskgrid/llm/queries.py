@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskgrid.llm import quality_rules, secrets, simhash, substring, token_counts
+from taskgrid.llm import (chat, decontam, licenses, quality_rules, secrets, sentencepieces, simhash,
+                          substring, token_counts, warc)
 from taskgrid.llm.common import table
 
 QUERIES: dict = {}
@@ -63,3 +64,34 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 @register("op10_substring_dedup", SUBSTRING_SQL)
 def op10(spark, d):
     return substring.digest(table(spark, d, "documents"))
+
+
+@register("op2_chat_format", chat.SQL)
+def op2(spark, d):
+    return chat.digest(table(spark, d, "conversations"))
+
+
+@register("op3_decontaminate")
+def op3(spark, d):
+    found = decontam.with_matches(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", "m.item_id", F.round("m.score", 4).alias("score"),
+        "m.question_overlap", "m.answer_overlap")
+
+
+@register("op7_warc_revisits", warc.SQL)
+def op7(spark, d):
+    return warc.digest(table(spark, d, "pages"))
+
+
+@register("op8_sentencepiece")
+def op8(spark, d):
+    s = sentencepieces.encode(table(spark, d, "documents").select("doc_id", "text"), check=True)
+    return s.select("doc_id", F.size("pieces.ids").cast("bigint").alias("n_pieces"),
+                    F.sha2(F.concat_ws(",", F.col("pieces.ids").cast("array<string>")), 256).alias("ids_sha256"),
+                    F.col("pieces.scores").alias("scores"), F.col("pieces.round_trip").alias("round_trip"))
+
+
+@register("op9_license_scan")
+def op9(spark, d):
+    return licenses.scan(table(spark, d, "documents"), licenses.templates(spark))
