@@ -41,7 +41,7 @@ def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
         if n > 1 else []  # n - 1 numbers
     cut = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
     r = records.select("record_id", canonical(F.col("url")).alias("url_key"),
-                       F.coalesce(F.col("captured_at").cast("bigint"), F.lit(-(1 << 63))).alias("at"), "kind",
+                       F.coalesce(F.col("captured_at").cast("bigint"), F.lit(-(1 << 62))).alias("at"), "kind",
                        "etag", "last_modified", "headers").withColumn(
         "slice", F.size(F.filter(cut, lambda c: c < F.col("at"))))
     full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", "headers"))
