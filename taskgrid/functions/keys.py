@@ -7,19 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL_MARK = "\\N"
+NULL_MARK = "-"
 
 
 def row_hash(df: DataFrame, seed: int | str = 0,
              columns: Sequence[str] | None = None) -> Column:
     """md5 over the seed and every column rendered as text.
 
-    Rows with equal hashes are identical rows (up to md5 collisions), so
-    ordering by this key is a seeded shuffle that any engine can reproduce:
-    ``md5(seed | col1 | col2 | ...)`` with nulls written as ``\\N``.
+    Each value is written as its length, a colon and its text, a null as ``-``,
+    so different rows never have the same text. Rows with equal hashes are then
+    identical rows (up to md5 collisions), and ordering by this key is a seeded
+    shuffle that any engine can reproduce.
     """
     cols = list(columns) if columns is not None else df.columns
     parts = [F.lit(str(seed))] + [
-        F.coalesce(df[c].cast("string"), F.lit(NULL_MARK)) for c in cols
+        F.when(df[c].isNull(), F.lit(NULL_MARK)).otherwise(
+            F.concat(F.length(df[c].cast("string")).cast("string"), F.lit(":"), df[c].cast("string")))
+        for c in cols
     ]
     return F.md5(F.concat_ws("|", *parts))

@@ -169,15 +169,15 @@ def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConf
             raise ValueError(f"retailer {r['list_name']!r} appears more than once in the plan")
     for r in bad:
         if r["requested"] is None:
-            raise ValueError(f"Missing split counts for retailer: {r['list_name']}")
+            raise ValueError(f"retailer {r['list_name']!r} is marked Split but has no counts")
     for r in bad:
         if r["unknown"]:
             raise ValueError(f"split of retailer {r['list_name']!r} names analysts who are not "
                              f"listed: {list(r['unknown'])}")
     if bad:
         r = bad[0]
-        raise ValueError(f"Numbers do not add up. Requested {r['requested']} but retailer "
-                         f"{r['list_name']!r} has {r['available']} ALIs.")
+        raise ValueError(f"the counts of retailer {r['list_name']!r} sum to {r['requested']}, "
+                         f"its rows to {r['available']}")
     return top[0]["available"] if top else 0
 
 

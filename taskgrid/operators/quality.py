@@ -304,37 +304,35 @@ def needs_work_preview(df: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
               .orderBy(F.desc("needs_work_count"), F.asc(cfg.list_name)))
 
 
-BROADCAST_NAME_LIMIT = 100_000
-
-
 def launch_subset(df: DataFrame, cfg: TaskConfig = DEFAULT,
                   selected: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Needs-work rows of the selected retailers (``None`` = all).
 
-    A short list becomes an ``IN`` filter (pushed to the scan); a long list a
-    broadcast semi join, its size known on the driver; a DataFrame of names a
-    semi join whose strategy AQE picks from its measured size.
+    A short list becomes an ``IN`` filter (pushed to the scan); a longer list, of
+    any length, or a DataFrame of names a semi join whose strategy Spark picks
+    from its size. The names are not made distinct first (a semi join needs no
+    distinct side), so both sides are plain exchanges and AQE can split a hot
+    retailer.
     """
     rows = needs_work(df, cfg)
     if selected is None:
         return rows
     if isinstance(selected, DataFrame):
-        names = selected.select(F.col(selected.columns[0]).alias("_sel")).distinct()
+        names = selected.select(F.col(selected.columns[0]).alias("_sel"))
         return rows.join(names, F.col(cfg.list_name) == names["_sel"], "left_semi")
     selected = list(dict.fromkeys(selected))
     if len(selected) <= 1000:
         return rows.filter(F.col(cfg.list_name).isin(selected))
-    if len(selected) > BROADCAST_NAME_LIMIT:
-        raise ValueError("pass a long retailer selection as a DataFrame")
     names = df.sparkSession.createDataFrame([(s,) for s in selected], "_sel string")
-    return rows.join(F.broadcast(names), F.col(cfg.list_name) == names["_sel"], "left_semi")
+    return rows.join(names, F.col(cfg.list_name) == names["_sel"], "left_semi")
 
 
 def launch_summary(rows: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
-    """Mode and total of a launch subset, one row. The per-retailer counts
+    """Mode (null without rows) and total of a launch subset, one row. The per-retailer counts
     are ``records_per_retailer(rows)``: a table, not a map in one row."""
     return rows.agg(
-        F.when(F.count_distinct(cfg.list_name) == 1, "single").otherwise("multi").alias("mode"),
+        F.when(_n() == 0, F.lit(None).cast("string")).when(F.count_distinct(cfg.list_name) == 1, "single")
+         .otherwise("multi").alias("mode"),
         _n().alias("total_alis"),
         F.count_distinct(cfg.list_name).alias("retailers"))
 

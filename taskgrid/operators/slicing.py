@@ -87,8 +87,8 @@ def assign_ranges(x: DataFrame, bc: DataFrame, slices: DataFrame, columns: Seque
     ov = bc.join(s, (col("_g") == col("_sg")) & (col("_lo") < col("_end")) & (col("_hi") > col("_start")))
     inside = (col("_lo") <= col("_start")) & (col("_end") <= col("_hi"))
     # one contiguous bucket interval per slice, and at most two edge buckets
-    interior = (ov.filter(inside).groupBy(col("_g").alias("_ig"), col("_an").alias("analyst"))
-                  .agg(F.min("_b").alias("_blo"), F.max("_b").alias("_bhi")))
+    interior = (ov.filter(inside).groupBy(col("_g").alias("_ig"), col("_an").alias("analyst"), col("_lo"))
+                  .agg(F.min("_b").alias("_blo"), F.max("_b").alias("_bhi")).drop("_lo"))
     edges = ov.filter(~inside).select(col("_g").alias("_eg"), col("_b").alias("_eb"),
                                       col("_start").alias("_es")).distinct()
     edge_bound = None if slice_bound is None else 2 * slice_bound

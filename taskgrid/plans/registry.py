@@ -298,7 +298,8 @@ TASK_COLS = ("category", "list_id", "list_name", "ali", "polygon_status", "store
              "longitude", "batch")
 SEED = 0
 H_SQL = ("md5(concat_ws('|', '" + str(SEED) + "', "
-         + ", ".join(f"coalesce(CAST({x} AS VARCHAR), '\\N')" for x in TASK_COLS) + "))")
+         + ", ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+                      for x in TASK_COLS) + "))")
 NAMES = fx.ANALYSTS
 N = len(NAMES)
 WP = lambda body: fx.with_ctes(body, fx.PLAN_SQL, fx.SPLIT_PLAN_SQL)

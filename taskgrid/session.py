@@ -36,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local runs, tests) do we pick one.
+    as is. Only when it is unset, and the master is local (tests), do we pick one; elsewhere an
+    unset folder raises, because executors do not share local folders.
     """
     try:
         sc = spark.sparkContext
@@ -46,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if sc is None or not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="taskgrid-ckpt-")
     if sc is None:
         return conf

@@ -42,9 +42,11 @@ def write_assignments(assignments: DataFrame, analysts: Sequence[str], path: str
     does not depend on its lineage."""
     from taskgrid.operators.assign import analyst_sheets, assignment_summary
 
-    (analyst_sheets(assignments, cfg).repartition("analyst").write.mode(mode).format(fmt)
+    rows = analyst_sheets(assignments, cfg).withColumn("analyst", F.col("analyst").cast("string"))
+    # rebalance keeps an analyst's rows together but cuts a large analyst into several tasks and files
+    (rows.hint("rebalance", "analyst").write.mode(mode).format(fmt)
         .option("header", True).partitionBy("analyst").save(f"{path}/sheets"))
-    sheets = assignments.sparkSession.read.format(fmt).option("header", True).load(f"{path}/sheets")
+    sheets = assignments.sparkSession.read.format(fmt).option("header", True).schema(rows.schema).load(f"{path}/sheets")
     written = sheets.select(F.col("`List Name`").alias(cfg.list_name), "analyst")
     (assignment_summary(written, analysts, cfg).coalesce(1).write.mode(mode).format(fmt)
         .option("header", True).save(f"{path}/summary"))

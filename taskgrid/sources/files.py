@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from taskgrid.config import DEFAULT, TASK_TYPES, TaskConfig
 
 
-def _raw_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    # header=True binds columns by name; every value is read as text so that
-    # NA tokens can be recognised before any cast.
+def _raw_csv(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    # every value is read as text so that NA tokens can be recognised before any
+    # cast; a quote inside quotes is doubled, a backslash is an ordinary character
     return (spark.read.option("header", True).option("inferSchema", False)
-                 .option("multiLine", False).csv(paths if isinstance(paths, str) else list(paths)))
+                 .option("quote", '"').option("escape", '"').option("enforceSchema", False)
+                 .option("mode", "FAILFAST").option("multiLine", multi_line)
+                 .csv(paths if isinstance(paths, str) else list(paths)))
 
 
 def normalise(df: DataFrame, cfg: TaskConfig = DEFAULT,
@@ -39,15 +41,23 @@ def normalise(df: DataFrame, cfg: TaskConfig = DEFAULT,
         if f.dataType.simpleString() == "string":
             c = F.when(c.isin(tokens), F.lit(None).cast("string")).otherwise(c)
             if f.name in types and types[f.name] != "string":
-                c = c.try_cast(types[f.name])
+                if types[f.name] in ("bigint", "int"):  # 12.0 is a whole number
+                    d = c.try_cast("decimal(38,10)")
+                    c = F.coalesce(c.try_cast(types[f.name]), F.when(d == F.floor(d), d.try_cast(types[f.name])))
+                else:
+                    c = c.try_cast(types[f.name])
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
 def read_tasks_csv(spark: SparkSession, paths: str | Sequence[str], cfg: TaskConfig = DEFAULT,
-                   types: Mapping[str, str] | None = TASK_TYPES) -> DataFrame:
-    """CSV files sharing one header → typed task list."""
-    return normalise(_raw_csv(spark, paths), cfg, types)
+                   types: Mapping[str, str] | None = TASK_TYPES, multi_line: bool = False) -> DataFrame:
+    """CSV files sharing one header → typed task list.
+
+    A file whose header differs, or a record with another number of fields,
+    raises. ``multi_line`` reads line breaks inside quotes; each file is then
+    one task, so it is off by default, and such a record raises."""
+    return normalise(_raw_csv(spark, paths, multi_line), cfg, types)
 
 
 def union_sheets(spark: SparkSession, paths: Sequence[str], cfg: TaskConfig = DEFAULT,

@@ -50,9 +50,9 @@ def test_schema_checks(spark):
     part = df.select("ali", "list_name")
     chk = {r.column_name: (r.present, r.has_rows) for r in schema.input_check(part).collect()}
     assert chk["ali"] == (True, True) and chk["address"] == (False, True) and len(chk) == 12
-    with pytest.raises(ValueError, match="Missing"):
+    with pytest.raises(ValueError, match="lacks the columns"):
         schema.validate(part)
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         schema.validate(df.limit(0))
     assert all(not r.has_rows for r in schema.input_check(df.limit(0)).collect())
     renamed = schema.rename_columns(df, {"ali": "ALI", "nope": "x"})
@@ -92,3 +92,50 @@ def test_pages_cover_table(spark):
     assert seen == list(range(123))
     with pytest.raises(ValueError):
         view.page(df, -1)
+
+
+def test_csv_quotes_integral_floats_and_headers(spark, tmp_dir):
+    import os
+    from taskgrid.sources.files import read_tasks_csv
+    path = os.path.join(tmp_dir, "q.csv")
+    with open(path, "w", newline="") as f:
+        f.write('list_name,ali,store_name\n"He said ""hi"", ok",30064.0,"C:\\"\n')
+    r = read_tasks_csv(spark, path).first()
+    assert (r.list_name, r.ali, r.store_name) == ('He said "hi", ok', 30064, "C:\\")
+    with open(path, "w", newline="") as f:
+        f.write('list_name,ali\n"two\nlines",7\n')
+    r = read_tasks_csv(spark, path, multi_line=True).collect()
+    assert [(x.list_name, x.ali) for x in r] == [("two\nlines", 7)]
+    with pytest.raises(Exception):
+        read_tasks_csv(spark, path).collect()
+
+
+def test_workbook_names_like_numbers_and_empty(spark, tmp_dir):
+    import os
+    from pyspark.sql import functions as F
+    from taskgrid.sinks.writers import write_assignments
+    rows = make_tasks(spark, [{"ali": i, "list_name": "R"} for i in range(6)]).withColumn(
+        "analyst", F.when(F.col("ali") < 4, "01").otherwise("1"))
+    for name, df, want in (("a", rows, [2, 4, 6]), ("b", rows.limit(0), [0, 0, 0])):
+        path = os.path.join(tmp_dir, name)
+        write_assignments(df, ["01", "1"], path)
+        s = spark.read.parquet(f"{path}/summary")
+        count = [c for c, t in s.dtypes if t == "bigint"][0]
+        assert sorted(r[count] for r in s.collect()) == want
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from taskgrid import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

@@ -115,3 +115,11 @@ def test_needs_work_and_launch_subset(spark):
     assert q.launch_subset(df, selected=[f"X{i}" for i in range(1500)] + ["A"]).count() == 1
     summary = q.launch_summary(q.launch_subset(df, selected=["A"])).first()
     assert (summary.mode, summary.total_alis) == ("single", 1)
+
+
+def test_launch_subset_takes_any_number_of_names(spark):
+    from taskgrid.operators import quality
+    df = make_tasks(spark, [{"ali": 1, "list_name": "n5"}, {"ali": 2, "list_name": "other"}])
+    assert quality.launch_subset(df, selected=[f"n{i}" for i in range(100_001)]).count() == \
+        quality.launch_subset(df, selected=["n5"]).count()
+    assert quality.launch_summary(df.limit(0)).first().mode is None
