@@ -73,6 +73,25 @@ def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "t
     # identical rows of an id share their units, so each bigram is counted once per unit
     one = hit.distinct().groupBy("doc_id", "row", "line", "license", "size_a", "size_b").agg(dice).filter(
         F.col("dice") >= least)
-    best = F.max_by(F.struct("license", "dice"), F.struct("dice", F.expr("-size_b"))).alias("best")
+    best = F.min_by(F.struct("license", "dice"), F.struct((-F.col("dice")).alias("d"), "license")).alias("best")
     return (one.groupBy("doc_id", "row", "line").agg(best)
             .select(F.col("doc_id").alias(id_col), "line", "best.license", F.round("best.dice", 6).alias("dice")))
+
+
+_VALUES = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES)
+SQL = rf"""
+WITH t(license, text) AS (VALUES {_VALUES}),
+d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, text, 0 AS line, text AS u FROM d WHERE contains(text, chr(10))
+      UNION ALL SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line,
+                       unnest(string_split(text, chr(10))) AS u FROM d),
+w AS (SELECT doc_id, text, line, regexp_extract_all(lower(u), '[\p{{L}}\p{{N}}]+') AS w FROM u),
+a AS (SELECT doc_id, text, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a
+      FROM w WHERE len(w) BETWEEN 2 AND 200),
+tw AS (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM t),
+b AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
+s AS (SELECT doc_id, text, line, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+      FROM a JOIN b ON len(a) >= len(b) * 2 / 3.0 - 1e-9 AND len(a) * 2 / 3.0 - 1e-9 <= len(b))
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, round(CAST(dice AS DOUBLE), 6) AS dice FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, text, line ORDER BY dice DESC, license) AS k
+  FROM s WHERE dice >= 0.8) WHERE k = 1"""

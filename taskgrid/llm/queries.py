@@ -92,6 +92,6 @@ def op8(spark, d):
                     F.col("pieces.scores").alias("scores"), F.col("pieces.round_trip").alias("round_trip"))
 
 
-@register("op9_license_scan")
+@register("op9_license_scan", licenses.SQL)
 def op9(spark, d):
     return licenses.scan(table(spark, d, "documents"), licenses.templates(spark))
