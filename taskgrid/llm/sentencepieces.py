@@ -47,7 +47,8 @@ class Lattice:
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
         crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.words = re.compile("(?s).+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.cache: dict[str, list] = {}
+        self.cache: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
 
     def edges(self, word: str) -> list[list[tuple[int, float]]]:
         """Per end: (start, score) of the pieces that end there."""
@@ -104,9 +105,13 @@ class Lattice:
         """(best score, its ids as int32 bytes, loss of the second best)."""
         hit = self.cache.get(w)
         if hit is None:
+            if len(self.cache) >= CACHE_WORDS:  # words not met since the last change of tables go
+                self.old, self.cache = self.cache, {}
+            hit = self.old.get(w)
+            if hit is not None:
+                self.cache[w] = hit
+                return hit
             two = self.n_best(w, 2)
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
             hit = self.cache[w] = (two[0][0], np.array(self.pieces(w, two[0][1]), np.int32).tobytes(),
                                    two[0][0] - two[1][0] if len(two) > 1 else float("inf"))
         return hit

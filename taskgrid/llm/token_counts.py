@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from taskgrid.llm.common import per_text
 
 SPACE = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 _LOADED: dict = {}
 
 
@@ -41,6 +41,7 @@ class Merger:
         crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank)
         self.words = re.compile("(?s).+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.cache: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def count_word(self, word: str) -> int:
         piece, rank = list(word), self.rank
@@ -75,9 +76,11 @@ class Merger:
         for w in self.words.findall(self.normalize(text)):
             n = cache.get(w)
             if n is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                n = cache[w] = self.count_word(w)
+                if len(cache) >= CACHE_WORDS:  # words not met since the last change of tables go
+                    self.old, self.cache = cache, {}
+                    cache = self.cache
+                n = self.old.get(w)
+                cache[w] = n = self.count_word(w) if n is None else n
             total += n
         return total
 
