@@ -4,10 +4,11 @@ A text's piece lattice has an edge for every piece of the vocabulary that
 matches at a place. Forward Viterbi gives each place its best score from the
 start; these are exact heuristics for an A-star search from the end, which
 yields segmentations in order of total score. No piece joins a space mark to
-what stands before it (checked on loading), so the lattice of a text is a chain
-of word lattices: each word is searched by itself (remembered in a bounded
-table), and the text's N best are the N best choices of one segmentation per
-word, found by the same ordered search over the words with the smallest losses.
+what stands before it, nor a Latin letter to another character (checked on
+loading), so the lattice of a text is a chain of word lattices: each word is
+searched by itself (remembered in a bounded table), and the text's N best are
+the N best choices of one segmentation per word, found by the same ordered
+search over the words with the smallest losses.
 
 Scores are those of the model file. A character that no piece covers becomes its
 byte pieces at the lowest score less 10. Ties rank by pieces' ids from the end.
@@ -17,16 +18,16 @@ Null and empty texts have one empty segmentation. Decoding gives the text back.
 from __future__ import annotations
 
 import heapq
-import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskgrid.llm.common import per_text
-from taskgrid.llm.token_counts import SPACE, default_model
+from taskgrid.llm.token_counts import SPACE, default_model, word_pattern
 
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
+MISS = object()
 _LOADED: dict = {}
 
 
@@ -43,38 +44,36 @@ class Lattice:
                 self.ids[p], self.score[p] = i, sp.get_score(i)
         self.longest = max(map(len, self.ids))
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10
-        # prefixes of pieces end a search for longer ones early
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
-        crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
-        self.words = re.compile("(?s).+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        # every prefix of a piece with the piece's score, None where it is no piece itself: a miss ends a search
+        self.known = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.score
+        self.words = word_pattern(self.ids)
         self.cache: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def edges(self, word: str) -> list[list[tuple[int, float]]]:
-        """Per end: (start, score) of the pieces that end there."""
-        n, into = len(word), [[] for _ in range(len(word) + 1)]
-        score, prefixes = self.score, self.prefixes
+    def forward(self, word: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
+        """Per end: (start, score) of the pieces that end there; and each place's best score (Viterbi)."""
+        n, known, longest = len(word), self.known.get, self.longest
+        into, best = [[] for _ in range(n + 1)], [0.0] + [-1e300] * n
         for a in range(n):
-            if word[a] not in score:
+            base = best[a]  # final: all pieces that end here began earlier
+            if word[a] not in self.score:
                 into[a + 1].append((a, self.unknown))
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                p = word[a:b]
-                s = score.get(p)
-                if s is not None:
-                    into[b].append((a, s))
-                if p not in prefixes:
+                best[a + 1] = max(best[a + 1], base + self.unknown)
+            for b in range(a + 1, min(n, a + longest) + 1):
+                s = known(word[a:b], MISS)
+                if s is None:
+                    continue
+                if s is MISS:
                     break
-        return into
+                into[b].append((a, s))
+                if base + s > best[b]:
+                    best[b] = base + s
+        return into, best
 
     def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best (score, cuts) of ``word``; cuts are the pieces' starts, last first."""
-        into = self.edges(word)
+        """The ``n`` best (score, cuts) of ``word``; cuts are the pieces' starts in reading order."""
+        into, best = self.forward(word)
         size = len(word)
-        best = [0.0] + [-1e300] * size  # forward Viterbi
-        for b in range(1, size + 1):
-            for a, s in into[b]:
-                if best[a] + s > best[b]:
-                    best[b] = best[a] + s
         out, heap, tick = [], [(-best[size], 0, size, 0.0, ())], 0
         while heap and len(out) < n:
             f, _, at, done, cuts = heapq.heappop(heap)

@@ -4,9 +4,10 @@ A text's symbols form a linked list; a heap holds the adjacent pairs that the
 vocabulary knows. The pair of lowest rank (highest score, leftmost on ties) is
 popped and merged until none is left; the count is initial symbols minus merges
 (an unknown character counts its bytes), and no identifier is made. No piece of
-the vocabulary joins a space mark to what stands before it (checked when it is
-loaded), so a text splits before each run of space marks without changing the
-merges; counts of such words are remembered in a table of bounded size.
+the vocabulary joins a space mark to what stands before it, nor a Latin letter
+to another character (checked when it is loaded), so a text splits there without
+changing the merges; counts of such words are remembered in a table of bounded
+size.
 
 Null counts as empty (no token). Repeated rows are counted each; a clashing
 column is replaced.
@@ -24,9 +25,21 @@ from taskgrid.llm.common import per_text
 
 SPACE = "▁"
 CACHE_WORDS = 200_000
+LATIN = "A-Za-z\u00c0-\u024f"
 _LOADED: dict = {}
 
 
+def word_pattern(pieces) -> re.Pattern:
+    """Splits a normalised text, nothing left out, only where no piece has both neighbouring characters."""
+    def joined(pair: str) -> bool:
+        return any(re.search(pair, p) for p in pieces)
+    if joined(f"[^{SPACE}]{SPACE}"):
+        return re.compile("(?s).+")
+    if joined(f"[{LATIN}][^{LATIN}{SPACE}]|[^{LATIN}{SPACE}][{LATIN}]"):
+        return re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    return re.compile(f"{SPACE}*+[{LATIN}]+|{SPACE}*+[^{LATIN}{SPACE}]+|{SPACE}+")
+
+
 class Merger:
     def __init__(self, path: str):
         import sentencepiece
@@ -38,8 +51,7 @@ class Merger:
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 self.rank[p] = -sp.get_score(i)
                 self.known.add(p)
-        crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank)
-        self.words = re.compile("(?s).+" if crosses else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.words = word_pattern(self.rank)
         self.cache: dict[str, int] = {}
         self.old: dict[str, int] = {}
 
