@@ -70,15 +70,36 @@ def _breakdown(df: DataFrame, cfg: TaskConfig, column: str, fill: str,
         raise ValueError(f"a pivot value collides with an output column: {values}")
     # One aggregate with a conditional count per label: a single exchange with
     # map-side partial aggregation, instead of pivot's two aggregates.
-    return rows.groupBy(cfg.list_name).agg(
+    wide = rows.groupBy(cfg.list_name).agg(
         *[F.count_if(value == v).alias(v) for v in values], _n().alias(TOTAL_LABEL))
+    listed = sum((F.col(f"`{v}`") for v in values), F.lit(0))
+    # a filter, unlike a column, is never pruned
+    fault = F.raise_error(F.lit(f"{column} holds labels beyond the listed columns; use the long form"))
+    return wide.filter(F.when(listed == F.col(TOTAL_LABEL), True).otherwise(fault.cast("boolean")))
+
+
+def _long(df: DataFrame, cfg: TaskConfig, column: str, fill: str) -> DataFrame:
+    return (df.filter(F.col(cfg.list_name).isNotNull())
+              .groupBy(cfg.list_name, F.coalesce(F.col(column), F.lit(fill)).alias("label"))
+              .agg(_n().alias("n")))
+
+
+def construction_flag_long(df: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
+    """A5 in long form: (retailer, label, n) for every label that occurs."""
+    return _long(df, cfg, cfg.construction_flag, cfg.flag_normal)
+
+
+def polygon_status_long(df: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
+    """A6 in long form: (retailer, label, n) for every label that occurs."""
+    return _long(df, cfg, cfg.polygon_status, cfg.flag_normal)
 
 
 def construction_flag_breakdown(df: DataFrame, cfg: TaskConfig = DEFAULT,
                                 values: Sequence[str] | None = None) -> DataFrame:
     """A5: retailer × flag counts (null flag counted as Normal) plus Total.
 
-    ``values`` fixes the label columns; without it they are discovered.
+    ``values`` fixes the label columns; without it they are discovered. A
+    label outside ``values`` fails the query, so no count is lost unseen.
     ``Total`` is the retailer's row count.
     """
     return _breakdown(df, cfg, cfg.construction_flag, cfg.flag_normal, values)

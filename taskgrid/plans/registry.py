@@ -83,6 +83,15 @@ register("construction_flag_breakdown", _pivot_sql(FLAG, FLAG_VALUES))(
 register("polygon_status_breakdown", _pivot_sql(STATUS_FILL, STATUS_VALUES))(
     lambda s, d: q.polygon_status_breakdown(tasks(s, d), values=STATUS_VALUES))
 
+
+def _long_sql(expr: str) -> str:
+    return W(f"SELECT list_name, {expr} AS label, count(*) AS n FROM tasks "
+             "WHERE list_name IS NOT NULL GROUP BY ALL")
+
+
+register("construction_flag_long", _long_sql(FLAG))(lambda s, d: q.construction_flag_long(tasks(s, d)))
+register("polygon_status_long", _long_sql(STATUS_FILL))(lambda s, d: q.polygon_status_long(tasks(s, d)))
+
 DUP_SQL = ("count(DISTINCT ali) AS unique_ali, "
            "count(*) - count(DISTINCT ali) - CASE WHEN count(*) > count(ali) THEN 1 ELSE 0 END "
            "AS duplicate_count")

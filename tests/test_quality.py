@@ -83,6 +83,14 @@ def test_pivot_label_total_rejected(spark):
         q.construction_flag_breakdown(df)
 
 
+def test_labels_beyond_the_list_fail_wide_and_show_long(spark):
+    df = make_tasks(spark, [{"list_name": "A", "construction_flag": f} for f in ("Normal", "normal", None, "New")])
+    with pytest.raises(Exception, match="beyond the listed columns"):
+        q.construction_flag_breakdown(df, values=["Normal"]).count()
+    got = sorted(tuple(r) for r in q.construction_flag_long(df).collect())
+    assert got == [("A", "New", 1), ("A", "Normal", 2), ("A", "normal", 1)]
+
+
 def test_full_row_matches_parts(spark):
     t = registry.tasks(spark, SF001)
     row = q.full_analysis_row(t).first()
