@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (ArrayType, DataType, DoubleType, FloatType, MapType, StructType,
+                               TimestampNTZType, TimestampType)
 
 from taskgrid.config import DEFAULT, TaskConfig
 from taskgrid.sources.schema import to_display
@@ -52,19 +53,29 @@ def write_assignments(assignments: DataFrame, analysts: Sequence[str], path: str
         .option("header", True).save(f"{path}/summary"))
 
 
+def _json_ready(c: Column, kind: DataType) -> Column:
+    """``c`` with every float that JSON cannot hold as null and every timestamp as ISO-8601, at any depth."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.abs(c) < float("inf"), c)  # NaN is above infinity
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        # the fraction only when it is not zero
+        base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        frac = F.date_format(c, "SSSSSS")
+        return F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _json_ready(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: _json_ready(v, kind.valueType))
+    if isinstance(kind, StructType) and kind.fields:
+        return F.when(c.isNotNull(), F.struct(
+            *[_json_ready(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def json_records(df: DataFrame, column: str = "record") -> DataFrame:
-    """K3: each row as one JSON object: nulls kept as ``null``, NaN as
-    ``null``, timestamps in ISO-8601."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.nanvl(c, F.lit(None).cast(f.dataType))
-        elif isinstance(f.dataType, (TimestampType, TimestampNTZType)):
-            # ISO-8601 with the fraction only when it is not zero
-            base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-            frac = F.date_format(c, "SSSSSS")
-            c = F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac))
-        cols.append(c.alias(f.name))
+    """K3: each row as one JSON object: nulls kept as ``null``, NaN and
+    infinities as ``null``, timestamps in ISO-8601, also inside arrays, maps
+    and structs."""
+    cols = [_json_ready(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]
     opts = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"}
     return df.select(F.to_json(F.struct(*cols), opts).alias(column))

@@ -84,6 +84,17 @@ def test_json_records(spark):
     assert rec == {"a": 1, "b": None, "c": None, "ts": "2024-01-02T03:04:05"}
 
 
+def test_json_records_nested(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [([1.0, nan, inf, None], {"k": -inf, "m": 2.0}, (nan, [(inf,), None]), inf), (None, None, None, 0.5)],
+        "a array<double>, b map<string,double>, c struct<x:double,y:array<struct<z:float>>>, d double")
+    got = sorted((json.loads(r.record) for r in writers.json_records(df).collect()), key=lambda r: r["a"] is None)
+    assert got[0] == {"a": [1.0, None, None, None], "b": {"k": None, "m": 2.0},
+                      "c": {"x": None, "y": [{"z": None}, None]}, "d": None}
+    assert got[1] == {"a": None, "b": None, "c": None, "d": 0.5}
+
+
 def test_pages_cover_table(spark):
     df = make_tasks(spark, [{"ali": i} for i in range(123)])
     pc = view.page_count(df).first()
