@@ -31,20 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def per_text(text: Column, ddl: str, make: Callable[[], Callable[[bytes], tuple]]) -> Column:
+def per_text(text: Column, ddl: str, make: Callable[[], Callable], every: bool = False) -> Column:
     """A struct column computed from each whole text.
 
     ``make`` runs once per Arrow batch inside the task and returns the function
     that maps one text (UTF-8 bytes, null read as empty) to the tuple of the
-    struct's fields. Only the text column travels to Python; all other columns
-    of a row stay in the JVM."""
+    struct's fields, or with ``every`` an iterable of texts to their tuples.
+    Only the text column travels to Python; all other columns of a row stay in
+    the JVM."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
     schema = StructType.fromDDL(ddl)
 
     def run(texts: pa.Array) -> pa.Array:
         fn = make()
-        rows = [fn(t.as_py() or b"") for t in texts]
+        data = (t.as_py() or b"" for t in texts)
+        rows = list(fn(data) if every else map(fn, data))
         cols = list(zip(*rows)) if rows else [()] * len(schema.fields)
         fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
         return pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, fields)],

@@ -6,9 +6,9 @@ start; these are exact heuristics for an A-star search from the end, which
 yields segmentations in order of total score. No piece joins a space mark to
 what stands before it, nor a Latin letter to another character (checked on
 loading), so the lattice of a text is a chain of word lattices: each word is
-searched by itself (remembered in a bounded table), and the text's N best are
-the N best choices of one segmentation per word, found by the same ordered
-search over the words with the smallest losses.
+searched by itself (its best segmentation remembered in a bounded table), and the
+text's N best are the N best choices of one segmentation per word, found by N-best
+searches of the N - 1 words whose second best, kept by the forward pass, loses least.
 
 Scores are those of the model file. A character that no piece covers becomes its
 byte pieces at the lowest score less 10. Ties rank by pieces' ids from the end.
@@ -18,6 +18,11 @@ Null and empty texts have one empty segmentation. Decoding gives the text back.
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import insort
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import tee
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,10 +32,30 @@ from taskgrid.llm.common import per_text
 from taskgrid.llm.token_counts import SPACE, default_model, word_pattern
 
 CACHE_WORDS = 250_000
+ALTERNATIVES = 20_000
+GROUP_CHARS = 2 << 20
 MISS = object()
+NONE = -1e300  # no path
 _LOADED: dict = {}
 
 
+class WordTable(dict):
+    """Answers of ``make`` per word. ``turn`` (between groups of texts) starts a new table when this one holds
+    ``CACHE_WORDS``; words of the one before are kept only if they are met again."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, w):
+        self[w] = hit = self.old.get(w) or self.make(w)
+        return hit
+
+    def turn(self):
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class Lattice:
     def __init__(self, path: str):
         import sentencepiece
@@ -42,91 +67,143 @@ class Lattice:
                 self.bytes[int(p[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.ids[p], self.score[p] = i, sp.get_score(i)
-        self.longest = max(map(len, self.ids))
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10
-        # every prefix of a piece with the piece's score, None where it is no piece itself: a miss ends a search
-        self.known = {p[:k]: None for p in self.ids for k in range(1, len(p))} | self.score
+        # every end of a piece with the piece's score, None where it is no piece itself: a miss ends a search
+        self.known = {p[k:]: None for p in self.ids for k in range(1, len(p))} | self.score
+        self.last, self.into, self.best, self.second = "", [[]], [0.0], [NONE]
         self.words = word_pattern(self.ids)
-        self.cache: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def forward(self, word: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
-        """Per end: (start, score) of the pieces that end there; and each place's best score (Viterbi)."""
-        n, known, longest = len(word), self.known.get, self.longest
-        into, best = [[] for _ in range(n + 1)], [0.0] + [-1e300] * n
-        for a in range(n):
-            base = best[a]  # final: all pieces that end here began earlier
-            if word[a] not in self.score:
-                into[a + 1].append((a, self.unknown))
-                best[a + 1] = max(best[a + 1], base + self.unknown)
-            for b in range(a + 1, min(n, a + longest) + 1):
+        self.table = WordTable(self.word)
+        self.alternatives = lru_cache(ALTERNATIVES)(self.n_best)
+
+    def forward(self, word: str) -> None:
+        """Per end: (start, score) of the pieces that end there (``into``); each place's two best scores (Viterbi).
+
+        All depend only on what stands before a place, so the part that ``word`` shares with the last word stays."""
+        known, score, into, best, second = self.known.get, self.score, self.into, self.best, self.second
+        same = 0
+        for x, y in zip(word, self.last):
+            if x != y:
+                break
+            same += 1
+        del into[same + 1:], best[same + 1:], second[same + 1:]
+        self.last = word
+        for b in range(same + 1, len(word) + 1):
+            ends, top, next_top = [], NONE, NONE
+            if word[b - 1] not in score:
+                ends.append((b - 1, self.unknown))
+                top, next_top = best[b - 1] + self.unknown, second[b - 1] + self.unknown
+            for a in range(b - 1, -1, -1):
                 s = known(word[a:b], MISS)
                 if s is None:
                     continue
-                if s is MISS:
+                if s is MISS:  # at the latest past the longest piece
                     break
-                into[b].append((a, s))
-                if base + s > best[b]:
-                    best[b] = base + s
-        return into, best
-
-    def n_best(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The ``n`` best (score, cuts) of ``word``; cuts are the pieces' starts in reading order."""
-        into, best = self.forward(word)
+                ends.append((a, s))
+                x = best[a] + s
+                if x > top:
+                    y = second[a] + s
+                    next_top = top if top > y else y
+                    top = x
+                elif x > next_top:
+                    next_top = x
+            ends.reverse()
+            into.append(ends)
+            best.append(top)
+            second.append(next_top)
+
+    def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
+        """The ``n`` best (score, cuts) of ``word``; cuts are nested pairs, the first piece's start outermost."""
+        if word != self.last:
+            self.forward(word)
+        into, best = self.into, self.best
         size = len(word)
-        out, heap, tick = [], [(-best[size], 0, size, 0.0, ())], 0
-        while heap and len(out) < n:
-            f, _, at, done, cuts = heapq.heappop(heap)
+        # sorted; as the heuristics are exact, each entry stands for a path of its own with that score, so no more
+        # entries than paths still wanted can matter
+        out, ahead, tick = [], [(-best[size], 0, size, 0.0, ())], 0
+        while ahead and len(out) < n:
+            f, _, at, done, cuts = ahead.pop(0)
             if at == 0:
                 out.append((-f, cuts))
                 continue
+            room = n - len(out)
             for a, s in into[at]:
-                tick -= 1  # the newest of equals first: towards the start
-                heapq.heappush(heap, (-(done + s + best[a]), tick, a, done + s, (cuts, a)))
-        return [(s, self.unlinked(c)) for s, c in out]
-
-    @staticmethod
-    def unlinked(c) -> list[int]:
-        out = []
-        while c:
-            c, a = c
-            out.append(a)
-        return out  # starts, in reading order
-
-    def pieces(self, word: str, cuts: list[int]) -> list[int]:
-        out = []
-        for a, b in zip(cuts, [*cuts[1:], len(word)]):
+                f = -(done + s + best[a])
+                if len(ahead) < room or f <= ahead[-1][0]:
+                    tick -= 1  # the newest of equals first: towards the start
+                    insort(ahead, (f, tick, a, done + s, (cuts, a)))
+                    del ahead[room:]
+        return out
+
+    def pieces(self, word: str, cuts: tuple) -> list[int]:
+        out, b = [], 0
+        while cuts:
+            cuts, a = cuts
+            b = cuts[1] if cuts else len(word)
             i = self.ids.get(word[a:b])
             out += [i] if i is not None else [self.bytes[x] for x in word[a:b].encode()]
         return out
 
     def word(self, w: str) -> tuple:
         """(best score, its ids as int32 bytes, loss of the second best)."""
-        hit = self.cache.get(w)
-        if hit is None:
-            if len(self.cache) >= CACHE_WORDS:  # words not met since the last change of tables go
-                self.old, self.cache = self.cache, {}
-            hit = self.old.get(w)
-            if hit is not None:
-                self.cache[w] = hit
-                return hit
-            two = self.n_best(w, 2)
-            hit = self.cache[w] = (two[0][0], np.array(self.pieces(w, two[0][1]), np.int32).tobytes(),
-                                   two[0][0] - two[1][0] if len(two) > 1 else float("inf"))
-        return hit
+        self.forward(w)
+        into, best = self.into, self.best
+        # exact heuristics lead the search for one path straight back, over pieces that lose nothing
+        at, cuts = len(w), ()
+        while at:
+            for a, s in reversed(into[at]):
+                if best[a] + s == best[at]:
+                    break
+            at, cuts = a, (cuts, a)
+        score, second = best[-1], self.second[-1]
+        return (score, array("i", self.pieces(w, cuts)).tobytes(),
+                score - second if second > NONE / 2 else float("inf"))
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids (int32 bytes) of the best segmentation and the ``n`` best scores."""
-        ws = self.words.findall(self.sp.normalize(text)) if text else []
-        got = [self.word(w) for w in ws]
-        top = sum(g[0] for g in got)
-        # the n best differ from the best in at most n - 1 words, those of smallest loss
-        few = heapq.nsmallest(n - 1, ((g[2], k) for k, g in enumerate(got) if g[2] < float("inf")))
+        return next(self.encode_all([text], n))
+
+    def encode_all(self, texts: Iterable[str], n: int) -> Iterator[tuple[bytes, list[float]]]:
+        """``encode`` of each text. Texts are taken in groups whose new words are searched in sorted order, so that
+        neighbours share the front of their lattices."""
+        group, size = [], 0
+        for t in texts:
+            group.append(self.words.findall(self.sp.normalize(t)) if t else [])
+            size += len(t)
+            if size >= GROUP_CHARS:
+                yield from self.encode_group(group, n)
+                group, size = [], 0
+        yield from self.encode_group(group, n)
+
+    def encode_group(self, group: list[list[str]], n: int) -> Iterator[tuple[bytes, list[float]]]:
+        self.table.turn()
+        words = list(set().union(*group))
+        for w in sorted(w for w in words if w not in self.table):
+            self.table[w]
+        score, ids, loss = zip(*map(self.table.__getitem__, words)) if words else ((), (), ())
+        score, loss = np.array(score), np.array(loss)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), np.int32), np.cumsum(size) - size
+        number = {w: k for k, w in enumerate(words)}
+        for ws in group:
+            if not ws:
+                yield b"", [0.0]
+                continue
+            at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
+            long = size[at]
+            ends = np.cumsum(long)
+            of_text = flat[np.arange(ends[-1]) + np.repeat(start[at] - ends + long, long)]
+            yield of_text.tobytes(), self.best_totals(ws, float(score[at].sum()), loss[at], n)
+
+    def best_totals(self, ws: list[str], top: float, loss: np.ndarray, n: int) -> list[float]:
+        """The ``n`` best scores of the words ``ws`` together, from the best one and each word's smallest loss."""
         totals = [top]
-        for _, k in few:
-            alt = self.n_best(ws[k], n)
-            totals = heapq.nlargest(n, (t + s - alt[0][0] for t in totals for s, _ in alt))
-        return b"".join(g[1] for g in got), totals
+        # the n best differ from the best in at most n - 1 words, those of smallest loss
+        few = np.argpartition(loss, n - 2)[:n - 1] if 1 < n <= len(ws) else range(len(ws) if n > 1 else 0)
+        for k in few:
+            if loss[k] < np.inf:
+                alt = self.alternatives(ws[k], n)
+                totals = heapq.nlargest(n, (t + s - alt[0][0] for t in totals for s, _ in alt))
+        return totals
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids: pieces and bytes joined, space marks read as spaces, the dummy first one dropped."""
@@ -151,11 +228,12 @@ def encode(df: DataFrame, text: str = "text", out: str = "pieces", n_best: int =
     def make():
         m = lattice(model or default_model())
 
-        def one(data: bytes):
-            t = data.decode("utf-8", "replace")
-            ids, scores = m.encode(t, n_best)
-            ids = np.frombuffer(ids, np.int32)
-            same = not check or m.sp.decode(ids.tolist()) == t.replace(SPACE, " ")
-            return ids, scores, same
-        return one
-    return df.withColumn(out, per_text(F.col(text), "ids array<int>, scores array<double>, round_trip boolean", make))
+        def every(texts):
+            texts, later = tee(t.decode("utf-8", "replace") for t in texts)
+            for t, (ids, scores) in zip(later, m.encode_all(texts, n_best)):
+                ids = np.frombuffer(ids, np.int32)
+                same = not check or m.sp.decode(ids.tolist()) == t.replace(SPACE, " ")
+                yield ids, scores, same
+        return every
+    return df.withColumn(out, per_text(F.col(text), "ids array<int>, scores array<double>, round_trip boolean", make,
+                                       every=True))
