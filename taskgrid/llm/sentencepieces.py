@@ -22,7 +22,7 @@ from array import array
 from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import tee
+from itertools import filterfalse, tee
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from taskgrid.llm.common import per_text
 from taskgrid.llm.token_counts import SPACE, default_model, word_pattern
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 ALTERNATIVES = 20_000
 GROUP_CHARS = 2 << 20
 MISS = object()
@@ -177,7 +177,7 @@ class Lattice:
     def encode_group(self, group: list[list[str]], n: int) -> Iterator[tuple[bytes, list[float]]]:
         self.table.turn()
         words = list(set().union(*group))
-        for w in sorted(w for w in words if w not in self.table):
+        for w in sorted(filterfalse(self.table.__contains__, words)):
             self.table[w]
         score, ids, loss = zip(*map(self.table.__getitem__, words)) if words else ((), (), ())
         score, loss = np.array(score), np.array(loss)
