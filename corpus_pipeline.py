@@ -2,7 +2,8 @@
 
 Stages keep whole rows: null texts count as empty (too short, so the quality
 stage drops them); rows of one id are judged each by the row stages, and the
-near-duplicate stage keeps one row per group (smallest id, then text).
+near-duplicate stage keeps one row per group (smallest id, null last, then
+text), whatever ids the rows have.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group (operator 6): the one whose id names the component."""
+    """One row of each SimHash group (operator 6): smallest id (null last), then text."""
     ship(spark)
-    groups = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    # an id given to several rows keeps the first of them; ids are distinct otherwise, so groups are single rows
-    return kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select(
-        "doc_id", "r.*")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), *COLUMNS)
+    # rows meet their group by fingerprint, never by id; partial minima keep a hot group small
+    path = scratch_path(spark, "near-dedup")
+    (docs.withColumn("fp", simhash.fingerprint(F.col("text"))).groupBy("fp").agg(F.min(row).alias("r"))
+     .write.parquet(path))
+    firsts = spark.read.parquet(path)
+    comp = simhash.components(simhash.links(firsts.select("fp")))
+    rooted = firsts.join(comp, firsts.fp == comp.node, "left").select(F.coalesce("root", "fp").alias("root"), "r")
+    return rooted.groupBy("root").agg(F.min("r").alias("r")).select(*[f"r.{c}" for c in COLUMNS])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
