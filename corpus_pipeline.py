@@ -51,10 +51,11 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their best segmentation (operator 8)."""
+    """The documents with the ids of their best segmentation (operator 8) and whether decoding them gives the text."""
     ship(spark)
-    return sentencepieces.encode(docs.select(*COLUMNS)).select(
-        *COLUMNS, F.col("pieces.ids").alias("piece_ids"), F.element_at("pieces.scores", 1).alias("piece_score"))
+    return sentencepieces.encode(docs.select(*COLUMNS), check=True).select(
+        *COLUMNS, F.col("pieces.ids").alias("piece_ids"), F.element_at("pieces.scores", 1).alias("piece_score"),
+        F.col("pieces.round_trip").alias("round_trip"))
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("decontamination", decontaminate),

@@ -89,7 +89,8 @@ def op8(spark, d):
     s = sentencepieces.encode(table(spark, d, "documents").select("doc_id", "text"), check=True)
     return s.select("doc_id", F.size("pieces.ids").cast("bigint").alias("n_pieces"),
                     F.sha2(F.concat_ws(",", F.col("pieces.ids").cast("array<string>")), 256).alias("ids_sha256"),
-                    F.col("pieces.scores").alias("scores"), F.col("pieces.round_trip").alias("round_trip"))
+                    F.col("pieces.scores").alias("scores"), F.xxhash64("pieces.others").alias("others_hash"),
+                    F.col("pieces.round_trip").alias("round_trip"))
 
 
 @register("op9_license_scan", licenses.SQL)

@@ -6,9 +6,10 @@ start; these are exact heuristics for an A-star search from the end, which
 yields segmentations in order of total score. No piece joins a space mark to
 what stands before it, nor a Latin letter to another character (checked on
 loading), so the lattice of a text is a chain of word lattices: each word is
-searched by itself (its best segmentation remembered in a bounded table), and the
-text's N best are the N best choices of one segmentation per word, found by N-best
-searches of the N - 1 words whose second best, kept by the forward pass, loses least.
+searched by itself (its best segmentation and the loss of its second best
+remembered in a bounded table), and the text's N best are the N best choices of one
+segmentation per word, found by N-best searches of the N - 1 words whose second best
+loses least. All N come back as ids.
 
 Scores are those of the model file. A character that no piece covers becomes its
 byte pieces at the lowest score less 10. Ties rank by pieces' ids from the end.
@@ -23,9 +24,11 @@ from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import filterfalse, tee
+from operator import itemgetter
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskgrid.llm.common import per_text
@@ -37,6 +40,7 @@ GROUP_CHARS = 2 << 20
 MISS = object()
 NONE = -1e300  # no path
 _LOADED: dict = {}
+_DECODERS: dict = {}
 
 
 class WordTable(dict):
@@ -56,10 +60,23 @@ class WordTable(dict):
             self.clear()
 
 
-class Lattice:
+class Decoder:
     def __init__(self, path: str):
         import sentencepiece
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.encode()
+                    for i, p in enumerate(map(sp.id_to_piece, range(sp.get_piece_size())))]
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of the ids: pieces and bytes joined, space marks read as spaces, the dummy first one dropped."""
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
+
+
+class Lattice(Decoder):
+    def __init__(self, path: str):
+        super().__init__(path)
+        sp = self.sp
         self.ids, self.score, self.bytes = {}, {}, {}
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
@@ -70,28 +87,28 @@ class Lattice:
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10
         # every end of a piece with the piece's score, None where it is no piece itself: a miss ends a search
         self.known = {p[k:]: None for p in self.ids for k in range(1, len(p))} | self.score
-        self.last, self.into, self.best, self.second = "", [[]], [0.0], [NONE]
+        self.last, self.into, self.best = "", [[]], [0.0]
         self.words = word_pattern(self.ids)
         self.table = WordTable(self.word)
-        self.alternatives = lru_cache(ALTERNATIVES)(self.n_best)
+        self.alternatives = lru_cache(ALTERNATIVES)(self.n_best_ids)
 
     def forward(self, word: str) -> None:
-        """Per end: (start, score) of the pieces that end there (``into``); each place's two best scores (Viterbi).
+        """Per end: (start, score) of the pieces that end there (``into``); each place's best score (Viterbi).
 
         All depend only on what stands before a place, so the part that ``word`` shares with the last word stays."""
-        known, score, into, best, second = self.known.get, self.score, self.into, self.best, self.second
+        known, score, into, best = self.known.get, self.score, self.into, self.best
         same = 0
         for x, y in zip(word, self.last):
             if x != y:
                 break
             same += 1
-        del into[same + 1:], best[same + 1:], second[same + 1:]
+        del into[same + 1:], best[same + 1:]
         self.last = word
         for b in range(same + 1, len(word) + 1):
-            ends, top, next_top = [], NONE, NONE
+            ends, top = [], NONE
             if word[b - 1] not in score:
                 ends.append((b - 1, self.unknown))
-                top, next_top = best[b - 1] + self.unknown, second[b - 1] + self.unknown
+                top = best[b - 1] + self.unknown
             for a in range(b - 1, -1, -1):
                 s = known(word[a:b], MISS)
                 if s is None:
@@ -101,15 +118,10 @@ class Lattice:
                 ends.append((a, s))
                 x = best[a] + s
                 if x > top:
-                    y = second[a] + s
-                    next_top = top if top > y else y
                     top = x
-                elif x > next_top:
-                    next_top = x
             ends.reverse()
             into.append(ends)
             best.append(top)
-            second.append(next_top)
 
     def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
         """The ``n`` best (score, cuts) of ``word``; cuts are nested pairs, the first piece's start outermost."""
@@ -143,27 +155,23 @@ class Lattice:
             out += [i] if i is not None else [self.bytes[x] for x in word[a:b].encode()]
         return out
 
+    def n_best_ids(self, word: str, n: int) -> list[tuple[float, np.ndarray]]:
+        return [(s, np.array(self.pieces(word, cuts), np.int32)) for s, cuts in self.n_best(word, n)]
+
     def word(self, w: str) -> tuple:
-        """(best score, its ids as int32 bytes, loss of the second best)."""
-        self.forward(w)
-        into, best = self.into, self.best
-        # exact heuristics lead the search for one path straight back, over pieces that lose nothing
-        at, cuts = len(w), ()
-        while at:
-            for a, s in reversed(into[at]):
-                if best[a] + s == best[at]:
-                    break
-            at, cuts = a, (cuts, a)
-        score, second = best[-1], self.second[-1]
+        """(best score, its ids as int32 bytes, loss of the second best), from the two best of the search."""
+        found = self.n_best(w, 2)
+        score, cuts = found[0]
         return (score, array("i", self.pieces(w, cuts)).tobytes(),
-                score - second if second > NONE / 2 else float("inf"))
+                score - found[1][0] if len(found) > 1 else float("inf"))
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids (int32 bytes) of the best segmentation and the ``n`` best scores."""
-        return next(self.encode_all([text], n))
+        return next(self.encode_all([text], n))[:2]
 
-    def encode_all(self, texts: Iterable[str], n: int) -> Iterator[tuple[bytes, list[float]]]:
-        """``encode`` of each text. Texts are taken in groups whose new words are searched in sorted order, so that
+    def encode_all(self, texts: Iterable[str], n: int) -> Iterator[tuple[bytes, list[float], list[tuple]]]:
+        """``encode`` of each text, and where its second to ``n``-th best segmentations differ from the best: (rank from 1,
+        place in the ids, how many go, the ids put there). Texts are taken in groups whose new words are searched in sorted order, so that
         neighbours share the front of their lattices."""
         group, size = [], 0
         for t in texts:
@@ -174,7 +182,7 @@ class Lattice:
                 group, size = [], 0
         yield from self.encode_group(group, n)
 
-    def encode_group(self, group: list[list[str]], n: int) -> Iterator[tuple[bytes, list[float]]]:
+    def encode_group(self, group: list[list[str]], n: int) -> Iterator[tuple[bytes, list[float], list[tuple]]]:
         self.table.turn()
         words = list(set().union(*group))
         for w in sorted(filterfalse(self.table.__contains__, words)):
@@ -186,33 +194,30 @@ class Lattice:
         number = {w: k for k, w in enumerate(words)}
         for ws in group:
             if not ws:
-                yield b"", [0.0]
+                yield b"", [0.0], []
                 continue
             at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
             long = size[at]
             ends = np.cumsum(long)
             of_text = flat[np.arange(ends[-1]) + np.repeat(start[at] - ends + long, long)]
-            yield of_text.tobytes(), self.best_totals(ws, float(score[at].sum()), loss[at], n)
+            best = self.best_choices(ws, float(score[at].sum()), loss[at], n)
+            changes = [(r, int(ends[k] - long[k]), int(long[k]), x) for r, (_, c) in enumerate(best)
+                       for k, x in sorted(c, key=itemgetter(0))]
+            yield of_text.tobytes(), [x for x, _ in best], changes
 
-    def best_totals(self, ws: list[str], top: float, loss: np.ndarray, n: int) -> list[float]:
-        """The ``n`` best scores of the words ``ws`` together, from the best one and each word's smallest loss."""
-        totals = [top]
+    def best_choices(self, ws: list[str], top: float, loss: np.ndarray, n: int) -> list[tuple[float, tuple]]:
+        """The ``n`` best (score, choice) of the words ``ws`` together, from the best score and each word's smallest
+        loss; a choice is the (word's place, its ids) that differ from the best."""
+        best = [(top, ())]
         # the n best differ from the best in at most n - 1 words, those of smallest loss
-        few = np.argpartition(loss, n - 2)[:n - 1] if 1 < n <= len(ws) else range(len(ws) if n > 1 else 0)
+        few = np.argpartition(loss, n - 2)[:n - 1].tolist() if 1 < n <= len(ws) else range(len(ws) if n > 1 else 0)
         for k in few:
             if loss[k] < np.inf:
                 alt = self.alternatives(ws[k], n)
-                totals = heapq.nlargest(n, (t + s - alt[0][0] for t in totals for s, _ in alt))
-        return totals
-
-    def decode(self, ids: list[int]) -> str:
-        """Text of the ids: pieces and bytes joined, space marks read as spaces, the dummy first one dropped."""
-        out = bytearray()
-        for i in ids:
-            p = self.sp.id_to_piece(i)
-            out += bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+                first = alt[0][0]
+                best = heapq.nlargest(n, [(t + s - first, (*c, (k, x)) if j else c)
+                                          for t, c in best for j, (s, x) in enumerate(alt)], key=itemgetter(0))
+        return best
 
 
 def lattice(path: str) -> Lattice:
@@ -221,19 +226,51 @@ def lattice(path: str) -> Lattice:
     return _LOADED[path]
 
 
+def decoder(path: str) -> Decoder:
+    if path not in _LOADED and path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _LOADED.get(path) or _DECODERS[path]
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "pieces", n_best: int = 4, model: str | None = None,
            check: bool = False) -> DataFrame:
-    """``df`` plus ``out``: ids of the best segmentation, the ``n_best`` scores, and with ``check`` whether
-    decoding gives the text back (a space mark in the text itself reads as a space)."""
+    """``df`` plus ``out``: ids of the best segmentation, the ``n_best`` scores, the ids of the second to ``n_best``-th
+    segmentation (``others``), and with ``check`` whether decoding gives the text back (a space mark in the text
+    itself reads as a space)."""
     def make():
         m = lattice(model or default_model())
 
         def every(texts):
             texts, later = tee(t.decode("utf-8", "replace") for t in texts)
-            for t, (ids, scores) in zip(later, m.encode_all(texts, n_best)):
+            for t, (ids, scores, changes) in zip(later, m.encode_all(texts, n_best)):
                 ids = np.frombuffer(ids, np.int32)
-                same = not check or m.sp.decode(ids.tolist()) == t.replace(SPACE, " ")
-                yield ids, scores, same
+                same = not check or m.decode(ids.tolist()) == t.replace(SPACE, " ")
+                yield ids, scores, changes, same
         return every
-    return df.withColumn(out, per_text(F.col(text), "ids array<int>, scores array<double>, round_trip boolean", make,
-                                       every=True))
+    found = per_text(F.col(text), "ids array<int>, scores array<double>, changes array<struct<rank:int,at:int,gone:int,"
+                                  "ids:array<int>>>, round_trip boolean", make, every=True)
+    # only the changed words leave Python; the ids of the other segmentations are put together here
+    p = F.col(out)
+    ranks = F.slice(F.array(*[F.lit(r) for r in range(1, max(n_best, 2))]), 1, F.size(p["scores"]) - 1)
+    return df.withColumn(out, found).withColumn(out, F.struct(
+        p["ids"].alias("ids"), p["scores"].alias("scores"),
+        F.transform(ranks, lambda r: changed(p["ids"], F.filter(p["changes"], lambda c: c["rank"] == r))).alias("others"),
+        p["round_trip"].alias("round_trip")))
+
+
+def changed(ids: Column, changes: Column) -> Column:
+    """``ids`` with ``changes`` (in the order of their places) made."""
+    start = F.struct(F.slice(ids, 1, 0).alias("done"), F.lit(0).alias("at"))
+    return F.aggregate(changes, start, lambda x, c: F.struct(
+        F.concat(x["done"], F.slice(ids, x["at"] + 1, c["at"] - x["at"]), c["ids"]).alias("done"),
+        (c["at"] + c["gone"]).alias("at")),
+        lambda x: F.concat(x["done"], F.slice(ids, x["at"] + 1, F.size(ids))))
+
+
+def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str | None = None) -> DataFrame:
+    """``df`` plus ``out``: the text of the column ``ids`` (an array of piece ids; null gives an empty text)."""
+    def run(rows: pa.Array) -> pa.Array:
+        text = decoder(model or default_model()).decode
+        return pa.array([text(r or []) for r in rows.to_pylist()], pa.string())
+    run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return df.withColumn(out, F.arrow_udf(run, "string")(F.col(ids)))

@@ -1,7 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
+import itertools
 import random
 
-from taskgrid.llm import common
+from pyspark.sql import functions as F
+
+from taskgrid.llm import common, sentencepieces
+from taskgrid.llm.token_counts import default_model
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +26,44 @@ def test_near_dedup_goes_by_row(spark):
     assert out.columns == p.COLUMNS
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(
         [(None, a), (None, b), (3, c), (7, d), (9, e), (10, None)], key=str)
+
+
+def test_all_n_best_come_back_as_ids(spark):
+    m = sentencepieces.lattice(default_model())
+
+    def score(ids):
+        total, k = 0.0, 0
+        while k < len(ids):
+            if m.sp.is_byte(ids[k]):  # the bytes of one character count once
+                lead = m.raw[ids[k]][0]
+                k += 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+                total += m.unknown
+            else:
+                total, k = total + m.score[m.sp.id_to_piece(ids[k])], k + 1
+        return total
+    common.ship(spark)
+    texts = ["then the", "on  in", "é 日 a", "", None, "a\nb", "than that nation", "🙂 thin", " lead", "x" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sentencepieces.decode(sentencepieces.encode(df, n_best=5, check=True), "pieces.ids").select(
+        "*", F.posexplode_outer("pieces.others").alias("k", "other"))
+    out = sentencepieces.decode(out, "other", "other_text").collect()
+    seen = {}
+    for r in out:
+        assert r.decoded == (r.text or "") and r.pieces.round_trip
+        assert len(r.pieces.others) == len(r.pieces.scores) - 1
+        all_ids = [r.pieces.ids, *r.pieces.others]
+        assert len(set(map(tuple, all_ids))) == len(all_ids)
+        assert [score(x) for x in all_ids] == r.pieces.scores
+        if r.other is not None:
+            assert r.other_text == (r.text or "")
+            seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
+    assert seen[0] == 4 and seen[6] == 4
+    for w in ["▁then", "▁nation", "tion"]:  # every cutting of a word, best first
+        every = set()
+        for keep in itertools.product([0, 1], repeat=len(w) - 1):
+            cuts = [0, *[i + 1 for i, k in enumerate(keep) if k], len(w)]
+            ps = [w[a:b] for a, b in zip(cuts, cuts[1:])]
+            if all(x in m.ids for x in ps):
+                every.add(tuple(m.ids[x] for x in ps))
+        got = [tuple(x.tolist()) for _, x in m.n_best_ids(w, len(every) + 1)]
+        assert len(got) == len(every) and set(got) == every
