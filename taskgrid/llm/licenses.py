@@ -61,7 +61,6 @@ def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "t
         F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("u")))),
         lambda x: (F.size(lines) > 1) | (x["line"] > 0))
     u = (df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.explode(units).alias("x"))
-         .filter(F.size(F.split("x.u", r"\s+")) - 1 >= (low or 0) / 4)
          .select("doc_id", "row", "x.line", words(F.col("x.u")).alias("w"))
          .filter(F.size("w") - 1 >= F.lit(low or 0))
          .withColumn("a", bigrams(F.col("w"))).withColumn("size_a", F.size("a"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taskgrid.llm import common, sentencepieces
+from taskgrid.llm import common, licenses, sentencepieces
 from taskgrid.llm.token_counts import default_model
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,10 @@ def test_all_n_best_come_back_as_ids(spark):
                 every.add(tuple(m.ids[x] for x in ps))
         got = [tuple(x.tolist()) for _, x in m.n_best_ids(w, len(every) + 1)]
         assert len(got) == len(every) and set(got) == every
+
+
+def test_license_words_not_split_by_white_space(spark):
+    rows = [(1, "Licensed\u00a0under\u00a0CC\u00a0BY\u00a04.0."), (2, "x\nLicensed_under/CC-BY-4.0"), (3, "no notice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line, r.license, r.dice) for r in licenses.scan(df, licenses.templates(spark)).collect()}
+    assert got == {(1, 1, "CC-BY-4.0", 1.0), (2, 2, "CC-BY-4.0", 1.0), (2, 0, "CC-BY-4.0", 0.909091)}
