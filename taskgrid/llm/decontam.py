@@ -12,9 +12,12 @@ before an item is scored, else all cursors skip. Hits are verified on the whole
 text: five-word shingles of the item's question (all but its last sentence) and
 of its answer (the last one) must each be found to 0.8 or more.
 
-The benchmark is used in blocks of ``ITEMS`` items: an index is bounded, however
-large the benchmark, and all documents are read against each block. Items
-without words, and null texts, match nothing. Repeated item rows count once.
+A benchmark over ``ITEMS`` items or ``ITEM_BYTES`` of text is used in blocks dealt
+by hash, each of about that size. The number of items, document
+frequencies, mean and greatest length are of the whole benchmark, so scores do not
+depend on the blocks. The blocks are used in turn: one is fetched, all texts are
+read against its index, and what it finds is written before the next. Items without
+words, and null texts, match nothing. Repeated item rows count once.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskgrid.llm.common import per_text
+from taskgrid.session import scratch_path
 
 ITEMS = 5000
+ITEM_BYTES = 4 << 20
 PER_BLOCK = 4
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -48,21 +53,24 @@ def shingles(words: list[str], k: int = 5) -> set:
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, int, int, dict[str, int]] | None = None):
+        """``whole``: items with words, their words, the longest one's words and the document frequencies (of the
+        terms of ``items`` at least) of the benchmark that ``items`` are a block of."""
         items = [(i, t) for i, t in items if tokens(t or "")]
         self.ids = [i for i, _ in items]
         self.words = [tokens(t) for _, t in items]
         self.parts = [[shingles(p) for p in question_answer(t) if p] for _, t in items]
-        n = len(items)
-        mean = sum(map(len, self.words)) / max(n, 1)
-        df: dict[str, int] = {}
-        for w in self.words:
-            for x in set(w):
-                df[x] = df.get(x, 0) + 1
+        n, total_words, longest, df = whole or (
+            len(items), sum(map(len, self.words)), max(map(len, self.words), default=1), {})
+        mean = total_words / max(n, 1)
+        if not whole:
+            for w in self.words:
+                for x in set(w):
+                    df[x] = df.get(x, 0) + 1
         self.term = {x: k + 1 for k, x in enumerate(df)}  # 0: not in the index
         idf = {x: np.log(1 + (n - c + 0.5) / (c + 0.5)) for x, c in df.items()}
         self.post: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
-        self.n_blocks = max(1, -(-n // PER_BLOCK))
+        self.n_blocks = max(1, -(-len(items) // PER_BLOCK))
         self.block_max = np.zeros((len(df) + 1, self.n_blocks), np.float32)
         for d, w in enumerate(self.words):
             score = {}
@@ -75,7 +83,7 @@ class Index:
                 self.post[k].append((d, s / total))
                 self.block_max[k, d // PER_BLOCK] = max(self.block_max[k, d // PER_BLOCK], s / total)
         self.upper = self.block_max.max(1)
-        self.span = 2 * max(map(len, self.words), default=1)
+        self.span = 2 * longest
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items scoring ``threshold`` or more for the query ``terms``, by block-max WAND."""
@@ -148,33 +156,76 @@ class Index:
         return out
 
 
-def matches_column(text, items: list, threshold: float, overlap: float):
+MATCHES = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
+
+
+def matches_column(text, items: list, threshold: float, overlap: float, whole: tuple | None = None):
     box = []
 
     def make():
         if not box:
-            box.append(Index(items))
+            box.append(Index(items, whole))
 
         def one(data: bytes):
             found = box[0].search(tokens(data.decode("utf-8", "replace")), threshold, overlap)
             return ([{"item_id": i, "score": s, "question_overlap": q, "answer_overlap": a}
                      for i, s, q, a in found],)
         return one
-    return per_text(text, "m array<struct<item_id:bigint,score:double,question_overlap:double,"
-                          "answer_overlap:double>>", make)["m"]
+    return per_text(text, f"m {MATCHES}", make)["m"]
 
 
 def with_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "matches",
                  threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """``df`` plus ``out``: the benchmark items that each text holds."""
     items = benchmark.select("item_id", "text").distinct()
-    n = items.count()
-    cols = [c for c in df.columns if c != out]
-    res = df.select(*cols)
-    found = []
-    for k in range(-(-n // ITEMS)):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // ITEMS))) == k).collect()
-        found.append(matches_column(F.col(text), [(r[0], r[1]) for r in rows], threshold, overlap))
-    none = F.expr("cast(array() as array<struct<item_id:bigint,score:double,question_overlap:double,"
-                  "answer_overlap:double>>)")
-    return res.withColumn(out, F.concat(none, *found) if found else none)
+    n, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks = max(-(-n // ITEMS), -(-(size or 0) // ITEM_BYTES))
+    res = df.select(*[c for c in df.columns if c != out])
+    if not n:
+        return res.withColumn(out, F.expr(f"cast(array() as {MATCHES})"))
+    if blocks == 1:
+        rows = items.collect()
+        return res.withColumn(out, matches_column(F.col(text), [(r[0], r[1]) for r in rows], threshold, overlap))
+    return in_blocks(res, items, blocks, text, out, threshold, overlap)
+
+
+def in_blocks(df: DataFrame, items: DataFrame, blocks: int, text: str, out: str, threshold: float,
+              overlap: float) -> DataFrame:
+    """``with_matches`` for a benchmark of several blocks."""
+    spark = df.sparkSession
+
+    def written(table: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, f"decontaminate-{name}")
+        table.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def make():
+        def one(data: bytes):
+            w = tokens(data.decode("utf-8", "replace"))
+            return len(w), list(dict.fromkeys(w))
+        return one
+    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block")
+    cut = written(items.select("item_id", "text", dealt, per_text(F.col("text"), "n bigint, terms array<string>", make)
+                               .alias("t")).filter("t.n > 0"), "items")
+    n, total, longest = cut.agg(F.count(F.lit(1)), F.sum("t.n"), F.max("t.n")).first()
+    if not n:
+        return df.withColumn(out, F.expr(f"cast(array() as {MATCHES})"))
+    terms = cut.select("block", F.explode("t.terms").alias("term")).groupBy("term", "block").agg(
+        F.count(F.lit(1)).alias("c"))
+    often = terms.groupBy("term").agg(F.sum("c").alias("df"))
+    often = written(terms.select("term", "block").join(often, "term"), "terms")
+    # a number per row, kept by writing it: rows may be alike
+    docs = written(df.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    found = None
+    for k in range(blocks):
+        rows = [(r[0], r[1]) for r in cut.filter(F.col("block") == k).select("item_id", "text").collect()]
+        if not rows:
+            continue
+        whole = (n, total, longest, {r[0]: r[1] for r in often.filter(F.col("block") == k).select("term", "df").collect()})
+        hit = matches_column(F.col(text), rows, threshold, overlap, whole)
+        part = written(docs.select("__row", F.lit(k).alias("block"), F.posexplode(hit).alias("at", "m")), f"block-{k}")
+        found = part if found is None else found.unionByName(part)
+    by_row = found.groupBy("__row").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("block", "at", "m"))), lambda x: x["m"]).alias(out))
+    none = F.expr(f"cast(array() as {MATCHES})")
+    return docs.join(by_row, "__row", "left").withColumn(out, F.coalesce(out, none)).drop("__row")

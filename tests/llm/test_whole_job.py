@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taskgrid.llm import common, licenses, sentencepieces
+from taskgrid.llm import common, decontam, licenses, sentencepieces
 from taskgrid.llm.token_counts import default_model
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +74,27 @@ def test_license_words_not_split_by_white_space(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.line, r.license, r.dice) for r in licenses.scan(df, licenses.templates(spark)).collect()}
     assert got == {(1, 1, "CC-BY-4.0", 1.0), (2, 2, "CC-BY-4.0", 1.0), (2, 0, "CC-BY-4.0", 0.909091)}
+
+
+def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    common.ship(spark)
+    rng = random.Random(5)
+    items = [(k, "all items say " + words(100 + k, rng.randint(30, 60)) + ". " + words(200 + k, 6)) for k in range(30)]
+    items += [(40, None), (41, " "), (42, "common common w1 w2 w3. w4 w5 w6 w7 w8"), items[3]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, f"{words(300 + k)} {t} {words(400 + k)}") for k, t in items if t]
+    rows += [(60 + k, t[len("all items say "):]) for k, t in items[:30]]  # held in part: scores follow the frequencies
+    rows += [(50, f"{items[0][1]} {items[7][1]}"), (51, None), (52, words(9)), rows[0]]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, matches string")
+
+    def found():
+        out = decontam.with_matches(df, bench)
+        assert out.columns == ["doc_id", "text", "matches"]
+        return sorted((r.doc_id, sorted((m.item_id, round(m.score, 9), m.question_overlap, m.answer_overlap)
+                                        for m in r.matches)) for r in out.collect())
+    want = found()
+    assert len(want) == len(rows) and sum(bool(m) for _, m in want) >= 32
+    for name, value in (("ITEMS", 7), ("ITEM_BYTES", 1500)):
+        with monkeypatch.context() as m:
+            m.setattr(decontam, name, value)
+            assert found() == want
