@@ -127,9 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, precision: float
               .groupBy("doc_id").agg(F.min("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     named = features()
-    # at most ``sample`` short rows, so the broadcast and the rows fetched are bounded
+    # at most ``sample`` short rows, one of each id, so the broadcast and the rows fetched are bounded
     rows = (with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-            .select("quality", *[c.alias(k) for k, c in named.items()])
+            .select("doc_id", F.struct("quality", *[c.alias(k) for k, c in named.items()]).alias("r"))
+            .groupBy("doc_id").agg(F.min("r").alias("r")).select("r.*")
             .orderBy(*named, "quality").collect())
     if not rows:
         return []

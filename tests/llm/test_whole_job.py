@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taskgrid.llm import common, decontam, licenses, sentencepieces
+from taskgrid.llm import common, decontam, licenses, quality_rules, sentencepieces
 from taskgrid.llm.token_counts import default_model
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,14 @@ def test_scores_do_not_depend_on_blocks(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(decontam, name, value)
             assert found() == want
+
+
+def test_fit_fetches_one_row_of_an_id(spark, monkeypatch):
+    common.ship(spark)
+    docs = spark.createDataFrame([(1, words(k)) for k in range(50)] + [(2, "a a a"), (3, words(60))],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality long")
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn", lambda x, bad, precision: seen.append((len(x), int(bad.sum()))) or [])
+    quality_rules.fit(docs, labels)
+    assert seen == [(3, 1)]
