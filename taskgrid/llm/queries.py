@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskgrid.llm import (chat, decontam, licenses, quality_rules, secrets, sentencepieces, simhash,
+from taskgrid.llm import (chat, decontam, fim, licenses, quality_rules, secrets, sentencepieces, simhash,
                           substring, token_counts, warc)
 from taskgrid.llm.common import table
+from taskgrid.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +97,8 @@ def op8(spark, d):
 @register("op9_license_scan", licenses.SQL)
 def op9(spark, d):
     return licenses.scan(table(spark, d, "documents"), licenses.templates(spark))
+
+
+@register("op11_fill_in_middle", fim.SQL)
+def op11(spark, d):
+    return fim.digest(table(spark, d, "documents"), scratch_path(spark, "fim-store"))
