@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskgrid.llm import (chat, decontam, fim, licenses, quality_rules, secrets, sentencepieces, simhash,
+from taskgrid.llm import (chat, decontam, fim, html_text, licenses, quality_rules, secrets, sentencepieces, simhash,
                           substring, token_counts, warc)
 from taskgrid.llm.common import table
 from taskgrid.session import scratch_path
@@ -102,3 +102,8 @@ def op9(spark, d):
 @register("op11_fill_in_middle", fim.SQL)
 def op11(spark, d):
     return fim.digest(table(spark, d, "documents"), scratch_path(spark, "fim-store"))
+
+
+@register("op12_html_text")
+def op12(spark, d):
+    return html_text.digest(table(spark, d, "pages"))
