@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskgrid.llm import (chat, decontam, fim, html_text, licenses, quality_rules, secrets, sentencepieces, simhash,
-                          substring, token_counts, warc)
+from taskgrid.llm import (chat, decontam, fim, html_text, licenses, quality_rules, secrets, sentencepieces, setm,
+                          simhash, substring, token_counts, warc)
 from taskgrid.llm.common import table
 from taskgrid.session import scratch_path
 
@@ -107,3 +107,8 @@ def op11(spark, d):
 @register("op12_html_text")
 def op12(spark, d):
     return html_text.digest(table(spark, d, "pages"))
+
+
+@register("op13_collocations", setm.SQL)
+def op13(spark, d):
+    return setm.collocations(table(spark, d, "documents"))
