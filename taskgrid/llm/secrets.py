@@ -7,8 +7,12 @@ right-to-left pass over a text's bytes marks, for all rules at once, every
 position where some match starts. From the leftmost start each rule's own
 forward automaton finds the longest match; the next match starts after it.
 
-Null texts count as empty and have no spans. Repeated rows are scanned each;
-an input column named like the result column is replaced. Offsets are code
+A private key is covered from its BEGIN line to its END line (without one, up to
+the next dashed line or the text's end).
+
+Null texts count as empty and have no spans. Repeated rows are scanned each, an
+empty table gives an empty one; a text of any length is one pass, each match one
+more over its own bytes. An input column named like the result column is replaced. Offsets are code
 points, ends exclusive.
 """
 
@@ -36,12 +40,15 @@ KEY = (r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc]
        r"|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])")
 HEAD = KEY + r"""["']?\x20*[:=]\x20*["']?"""
 BASE_KINDS = ("assign", "access", "hex")
+# all up to the next five dashes, which begin the END line, or up to the text's end
+KEY_BODY = r"([^\-]|-[^\-]|--[^\-]|---[^\-]|----[^\-])*"
 # The base rules, then further public token formats.
 RULES = (
     Rule("assign", HEAD + r"[A-Za-z0-9+/_.=\-]+", 12, HEAD),
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16}[0-9a-f]*", 16),
-    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("private_key", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY(\x20BLOCK)?-----" + KEY_BODY
+         + r"(-----END\x20[A-Z\x20]*PRIVATE\x20KEY(\x20BLOCK)?-----)?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", 30),

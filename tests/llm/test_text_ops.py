@@ -34,6 +34,19 @@ def docs(spark):
     return rows, spark.createDataFrame([(*r, "s", "t", "u", "v") for r in rows], DDL).repartition(5)
 
 
+PEM = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nMIIEow0aB--c/+==\n-----END RSA PRIVATE KEY-----"
+
+
+def test_whole_private_keys(spark):
+    body = "k3y" * 400_000
+    rows = [(1, f"a\n{PEM}\nb"), (2, f"x {PEM}{PEM}y"), (3, "cut\n" + PEM[:70]), (4, PEM.replace("\n", "\\n") + '",'),
+            (5, f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----\ntail"),
+            (6, "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {
+        1: "a\n[SECRET]\nb", 2: "x [SECRET][SECRET]y", 3: "cut\n[SECRET]", 4: '[SECRET]",', 5: "[SECRET]\ntail", 6: rows[5][1]}
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.I | re.A)
 
