@@ -9,9 +9,11 @@ A URL may hold a third of all captures: captures are dealt by (URL, slice of
 time), the last response of each slice is one row, and a window over those rows
 alone carries it into later slices.
 
-Null URLs are no captures' URL and never resolve; null times come before all. A
+The canonical URL keeps the query (sorted, without tracking parameters): resources
+of one script stay apart. Null URLs are no captures' URL and never resolve; null times come before all. A
 response at the same time is not earlier; of two at one time the larger record
-id counts. Repeated rows resolve each alike.
+id counts. Repeated rows resolve each alike. An empty table gives
+an empty result; extra columns are not read. URLs are the only texts, of any length.
 """
 
 from __future__ import annotations
@@ -20,14 +22,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Parameters that name a visit, not a resource (besides utm_*); headers that a 304 may renew.
+TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ref")
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 
 
 def canonical(url: Column) -> Column:
-    """Without scheme, ``www.``/``m.``, fragment, query, index page ending and closing slash; lower-case host."""
-    rest = F.regexp_replace(F.regexp_replace(url, r"(?i)^https?://(www\.|m\.)?", ""), r"[?#].*$", "")
-    host = F.lower(F.substring_index(rest, "/", 1))
-    return F.regexp_replace(F.concat(host, F.substring(rest, F.length(host) + 1, 1 << 30)), r"(\.html?)?/*$", "")
+    """Without scheme, ``www.``/``m.``, fragment and closing slashes; lower-case host; parameters sorted, tracking ones dropped."""
+    rest = F.regexp_replace(F.regexp_replace(url, r"(?i)^https?://(www\.|m\.)?", ""), r"(?s)#.*$", "")
+    place = F.substring_index(rest, "?", 1)
+    host = F.substring_index(place, "/", 1)
+    path = F.regexp_replace(F.substring(place, F.length(host) + 1, F.length(place)), "/+$", "")
+    name = lambda p: F.lower(F.substring_index(p, "=", 1))
+    given = F.split(F.substring(rest, F.length(place) + 2, F.length(rest)), "&")
+    kept = F.array_sort(F.filter(given, lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*TRACKING)))
+    return F.concat(F.lower(host), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.concat_ws("&", kept))).otherwise(""))
 
 
 def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
@@ -101,11 +110,15 @@ def digest(pages: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, url,
-    regexp_replace(regexp_replace(url, '^https?://(www\.|m\.)?', '', 'i'), '[?#].*$', '') AS rest FROM pages),
+WITH r AS (SELECT page_id, coalesce(html, '') AS html,
+    regexp_replace(regexp_replace(url, '^https?://(www\.|m\.)?', '', 'i'), '(?s)#.*$', '') AS rest FROM pages),
+q AS (SELECT *, split_part(rest, '?', 1) AS place, split_part(split_part(rest, '?', 1), '/', 1) AS host,
+    list_sort(list_filter(string_split(substr(rest, length(split_part(rest, '?', 1)) + 2), '&'), lambda p: p <> ''
+      AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN
+      ('fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'msclkid', 'ref'))) AS kept FROM r),
 k AS (SELECT page_id, md5(html) AS tag, length(html) AS n,
-    regexp_replace(lower(split_part(rest, '/', 1)) || substr(rest, length(split_part(rest, '/', 1)) + 1),
-                   '(\.html?)?/*$', '') AS url_key FROM p),
+    lower(host) || regexp_replace(substr(place, length(host) + 1), '/+$', '')
+      || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key FROM q),
 m AS (SELECT b.page_id, b.url_key, b.tag, b.n, arg_max(a.page_id, a.page_id) AS response_page_id,
              arg_max(a.tag, a.page_id) AS tag2, arg_max(a.n, a.page_id) AS n2
       FROM k b LEFT JOIN k a ON a.url_key = b.url_key AND a.page_id < b.page_id + b.n GROUP BY ALL)
