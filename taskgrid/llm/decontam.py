@@ -17,12 +17,18 @@ by hash, each of about that size. The number of items, document
 frequencies, mean and greatest length are of the whole benchmark, so scores do not
 depend on the blocks. The blocks are used in turn: one is fetched, all texts are
 read against its index, and what it finds is written before the next. Items without
-words, and null texts, match nothing. Repeated item rows count once.
+words, and null texts, match nothing. Repeated item rows count once; repeated
+documents are matched each, an empty table on either side gives no matches. Bounds
+are summed in 64-bit floats, so a text of any length loses no item. A column named
+like the result is replaced (with several blocks, one named ``__row`` as well).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -69,27 +75,41 @@ class Index:
                     df[x] = df.get(x, 0) + 1
         self.term = {x: k + 1 for k, x in enumerate(df)}  # 0: not in the index
         idf = {x: np.log(1 + (n - c + 0.5) / (c + 0.5)) for x, c in df.items()}
-        self.post: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
+        # posting lists: items in order, their weights, and the greatest weight of each block that the list touches
+        self.post: list[tuple[list[int], list[float]]] = [([], []) for _ in range(len(df) + 1)]
         self.n_blocks = max(1, -(-len(items) // PER_BLOCK))
-        self.block_max = np.zeros((len(df) + 1, self.n_blocks), np.float32)
         for d, w in enumerate(self.words):
             score = {}
-            for x in set(w):
-                tf = w.count(x)
+            for x, tf in Counter(w).items():
                 score[x] = idf[x] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
             total = sum(score.values())
             for x, s in score.items():
-                k = self.term[x]
-                self.post[k].append((d, s / total))
-                self.block_max[k, d // PER_BLOCK] = max(self.block_max[k, d // PER_BLOCK], s / total)
-        self.upper = self.block_max.max(1)
+                at, weights = self.post[self.term[x]]
+                at.append(d)
+                weights.append(s / total)
+        self.block_max: list[dict[int, float]] = []
+        for at, weights in self.post:
+            top: dict[int, float] = {}
+            for d, s in zip(at, weights):
+                top[d // PER_BLOCK] = max(top.get(d // PER_BLOCK, 0.0), s)
+            self.block_max.append(top)
+        self.upper = np.array([max(t.values(), default=0.0) for t in self.block_max])
+        # the same maxima as arrays, one stretch per term
+        self.first = np.concatenate(([0], np.cumsum([len(t) for t in self.block_max])))
+        self.blocks = np.array([b for t in self.block_max for b in t], np.int64)
+        self.maxima = np.array([m for t in self.block_max for m in t.values()])
         self.span = 2 * longest
 
+    def best_block(self, terms: np.ndarray) -> float:
+        """The greatest sum of the terms' maxima over a block."""
+        n = self.first[terms + 1] - self.first[terms]
+        at = np.repeat(self.first[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return float(np.bincount(self.blocks[at], self.maxima[at]).max(initial=0.0))
+
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items scoring ``threshold`` or more for the query ``terms``, by block-max WAND."""
         out, need = [], threshold - 1e-6
-        cursors = [(self.post[k][0][0], k, 0) for k in terms if self.post[k]]
-        cursors.sort()
+        cursors = sorted((self.post[k][0][0], k, 0) for k in terms if self.post[k][0])
         while cursors:
             bound, pivot = 0.0, -1
             for i, (_, k, _) in enumerate(cursors):
@@ -103,10 +123,10 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // PER_BLOCK
-            if sum(float(self.block_max[k, block]) for _, k, _ in cursors[:pivot + 1]) >= need:
+            if sum(self.block_max[k].get(block, 0.0) for _, k, _ in cursors[:pivot + 1]) >= need:
                 target = item + 1 if cursors[0][0] == item else item
                 if cursors[0][0] == item:
-                    score = sum(self.post[k][p][1] for d, k, p in cursors if d == item)
+                    score = sum(self.post[k][1][p] for d, k, p in cursors if d == item)
                     if score >= need:
                         out.append((item, score))
             else:  # nothing up to the block's end or the next cursor can reach it
@@ -116,11 +136,9 @@ class Index:
                 target = max(target, item + 1)
             moved = []
             for d, k, p in cursors[:pivot + 1]:
-                post = self.post[k]
-                while p < len(post) and post[p][0] < target:
-                    p += 1
-                if p < len(post):
-                    moved.append((post[p][0], k, p))
+                p = bisect_left(self.post[k][0], target, p)
+                if p < len(self.post[k][0]):
+                    moved.append((self.post[k][0][p], k, p))
             cursors = sorted(moved + cursors[pivot + 1:])
         return out
 
@@ -140,7 +158,7 @@ class Index:
         total = np.concatenate(([0.0], np.cumsum(self.upper[known])))
         for a, b in zip(lo[total[hi] - total[lo] >= threshold - 1e-6], hi[total[hi] - total[lo] >= threshold - 1e-6]):
             terms = np.unique(known[a:b])
-            if self.block_max[terms].sum(0).max() >= threshold - 1e-4:
+            if self.best_block(terms) >= threshold - 1e-6:
                 for d, s in self.wand(terms.tolist(), threshold):
                     best[d] = max(best.get(d, 0.0), s)
         if not best:
@@ -156,18 +174,28 @@ class Index:
         return out
 
 
+_INDEXES: dict[str, Index] = {}  # of this Python worker, by content
+
+
+def index_of(key: str, items: list, whole: tuple | None) -> Index:
+    if key not in _INDEXES:
+        _INDEXES.clear()  # one index at a time
+        _INDEXES[key] = Index(items, whole)
+    return _INDEXES[key]
+
+
 MATCHES = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
 def matches_column(text, items: list, threshold: float, overlap: float, whole: tuple | None = None):
-    box = []
+    items = sorted(items, key=repr)
+    key = hashlib.sha256(repr((items, whole and (*whole[:3], sorted(whole[3].items())))).encode()).hexdigest()
 
     def make():
-        if not box:
-            box.append(Index(items, whole))
+        index = index_of(key, items, whole)
 
         def one(data: bytes):
-            found = box[0].search(tokens(data.decode("utf-8", "replace")), threshold, overlap)
+            found = index.search(tokens(data.decode("utf-8", "replace")), threshold, overlap)
             return ([{"item_id": i, "score": s, "question_overlap": q, "answer_overlap": a}
                      for i, s, q, a in found],)
         return one

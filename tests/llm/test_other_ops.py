@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,12 +62,57 @@ def test_wand_finds_all_above_threshold():
         terms = sorted({ix.term.get(rng.choice(vocab), 0) for _ in range(rng.randint(1, 25))} - {0})
         score = {}
         for k in terms:
-            for d, s in ix.post[k]:
+            for d, s in zip(*ix.post[k]):
                 score[d] = score.get(d, 0.0) + s
         want = {d: s for d, s in score.items() if s >= 0.3}
         assert dict(ix.wand(terms, 0.3)) == pytest.approx(want)
 
 
+def test_passages_against_exhaustive_bm25():
+    """Every passage of every text scored against every item from the formula, items held in part included."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 30))) + ". " + " ".join(
+        rng.choice(vocab) for _ in range(6))) for i in range(40)]
+    ix = decontam.Index(items)
+    ws = {i: decontam.tokens(t) for i, t in items}
+    df = {x: sum(x in w for w in ws.values()) for w in ws.values() for x in w}
+    mean = sum(map(len, ws.values())) / len(ws)
+
+    def impact(w, x):
+        tf = w.count(x)
+        idf = np.log(1 + (len(ws) - df[x] + 0.5) / (df[x] + 0.5))
+        return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+
+    def held(parts, words):
+        return [len(p & decontam.shingles(words, len(next(iter(p))))) / len(p) for p in parts]
+    n = 0
+    for k in range(120):
+        i, t = rng.choice(items)
+        cut = t.split()[:rng.randint(3, 40)] if k % 3 else t.split()
+        words = decontam.tokens(" ".join([rng.choice(vocab) for _ in range(rng.randrange(150))] + cut
+                                         + [rng.choice(vocab) for _ in range(rng.randrange(150))]))
+        step = max(map(len, ws.values()))
+        want = {}
+        for at in range(0, max(len(words) - step, 1), step):
+            here = set(words[at:at + 2 * step])
+            for j, w in ws.items():
+                s = sum(impact(w, x) for x in set(w) & here) / sum(impact(w, x) for x in set(w))
+                if s >= 0.5 and min(held(ix.parts[j], words)) >= 0.8:
+                    want[j] = max(want.get(j, 0), s)
+        got = {j: s for j, s, _, _ in ix.search(words, 0.5, 0.8)}
+        assert got == pytest.approx(want)
+        n += len(want)
+    assert n > 40
+
+
+def test_item_behind_a_very_long_run_of_one_term():
+    item = " ".join(f"w{k}" for k in range(90)) + " common. And the answer of five words."
+    ix = decontam.Index([(1, item), (2, "common words of another item. Their answer is this one here.")])
+    words = ["common"] * 25_000_000 + decontam.tokens(item)
+    assert [x[0] for x in ix.search(words, 0.5, 0.8)] == [1]
+
+
 def test_decontaminate(spark):
     common.ship(spark)
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -123,7 +169,8 @@ def test_revisits(spark):
     rec = []
     for i in range(400):
         kind = rng.choice(["response", "revisit"])
-        url = rng.choice(["http://a.org/hot", "https://www.A.org/hot/?q=1", "https://a.org/hot.html#x", "http://b.org/", None,
+        url = rng.choice(["http://a.org/hot", "https://www.A.org/hot/?UTM_x=1&ref=2&gclid", "https://a.org/hot#x?y", "http://b.org/", None,
+                          "http://a.org/hot?b=2&a=1", "http://m.a.org/hot/?a=1&ref=z&b=2#x", "http://a.org/hot?a=1", "http://a.org/hot.html",
                           f"http://c.org/{rng.randrange(50)}"])
         tag = rng.choice(["t1", "t2", None])
         rec.append((i, url, rng.choice([None, rng.randrange(100)]), kind, tag, rng.choice(["d", None]),
@@ -135,9 +182,10 @@ def test_revisits(spark):
     def key(u):
         if u is None:
             return None
-        r = re.sub(r"[?#].*$", "", re.sub(r"(?i)^https?://(www\.|m\.)?", "", u))
-        h = r.split("/")[0]
-        return re.sub(r"(\.html?)?/*$", "", h.lower() + r[len(h):])
+        place, _, query = re.sub(r"#.*$", "", re.sub(r"(?i)^https?://(www\.|m\.)?", "", u)).partition("?")
+        host, slash, path = place.partition("/")
+        kept = sorted(p for p in query.split("&") if p and not re.match(r"(?i)(utm_[^=]*|ref|gclid)(=|$)", p))
+        return host.lower() + (slash + path).rstrip("/") + ("?" + "&".join(kept) if kept else "")
     at = lambda r: -(1 << 62) if r[2] is None else r[2]
     want = []
     for r in (x for x in rec if x[3] == "revisit"):
@@ -154,6 +202,15 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_resources_of_one_script_stay_apart(spark):
+    rec = [(1, "http://a.org/s?id=1", 1, "response", "A"), (2, "http://a.org/s?id=2", 2, "response", "B"),
+           (3, "http://a.org/s?id=1&utm_source=x", 9, "revisit", "A"), (4, "http://a.org/s", 9, "revisit", "A")]
+    df = spark.createDataFrame([(*r, None, None) for r in rec], "record_id long, url string, captured_at long, kind string, "
+                               "etag string, last_modified string, headers map<string,string>")
+    assert {r.record_id: (r.status, r.response_id) for r in warc.resolve(df).collect()} == {
+        3: ("resolved", 1), 4: ("no_response", None)}
+
+
 def test_licenses(spark):
     rng = random.Random(8)
     known = licenses.TEMPLATES
