@@ -150,3 +150,68 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_rejects_list_every_value_that_turned_null(spark, tmp_dir):
+    _write(f"{tmp_dir}/r/a.csv", "ali,list_name,latitude,note\n12x,A,1.5,n\n7,B,oops,n\n8.5,NA,NaN,n\n"
+                                 "9,C\n10,D,2.5,n,extra\n99999999999999999999,E,1e3,\n")
+    got = files.read_checked(spark, f"{tmp_dir}/r")
+    rows = got.rows.collect()
+    assert got.rows.columns == ["ali", "list_name", "latitude", "note"]
+    assert sorted((r.ali or 0, r.latitude or 0.0) for r in rows) == [
+        (0, 0.0), (0, 1.5), (0, 1000.0), (7, 0.0), (9, 0.0), (10, 2.5)]
+    bad = sorted((r.column_name or "", r.value, r.reason) for r in got.rejects.collect())
+    assert bad == [("", "10,D,2.5,n,extra", "wrong number of fields"), ("", "9,C", "wrong number of fields"),
+                   ("ali", "12x", "not a bigint"), ("ali", "8.5", "not a bigint"),
+                   ("ali", "99999999999999999999", "not a bigint"), ("latitude", "oops", "not a double")]
+    assert all(r.file.endswith("/r/a.csv") for r in got.rejects.collect())
+    # the count does not depend on the columns a query needs
+    assert got.rejects.count() == 6 and got.rejects.filter("column_name is null").count() == 2
+    _write(f"{tmp_dir}/ok/a.csv", "ali,list_name\n1,A\n")
+    assert files.read_checked(spark, f"{tmp_dir}/ok").rejects.collect() == []
+    assert files.read_checked(spark, f"{tmp_dir}/ok", types=None).rejects.collect() == []
+    with pytest.raises(Exception, match="not a bigint: 1x"):
+        _write(f"{tmp_dir}/f/a.csv", "ali,list_name\n1x,A\n")
+        files.read_tasks_csv(spark, f"{tmp_dir}/f", bad_values="fail").collect()
+    with pytest.raises(ValueError, match="bad_values"):
+        files.read_tasks_csv(spark, f"{tmp_dir}/ok", bad_values="drop")
+
+
+def test_inferred_types(spark, tmp_dir):
+    _write(f"{tmp_dir}/i/a.csv", "ali,n,x,b,d,t,z,m,e\n1,5,1.5,True,2024-01-02,2024-01-02 03:04,007,1,\n"
+                                 "2,-6,2,false,NA,2024-01-03,08,a,NA\n3,,1e3,,2024-02-29,2024-01-04T05:06:07.5,9,2,null\n")
+    df = files.read_tasks_csv(spark, f"{tmp_dir}/i", infer=True)
+    assert dict(df.dtypes) == {"ali": "bigint", "n": "bigint", "x": "double", "b": "boolean", "d": "date",
+                               "t": "timestamp", "z": "string", "m": "string", "e": "string"}
+    assert [r.n for r in df.orderBy("ali").collect()] == [5, -6, None]
+    assert dict(files.read_tasks_csv(spark, f"{tmp_dir}/i").dtypes)["n"] == "string"
+    # not a date of any calendar; a whole number beyond 64 bits
+    _write(f"{tmp_dir}/j/a.csv", "d,n\n2023-02-29,99999999999999999999\n")
+    assert [t for _, t in files.read_tasks_csv(spark, f"{tmp_dir}/j", infer=True).dtypes] == ["string", "double"]
+
+
+def test_types_merge_over_sheets_that_disagree(spark, tmp_dir):
+    _write(f"{tmp_dir}/m1/a.csv", "ali,floor,code,day\n1,1,5,2024-01-01\n")
+    _write(f"{tmp_dir}/m2/a.csv", "floor,ali,code\n2.5,2,x\n")
+    _write(f"{tmp_dir}/m3/a.csv", "ali,floor,code,day\n3,NA,7,2024-01-02 10:00\n")
+    paths = [f"{tmp_dir}/m{k}" for k in (1, 2, 3)]
+    df = files.union_sheets(spark, paths, infer=True)
+    assert df.dtypes == [("ali", "bigint"), ("floor", "double"), ("code", "string"), ("day", "timestamp")]
+    assert sorted(r.floor or 0.0 for r in df.collect()) == [0.0, 1.0, 2.5]
+    # sheets one and three share a header and so a scan
+    assert len(files._sheets(spark, paths, False)) == 2
+    got = files.union_sheets_checked(spark, paths, types={"ali": "bigint", "code": "bigint"})
+    assert [(r.column_name, r.value) for r in got.rejects.collect()] == [("code", "x")]
+
+
+def test_sheets_with_quoted_line_breaks(spark, tmp_dir):
+    _write(f"{tmp_dir}/q1/a.csv", 'list_name,ali\n"two\nlines",1\n')
+    _write(f"{tmp_dir}/q2/a.csv", 'ali,remark\n2,"x\n\ny"\n')
+    df = files.union_sheets(spark, [f"{tmp_dir}/q1", f"{tmp_dir}/q2"], multi_line=True)
+    assert sorted(map(tuple, df.collect()), key=lambda r: r[1]) == [("two\nlines", 1, None), (None, 2, "x\n\ny")]
+
+
+def test_empty_file_infers_text(spark, tmp_dir):
+    _write(f"{tmp_dir}/e/a.csv", "ali,n\n")
+    df = files.read_tasks_csv(spark, f"{tmp_dir}/e", infer=True)
+    assert df.dtypes == [("ali", "bigint"), ("n", "string")] and df.collect() == []
