@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from taskgrid.llm.common import ship
 from taskgrid.session import scratch_path
 
-BLOCK_WORDS, SLICE_BYTES = 1 << 21, 1 << 22
+BLOCK_WORDS, SLICE_BYTES = 1 << 20, 1 << 22
 SCORE = ("cast(1000 as decimal(4,0)) * cast(f as decimal(17,0)) * cast(n as decimal(17,0)) "
          "div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))")
 GAP = b"\xff"  # never part of UTF-8
@@ -95,67 +95,105 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return read.mapInArrow(run, "block bigint, lang string, words array<binary>, counts array<bigint>, codes array<int>")
 
 
+def column(batch, name: str, row: int) -> np.ndarray:
+    return batch[name][row].values.to_numpy(zero_copy_only=False)
+
+
 def joined(codes: np.ndarray, n: int) -> np.ndarray:
-    """The pair at each place: its phrase and the one at the next place as one number, 0 where either is missing."""
+    """The merge join at adjacent places: the pair of codes at each place as one number, 0 where either is missing."""
     a, b = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
     return np.where((a > 0) & (b > 0), a * (n + 1) + b, 0)
 
 
-def column(batch, name: str, row: int) -> np.ndarray:
-    return batch[name][row].values.to_numpy(zero_copy_only=False)
-
-
-def pairs(relation: DataFrame) -> DataFrame:
-    """(block, key, a, b, n): the pairs of each block, a and b the ids of their phrases, n their occurrences."""
+def pair_counts(relation: DataFrame, buckets: int) -> DataFrame:
+    """Each block's pairs (ids a and b) and their occurrences n, as arrays dealt to buckets by a hash of the pair."""
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, codes = column(batch, "ids", row), column(batch, "codes", row)
-                key, n = np.unique(joined(codes, len(ids)), return_counts=True)
-                key, n = key[key > 0], n[key > 0]
-                for at in range(0, len(key), 100_000):
-                    k = key[at:at + 100_000]
-                    a, b = np.divmod(k, len(ids) + 1)
-                    yield pa.record_batch({"block": pa.array(np.full(len(k), batch["block"][row].as_py()), pa.int64()),
-                                           "key": pa.array(k), "a": pa.array(ids[a - 1]), "b": pa.array(ids[b - 1]),
-                                           "n": pa.array(n[at:at + 100_000])})
-    return relation.mapInArrow(run, "block bigint, key bigint, a bigint, b bigint, n bigint")
-
-
-def semi_joined(relation: DataFrame, frequent: DataFrame, key_of) -> DataFrame:
-    """The relation of the frequent groups; ``frequent``: (block, key, id), ``key_of`` the group at each place of a row."""
+                ids = column(batch, "ids", row)
+                key, n = np.unique(joined(column(batch, "codes", row), len(ids)), return_counts=True)
+                a, b = np.divmod(key[key > 0], len(ids) + 1)
+                a, b, n = ids[a - 1], ids[b - 1], n[key > 0].astype(np.int64)
+                mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(
+                    0xD6E8FEB86659FD93)
+                to = (mixed >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(to, kind="stable")
+                to, cut = np.unique(to[order], return_index=True)
+                parts = np.split(order, cut[1:]) if len(to) else []
+                if parts:
+                    lists = lambda x: pa.array([x[i] for i in parts], pa.list_(pa.int64()))
+                    yield pa.record_batch({
+                        "bucket": pa.array(to.astype(np.int64)),
+                        "block": pa.array(np.full(len(to), batch["block"][row].as_py(), np.int64)),
+                        "a": lists(a), "b": lists(b), "n": lists(n)})
+    return relation.mapInArrow(run, "bucket bigint, block bigint, a array<bigint>, b array<bigint>, n array<bigint>")
+
+
+def grouped(sent: DataFrame, least: int) -> DataFrame:
+    """Group-count of a bucket: one row with its frequent pairs (block null: a, b, f, id) and, for each block that has
+    some of them, one with those (a, b, id). Ids number a bucket's frequent pairs in order, so a lost task gives the same."""
+    def run(t: pa.Table) -> pa.Table:
+        flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        a, b, n = flat("a"), flat("b"), flat("n")
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        f = np.add.reduceat(n[order], first)
+        often = f >= least
+        own = (t["bucket"][0].as_py() << 32) + np.cumsum(often) - 1
+        out = [{"block": None, "a": a[first][often], "b": b[first][often], "f": f[often], "id": own[often]}]
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(a))))
+        keep = often[group]
+        sizes = [len(x) for x in t["a"]]
+        block = np.repeat(t["block"].to_numpy(), sizes)[order][keep]
+        a, b, ids = a[keep], b[keep], own[group[keep]]
+        order = np.argsort(block, kind="stable")
+        of, cut = np.unique(block[order], return_index=True)
+        for name, at in zip(of.tolist(), np.split(order, cut[1:])):
+            out.append({"block": name, "a": a[at], "b": b[at], "f": None, "id": ids[at]})
+        return pa.Table.from_pylist([r for r in out if len(r["a"])], schema=kind)
+    longs = pa.list_(pa.int64())
+    kind = pa.schema([("block", pa.int64()), ("a", longs), ("b", longs), ("f", longs), ("id", longs)])
+    return sent.groupBy("bucket").applyInArrow(
+        run, "block bigint, a array<bigint>, b array<bigint>, f array<bigint>, id array<bigint>")
+
+
+def renamed(codes: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, codes into them): the places whose number is among ``keys``, all others empty."""
+    by_key, rank = np.argsort(keys), np.argsort(np.argsort(ids))
+    k = np.minimum(np.searchsorted(keys, codes, sorter=by_key), len(keys) - 1)
+    hit = by_key[k]
+    return np.sort(ids), np.where(keys[hit] == codes, rank[hit] + 1, 0).astype(np.int32)
+
+
+def semi_joined(relation: DataFrame, frequent: DataFrame, of_pairs: bool) -> DataFrame:
+    """The relation of the frequent groups only. ``frequent``: (block, id and code) of words or, as arrays, (id, a, b)."""
     def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
         out = []
-        if len(rows) and len(hits):
-            key, ids = hits["key"].to_numpy(), hits["id"].to_numpy()
-            order = np.argsort(key)
-            key, ids = key[order], ids[order]
-            for row in range(len(rows)):
-                at = key_of(rows, row)
-                k = np.minimum(np.searchsorted(key, at), len(key) - 1)
-                out.append({"block": rows["block"][row].as_py(), "ids": ids,
-                            "codes": np.where(key[k] == at, k + 1, 0).astype(np.int32)})
+        for row in range(len(rows) if len(hits) else 0):
+            codes = column(rows, "codes", row)
+            if of_pairs:
+                known = column(rows, "ids", row)
+                codes = joined(codes, len(known))
+                a, b, ids = (hits[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("a", "b", "id"))
+                keys = (np.searchsorted(known, a) + 1) * (len(known) + 1) + np.searchsorted(known, b) + 1
+            else:
+                keys, ids = hits["code"].to_numpy(), hits["id"].to_numpy()
+            ids, codes = renamed(codes.astype(np.int64), keys, ids)
+            out.append({"block": rows["block"][row].as_py(), "ids": ids, "codes": codes})
         return pa.Table.from_pylist(out, schema=kind)
     kind = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32()))])
-    hits = frequent.select(*(F.col(c).alias(c) for c in ("block", "key", "id")))  # columns apart from the relation's
+    hits = frequent.select(*(F.col(c).alias(c) for c in frequent.columns))  # columns apart from the relation's
     return relation.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(
         run, "block bigint, ids array<bigint>, codes array<int>")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"setm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def word_key(rows, row: int) -> np.ndarray:
-    return column(rows, "codes", row).astype(np.int64)
-
-
-def pair_key(rows, row: int) -> np.ndarray:
-    return joined(column(rows, "codes", row), len(column(rows, "ids", row)))
-
-
 def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text: str = "text",
                      lang: str = "lang") -> tuple[list[DataFrame], DataFrame]:
     """The tables of frequent phrases of 1 to ``longest`` words, and (lang, n), the words of each language.
@@ -164,27 +202,29 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text:
     ship(docs.sparkSession)
     r = saved(occurrences(docs, text, lang), "words")
     told = r.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
-        "block", "lang", (F.col("at") + 1).cast("bigint").alias("key"), F.col("w.words").alias("word"),
+        "block", "lang", (F.col("at") + 1).cast("bigint").alias("code"), F.col("w.words").alias("word"),
         F.col("w.counts").alias("n"))
     total = saved(r.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n")), "totals")
     words = saved(told.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).select(
         F.monotonically_increasing_id().alias("id"), "lang", F.array("word").alias("words"), "f",
         F.array("f").alias("heads"), F.array("f").alias("tails"),
         F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")), "phrases-1")
-    hits = told.join(words.select("id", "lang", F.col("words")[0].alias("word")), ["lang", "word"]).select("block", "key", "id")
-    tables, r = [words], saved(semi_joined(r.select("block", "codes"), hits, word_key), "relation-1")
+    hits = told.join(words.select("id", "lang", F.col("words")[0].alias("word")), ["lang", "word"]).select("block", "code", "id")
+    tables = [words]
+    r = saved(semi_joined(r.select("block", "codes"), hits, False), "relation-1")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), r.count())
     for k in range(2, longest + 1):
-        found = pairs(r)
-        counted = found.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        round_ = saved(grouped(pair_counts(r, buckets), least), f"round-{k}")
+        counted = round_.filter("block is null").select(F.inline(F.arrays_zip("a", "b", "f", "id")))
         left = tables[-1].select(F.col("id").alias("a"), "lang", F.col("words").alias("start"), F.col("heads").alias("h"))
         right = tables[-1].select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"), F.col("tails").alias("t"))
         own = F.array("f")
         tables.append(saved(counted.join(left, "a").join(right, "b").select(
-            F.monotonically_increasing_id().alias("id"), "lang", F.concat("start", F.array("last")).alias("words"), "f",
+            "id", "lang", F.concat("start", F.array("last")).alias("words"), "f",
             F.concat("h", own).alias("heads"), F.concat("t", own).alias("tails"), "a", "b"), f"phrases-{k}"))
         if k < longest:
-            r = saved(semi_joined(r, found.join(tables[-1].select("id", "a", "b"), ["a", "b"]).select("block", "key", "id"),
-                                  pair_key), f"relation-{k}")
+            r = saved(semi_joined(r, round_.filter("block is not null").select("block", "a", "b", "id"), True),
+                      f"relation-{k}")
     return tables, total
 
 
