@@ -20,9 +20,8 @@ def row_hash(df: DataFrame, seed: int | str = 0,
     shuffle that any engine can reproduce.
     """
     cols = list(columns) if columns is not None else df.columns
-    parts = [F.lit(str(seed))] + [
-        F.when(df[c].isNull(), F.lit(NULL_MARK)).otherwise(
-            F.concat(F.length(df[c].cast("string")).cast("string"), F.lit(":"), df[c].cast("string")))
-        for c in cols
-    ]
+    parts = [F.lit(str(seed))]
+    for c in cols:
+        text = df[c].cast("string")  # one cast per value: both uses are in an always evaluated branch
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit(NULL_MARK)))
     return F.md5(F.concat_ws("|", *parts))

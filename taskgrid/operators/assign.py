@@ -20,6 +20,7 @@ from taskgrid.config import (
 )
 from taskgrid.functions.nullsafe import pct
 from taskgrid.operators import slicing
+from taskgrid.session import scratch_path
 
 
 def _names(analysts: Sequence[str]) -> list[str]:
@@ -59,11 +60,11 @@ def equal_split(df: DataFrame, analysts: Sequence[str], seed: int | str = 0,
     rows; the first analyst also takes the whole remainder.
 
     ``digits`` (hash-prefix buckets, see ``slicing``) defaults to a value
-    derived from the row count."""
+    derived from the row count, read by a scalar subquery of the same query."""
     names = _names(analysts)
     cols = df.columns
     if digits is None:
-        digits = slicing.auto_digits(df.count())
+        digits = slicing.auto_digits(df.agg(F.count(F.lit(1))).scalar())
     x, bc = slicing.bucket_counts(df, None, seed, digits)
     k = len(names)
     tot = bc.groupBy("_g").agg(F.sum("_n").alias("_t"))
@@ -75,7 +76,7 @@ def equal_split(df: DataFrame, analysts: Sequence[str], seed: int | str = 0,
                       F.when(F.col("position") == 0, F.lit(0)).otherwise(rem + F.col("position") * target)
                        .cast("bigint").alias("lo"),
                       (rem + (F.col("position") + 1) * target).cast("bigint").alias("hi")))
-    return slicing.assign_ranges(x, bc, slices, cols, slice_bound=k)
+    return slicing.assign_ranges(x, bc, slices, cols)
 
 
 # -- plans ----------------------------------------------------------------------
@@ -102,87 +103,86 @@ def split_frame(spark: SparkSession, split_plan: Mapping[str, Mapping[str, int]]
     return spark.createDataFrame(rows, "list_name string, analyst string, n bigint, seq int")
 
 
-def _known_bound(*frames) -> int | None:
-    """Row bound of plan inputs built on the driver (None if unknown)."""
-    total = 0
-    for f in frames:
-        if isinstance(f, DataFrame):
-            return None
-        total += sum(len(v) if isinstance(v, Mapping) else 1 for v in (f or {}).values())
-    return total
+def plan_entries(df: DataFrame, names: list[str], plan, split_plan) -> DataFrame:
+    """The plan as one table: list_name, target, times (rows of the plan that name the retailer), and for each share of
+    a Split retailer analyst, n, seq. Without a plan every retailer of ``split_plan`` is Split.
+
+    Given as tables, the plans may come from long queries: the entries are written once to the shared scratch folder
+    and read again by the checks and by each use."""
+    spark = df.sparkSession
+    sp = split_frame(spark, split_plan, names)
+    if plan is None:
+        p = sp.select("list_name").distinct().select("list_name", F.lit(SPLIT).alias("target"), F.lit(1).alias("times"))
+    else:
+        p = plan_frame(spark, plan).groupBy("list_name").agg(
+            F.min("target").alias("target"), F.count(F.lit(1)).cast("int").alias("times"))
+    entries = p.join(sp.withColumn("_t", F.lit(SPLIT)), (p.list_name == sp.list_name) & (F.col("target") == F.col("_t")),
+                     "left").select(p.list_name, "target", "times", "analyst", "n", "seq")
+    if not isinstance(plan, DataFrame) and not isinstance(split_plan, DataFrame):
+        return entries
+    path = scratch_path(spark, "plan-entries")
+    entries.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _sliced(df: DataFrame, entries: DataFrame, names: list[str], seed: int | str, cfg: TaskConfig,
+            digits: int | None = None) -> DataFrame:
+    """Rows of the planned retailers with their analyst: whole retailers as one slice, Split ones cut by their counts."""
+    w = Window.partitionBy("list_name")
+    upto = w.orderBy("seq", "analyst").rowsBetween(Window.unboundedPreceding, 0)
+    shares = entries.filter((F.col("target") == SPLIT) & F.col("n").isNotNull()).select(
+        "list_name", "analyst", "n", F.sum("n").over(upto).alias("hi"), F.sum("n").over(w).alias("total"))
+    length = slicing.auto_digits(F.col("total")) if digits is None else F.lit(digits)
+    groups = shares.select("list_name", length.alias("_digits"), F.lit(None).cast("string").alias("_whole")).distinct()
+    whole = entries.filter(F.col("target").isin(names) & (F.col("target") != SPLIT)).select(
+        "list_name", F.lit(0).alias("_digits"), F.col("target").alias("_whole"))
+    groups = groups.unionByName(whole).withColumnRenamed("list_name", "_rn")
+    rows = df.join(groups, F.col(cfg.list_name) == F.col("_rn")).drop("_rn")
+    x = slicing.with_buckets(rows, F.col(cfg.list_name), F.col("_digits"), df.columns, seed, fixed=F.col("_whole"))
+    slices = shares.select(F.col("list_name").alias("_g"), "analyst", (F.col("hi") - F.col("n")).alias("lo"), "hi")
+    bc = slicing.ranged(x.filter(F.col("_whole").isNull()))
+    return slicing.assign_ranges(x, bc, slices, df.columns, fixed="_whole")
 
 
 def split_by_counts(df: DataFrame, split_plan, analysts: Sequence[str], seed: int | str = 0,
-                    cfg: TaskConfig = DEFAULT, digits: int | None = None, validate: bool = True,
-                    _bound: int | None = None) -> DataFrame:
+                    cfg: TaskConfig = DEFAULT, digits: int | None = None, validate: bool = True) -> DataFrame:
     """T4 for every retailer in ``split_plan`` in one pass: rank each
     retailer's rows by hash and cut them by the given counts, in ``seq``
     order. The counts of a retailer must add up to its row count."""
-    spark = df.sparkSession
     names = _names(analysts)
-    bound = _known_bound(split_plan) if _bound is None else _bound
-    sp = split_frame(spark, split_plan, names)
-    retailers = _bounded(sp.select(F.col("list_name").alias("_rn")).distinct(), bound)
-    rows = df.join(retailers, F.col(cfg.list_name) == retailers["_rn"], "left_semi")
-    largest = _check_split(rows, sp, names, cfg) if validate else None
-    if digits is None:
-        digits = slicing.auto_digits(largest) if largest is not None else 4
-    cols = df.columns
-    x, bc = slicing.bucket_counts(rows, cfg.list_name, seed, digits)
-    w = Window.partitionBy("list_name").orderBy("seq", "analyst").rowsBetween(Window.unboundedPreceding, 0)
-    slices = (sp.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
-                .select(F.col("list_name").alias("_g"), "analyst", "lo", "hi"))
-    return slicing.assign_ranges(x, bc, slices, cols, slice_bound=bound)
-
-
-def _check_split(rows: DataFrame, sp: DataFrame, names: list[str], cfg: TaskConfig,
-                 split_names: DataFrame | None = None, plan: DataFrame | None = None) -> int:
-    """One job checks every Split retailer: it has counts, they name listed
-    analysts only, and they add up to its row count; and, given a plan
-    table, that no retailer is planned twice. At most 20 offending
-    retailers reach the driver. Returns the largest split retailer's row
-    count (it sizes the hash buckets)."""
-    have = rows.groupBy(F.col(cfg.list_name).alias("list_name")).agg(F.count(F.lit(1)).alias("available"))
-    want = sp.groupBy("list_name").agg(
-        F.sum("n").alias("requested"),
+    entries = plan_entries(df, names, None, split_plan)
+    if validate:
+        _check_entries(df, entries, names, cfg)
+    return _sliced(df, entries, names, seed, cfg, digits)
+
+
+def _check_entries(df: DataFrame, entries: DataFrame, names: list[str], cfg: TaskConfig) -> None:
+    """One job checks the plan: no retailer is planned twice, every Split retailer has counts, they name listed
+    analysts only, and they add up to its row count (which reads the retailer column alone). At most 20 offending
+    retailers reach the driver."""
+    want = entries.groupBy("list_name").agg(
+        F.min("target").alias("target"), F.max("times").alias("times"), F.sum("n").alias("requested"),
         F.array_sort(F.collect_set(F.when(~F.col("analyst").isin(names), F.col("analyst")))).alias("unknown"))
-    base = split_names if split_names is not None else want.select("list_name")
-    is_bad = (F.col("requested").isNull() | (F.col("requested") != F.col("available"))
-              | (F.coalesce(F.size("unknown"), F.lit(0)) > 0))
-    checks = (base.join(want, "list_name", "left").join(have, "list_name", "left")
-                  .na.fill(0, ["available"])
-                  .select("list_name", "requested", "available", "unknown", is_bad.alias("_bad"),
-                          F.lit(False).alias("_twice")))
-    if plan is not None:
-        twice = (plan.groupBy("list_name").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-                     .select("list_name", F.lit(None).cast("bigint").alias("requested"),
-                             F.lit(None).cast("bigint").alias("available"),
-                             F.lit(None).cast("array<string>").alias("unknown"),
-                             F.lit(True).alias("_bad"), F.lit(True).alias("_twice")))
-        checks = checks.unionByName(twice)
-    # offending retailers first, then the largest one
-    top = (checks.orderBy(F.desc("_bad"), F.desc("_twice"), F.desc("available"), "list_name")
-                 .limit(20).collect())
-    bad = [r for r in top if r["_bad"]]
-    for r in bad:
-        if r["_twice"]:
+    want = want.filter((F.col("target") == SPLIT) | (F.col("times") > 1))
+    have = (df.groupBy(F.col(cfg.list_name).alias("_name")).agg(F.count(F.lit(1)).alias("available"))
+              .filter("_name is not null"))
+    bad = ((F.col("times") > 1) | F.col("requested").isNull() | (F.size("unknown") > 0)
+           | (F.col("requested") != F.col("available")))
+    found = (want.join(have, F.col("list_name") == F.col("_name"), "left").na.fill(0, ["available"])
+                 .filter(bad).orderBy(F.desc("times"), "list_name").limit(20).collect())
+    for r in found:
+        if r["times"] > 1:
             raise ValueError(f"retailer {r['list_name']!r} appears more than once in the plan")
-    for r in bad:
+    for r in found:
         if r["requested"] is None:
             raise ValueError(f"retailer {r['list_name']!r} is marked Split but has no counts")
-    for r in bad:
+    for r in found:
         if r["unknown"]:
             raise ValueError(f"split of retailer {r['list_name']!r} names analysts who are not "
                              f"listed: {list(r['unknown'])}")
-    if bad:
-        r = bad[0]
+    for r in found:
         raise ValueError(f"the counts of retailer {r['list_name']!r} sum to {r['requested']}, "
                          f"its rows to {r['available']}")
-    return top[0]["available"] if top else 0
-
-
-def _bounded(df: DataFrame, bound: int | None) -> DataFrame:
-    return slicing._maybe_broadcast(df, bound)
 
 
 def fixed_count_split(df: DataFrame, retailer: str, split_counts: Mapping[str, int],
@@ -197,27 +197,11 @@ def apply_plan(df: DataFrame, analysts: Sequence[str], plan, split_plan=None,
     their counts. A retailer missing from the plan, or planned to an analyst
     who is not listed, is skipped; a Split retailer without counts, a split
     naming an unlisted analyst, or counts that do not add up, raise."""
-    spark = df.sparkSession
     names = _names(analysts)
-    bound = _known_bound(plan, split_plan)
-    p = plan_frame(spark, plan)
-    split_names = p.filter(F.col("target") == SPLIT).select("list_name").distinct()
-    sp = split_frame(spark, split_plan, names).join(split_names, "list_name", "left_semi")
-    largest = None
+    entries = plan_entries(df, names, plan, split_plan)
     if validate:
-        sn = _bounded(split_names.withColumnRenamed("list_name", "_rn"), bound)
-        split_rows = df.join(sn, F.col(cfg.list_name) == sn["_rn"], "left_semi")
-        # a dict cannot name a retailer twice; a table can
-        largest = _check_split(split_rows, sp, names, cfg, split_names,
-                               plan=p if isinstance(plan, DataFrame) else None)
-    whole = p.filter(F.col("target").isin(names)).select(
-        F.col("list_name").alias("_rn"), F.col("target").alias("analyst"))
-    whole = _bounded(whole, bound)
-    cols = df.columns
-    whole_rows = df.join(whole, F.col(cfg.list_name) == whole["_rn"]).select(*cols, "analyst")
-    digits = slicing.auto_digits(largest) if largest is not None else None
-    split_rows = split_by_counts(df, sp, names, seed, cfg, digits=digits, validate=False, _bound=bound)
-    return whole_rows.unionByName(split_rows)
+        _check_entries(df, entries, names, cfg)
+    return _sliced(df, entries, names, seed, cfg)
 
 
 # -- T6–T8 ----------------------------------------------------------------------

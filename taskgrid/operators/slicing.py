@@ -9,13 +9,12 @@ A global ``row_number()`` would put every row of a group through one task.
 Instead the rank is resolved in two levels:
 
 1. ``bucket = first hex digits of h``. Bucket counts per group are an
-   aggregate (partially aggregated, at most ``groups × 16**digits`` rows),
-   and a running sum over that small table gives each bucket its rank range.
-2. A bucket whose rank range lies inside one slice needs no per-row rank:
-   its rows take that slice's analyst. Those buckets form one contiguous
-   bucket interval per slice, so the rows are labelled by a join against
-   ``(group, analyst, first bucket, last bucket)``, a table no larger than
-   the slice table, and the big side is never shuffled.
+   aggregate (partially aggregated, about ``sqrt(rows)`` buckets a group), and
+   a running sum over that small table gives each bucket its rank range.
+2. The bucket map ``(group, bucket) -> analyst`` names the buckets that lie
+   inside one slice. Rows take their analyst by one equi join on (group,
+   bucket): the bucket is the salt, so a group with a third of all rows is
+   spread over as many join keys as it has buckets, broadcast or not.
 3. Only buckets that straddle a slice edge (at most one per edge) are ranked
    row by row. Their rows are first reduced to distinct hashes with a count
    (identical rows have identical hashes and are interchangeable), so a
@@ -23,102 +22,117 @@ Instead the rank is resolved in two levels:
    are re-emitted per analyst in bounded chunks spread over many tasks.
 
 The result equals cutting ``ORDER BY h`` into the slices, at any partition
-count.
+count. Nothing is counted ahead of the plan: the bucket length is an
+expression of a group's row count, which a plan states or a scalar subquery
+reads when the query runs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskgrid.functions.keys import row_hash
 
 CHUNK = 4096          # copies of one row emitted per output row of the explode
-BROADCAST_SLICES = 1_000_000  # largest slice table that is broadcast
+SALTS = 64            # join keys of a group that needs no ranks
 
 
-def auto_digits(rows: int) -> int:
+def auto_digits(rows: Column) -> Column:
     """Bucket prefix length for a group of ``rows`` rows.
 
     With ``16**d`` buckets the bucket table holds up to ``16**d`` rows per
-    group and an edge bucket about ``rows / 16**d``; ``d ≈ log16(rows) / 2``
+    group and an edge bucket about ``rows / 16**d``; ``d = log16(rows) / 2``
     keeps both near ``sqrt(rows)`` (1 digit for thousands of rows, 5 for a
     trillion)."""
-    if rows <= 1:
-        return 1
-    return max(1, min(6, round(math.log(rows, 16) / 2)))
+    half = F.round(F.log(16.0, F.greatest(rows, F.lit(1)).cast("double")) / 2).cast("int")
+    return F.greatest(F.lit(1), F.least(F.lit(6), half))
 
 
-def _maybe_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
-    """Broadcast ``df`` only when its row count has a known, small bound."""
-    if bound is not None and bound <= BROADCAST_SLICES:
-        return F.broadcast(df)
-    return df
+def with_buckets(df: DataFrame, group: Column, digits: Column | int, columns: Sequence[str],
+                 seed: int | str = 0, fixed: Column | None = None) -> DataFrame:
+    """``df`` plus ``_g`` (group), ``_h`` (hash) and ``_b`` (bucket).
 
+    Where ``fixed`` is not null the row needs no rank: its hash is not computed
+    and its bucket is one of a few salts that no map entry has."""
+    h = row_hash(df, seed, columns)
+    n = digits if isinstance(digits, Column) else F.lit(digits)
+    bucket = F.substring(h, F.lit(1), n)
+    if fixed is not None:
+        salt = F.concat(F.lit("salt "), F.pmod(F.xxhash64(*[F.col(_q(c)) for c in columns]), F.lit(SALTS)).cast("string"))
+        h = F.when(fixed.isNull(), h)
+        bucket = F.when(fixed.isNull(), F.substring(h, F.lit(1), n)).otherwise(salt)
+    return df.select("*", group.cast("string").alias("_g"), h.alias("_h"), bucket.alias("_b"))
 
-def bucket_counts(df: DataFrame, group: str | None, seed: int | str = 0,
-                  digits: int = 4, hash_columns: Sequence[str] | None = None):
+
+def bucket_counts(df: DataFrame, group: str | None, seed: int | str = 0, digits: Column | int = 4,
+                  hash_columns: Sequence[str] | None = None):
     """Rows with ``_g`` (group), ``_h`` (hash), ``_b`` (bucket), and the
     per-bucket counts with their rank range ``[_start, _end)`` in the group."""
-    h = row_hash(df, seed, hash_columns or df.columns)
+    columns = list(hash_columns or df.columns)
     # Without a group every row is in group ''. It is written as an empty
-    # prefix of the hash rather than a literal: a literal key would be folded
-    # away and the joins below planned as nested loops instead of hash joins.
-    g = F.col(group).cast("string") if group else F.substring(h, 1, 0)
-    x = df.select("*", h.alias("_h"), F.substring(h, 1, digits).alias("_b"), g.alias("_g"))
+    # prefix of a column rather than a literal: a literal key would be folded away.
+    g = F.col(group) if group else F.substring(F.coalesce(df[columns[0]].cast("string"), F.lit("")), 1, 0)
+    x = with_buckets(df, g, digits, columns, seed)
+    return x, ranged(x)
+
+
+def ranged(x: DataFrame) -> DataFrame:
+    """``(_g, _b, _n, _end, _start)``: the rank range of each bucket of ``x``."""
     w = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("_n").over(w)
-    bc = (x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
-           .select("_g", "_b", "_n", end.alias("_end"), (end - F.col("_n")).alias("_start")))
-    return x, bc
+    return (x.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n"))
+             .select("_g", "_b", "_n", end.alias("_end"), (end - F.col("_n")).alias("_start")))
 
 
-def assign_ranges(x: DataFrame, bc: DataFrame, slices: DataFrame, columns: Sequence[str],
-                  slice_bound: int | None = None) -> DataFrame:
-    """Label rows of ``x`` (from ``bucket_counts``) with the analyst of the
-    slice holding their rank. ``slices`` has ``_g, analyst, lo, hi``; rows
-    whose rank is in no slice are dropped."""
+def bucket_map(bc: DataFrame, slices: DataFrame) -> DataFrame:
+    """``(_mg, _mb, _label, _ms)``: the analyst of each bucket inside one slice; null for a bucket on an edge."""
     col = F.col
-    s = _maybe_broadcast(slices.select(col("_g").alias("_sg"), col("analyst").alias("_an"),
-                                       col("lo").alias("_lo"), col("hi").alias("_hi")), slice_bound)
+    s = slices.select(col("_g").alias("_sg"), col("analyst").alias("_an"), col("lo").alias("_lo"), col("hi").alias("_hi"))
     ov = bc.join(s, (col("_g") == col("_sg")) & (col("_lo") < col("_end")) & (col("_hi") > col("_start")))
     inside = (col("_lo") <= col("_start")) & (col("_end") <= col("_hi"))
-    # one contiguous bucket interval per slice, and at most two edge buckets
-    interior = (ov.filter(inside).groupBy(col("_g").alias("_ig"), col("_an").alias("analyst"), col("_lo"))
-                  .agg(F.min("_b").alias("_blo"), F.max("_b").alias("_bhi")).drop("_lo"))
-    edges = ov.filter(~inside).select(col("_g").alias("_eg"), col("_b").alias("_eb"),
-                                      col("_start").alias("_es")).distinct()
-    edge_bound = None if slice_bound is None else 2 * slice_bound
-    interior = _maybe_broadcast(interior, slice_bound)
-    edges = _maybe_broadcast(edges, edge_bound)
-
-    whole = (x.join(interior, (col("_g") == col("_ig")) & (col("_b") >= col("_blo"))
-                    & (col("_b") <= col("_bhi")))
-              .select(*[col(_q(c)) for c in columns], "analyst"))
-
-    xe = x.join(edges, (col("_g") == col("_eg")) & (col("_b") == col("_eb")))
-    d = (xe.groupBy("_g", "_b", "_es", "_h")
-           .agg(F.count(F.lit(1)).alias("_c"),
-                F.any_value(F.struct(*[col(_q(c)) for c in columns])).alias("_row")))
+    return ov.select(col("_g").alias("_mg"), col("_b").alias("_mb"), F.when(inside, col("_an")).alias("_label"),
+                     col("_start").alias("_ms")).distinct()
+
+
+def assign_ranges(x: DataFrame, bc: DataFrame, slices: DataFrame, columns: Sequence[str],
+                  fixed: str | None = None) -> DataFrame:
+    """Label rows of ``x`` (from ``with_buckets``) with the analyst of the
+    slice holding their rank. ``slices`` has ``_g, analyst, lo, hi``; rows
+    whose rank is in no slice are dropped. Rows with an analyst in column
+    ``fixed`` keep that one."""
+    col = F.col
+    known = bucket_map(bc, slices)
+    on = (col("_g") == col("_mg")) & (col("_b") == col("_mb"))
+    inside = known.filter("_label is not null").drop("_ms")
+    if fixed:
+        label = F.coalesce(col(fixed), col("_label"))
+        whole = x.join(inside, on, "left").filter(label.isNotNull())
+        x = x.filter(col(fixed).isNull())
+    else:
+        label = col("_label")
+        whole = x.join(inside, on)
+    whole = whole.select(*[col(_q(c)) for c in columns], label.alias("analyst"))
+
+    s = slices.select(col("_g").alias("_sg"), col("analyst").alias("_an"), col("lo").alias("_lo"), col("hi").alias("_hi"))
+    d = (x.join(known.filter("_label is null"), on).groupBy("_g", "_b", "_ms", "_h")
+          .agg(F.count(F.lit(1)).alias("_c"),
+               F.any_value(F.struct(*[col(_q(c)) for c in columns])).alias("_row")))
     w = Window.partitionBy("_g", "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    e = col("_es") + F.sum("_c").over(w)
+    e = col("_ms") + F.sum("_c").over(w)
     d = d.select("_g", "_h", "_row", e.alias("_e"), (e - col("_c")).alias("_s"))
     p = d.join(s, (col("_g") == col("_sg")) & (col("_lo") < col("_e")) & (col("_hi") > col("_s")))
     k = F.least(col("_e"), col("_hi")) - F.greatest(col("_s"), col("_lo"))
-    p = p.select("_h", "_row", "_an", k.alias("_k")).select(
-        "_h", "_row", "_an", "_k",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_k - 1) div {CHUNK}"))).alias("_chunk"))
-    p = p.select("_h", "_row", "_an", "_chunk",
-                 F.least(F.lit(CHUNK).cast("bigint"), col("_k") - col("_chunk") * CHUNK).alias("_m"))
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((k - 1) / CHUNK).cast("bigint"))
+    p = p.select("_h", "_row", "_an", k.alias("_k"), F.explode(chunks).alias("_chunk"))
     # an explicit partition count: AQE leaves it alone, so a large copy group
     # is emitted by many tasks instead of being coalesced back into a few
     nparts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     p = p.repartition(nparts, "_h", "_chunk")
-    edge_rows = (p.select(F.explode(F.array_repeat("_row", col("_m").cast("int"))).alias("_r"),
-                          col("_an").alias("analyst"))
+    copies = F.least(F.lit(CHUNK).cast("bigint"), col("_k") - col("_chunk") * CHUNK).cast("int")
+    edge_rows = (p.select(F.explode(F.array_repeat("_row", copies)).alias("_r"), col("_an").alias("analyst"))
                   .select(*[col(f"_r.{_q(c)}").alias(c) for c in columns], "analyst"))
     return whole.unionByName(edge_rows)
 
