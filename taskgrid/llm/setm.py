@@ -26,12 +26,14 @@ blocks, and a frequent phrase is one row per block before the sums.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +41,7 @@ from pyspark.sql.window import Window
 from taskgrid.llm.common import ship
 from taskgrid.session import scratch_path
 
-BLOCK_WORDS, SLICE_BYTES = 1 << 20, 1 << 22
+BLOCK_WORDS, HELD_WORDS, SLICE_BYTES = 1 << 20, 1 << 22, 1 << 18
 SCORE = ("cast(1000 as decimal(4,0)) * cast(f as decimal(17,0)) * cast(n as decimal(17,0)) "
          "div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))")
 GAP = b"\xff"  # never part of UTF-8
@@ -74,22 +76,25 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
         blocks: dict[str, Block] = {}
         made = count()
 
-        def rows(part: int):
-            for name, b in blocks.items():
-                codes = np.concatenate(b.codes) if b.codes else np.zeros(0, np.int32)
-                words = list(b.vocabulary)[1:]
-                yield pa.RecordBatch.from_pylist([{
-                    "block": (part << 32) + next(made), "lang": name, "words": words,
-                    "counts": np.bincount(codes, minlength=len(words) + 1)[1:], "codes": codes}], schema=kind)
-            blocks.clear()
+        def rows(part: int, name: str):
+            b = blocks.pop(name)
+            codes, words = np.concatenate(b.codes), list(b.vocabulary)[1:]
+            return pa.RecordBatch.from_pylist([{
+                "block": (part << 32) + next(made), "lang": name, "words": words,
+                "counts": np.bincount(codes, minlength=len(words) + 1)[1:], "codes": codes}], schema=kind)
         part = 0
         for batch in batches:
-            for part, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, name, text in zip(*batch.columns):
+                part, name, text = p.as_py(), name.as_py(), text.as_py()
                 if text:
-                    blocks.setdefault(name, Block()).add(text)
-                    if sum(b.size for b in blocks.values()) >= BLOCK_WORDS:
-                        yield from rows(part)
-        yield from rows(part)
+                    own = blocks.setdefault(name, Block())
+                    own.add(text)
+                    if own.size >= BLOCK_WORDS:
+                        yield rows(part, name)
+                    while sum(b.size for b in blocks.values()) >= HELD_WORDS:  # many languages
+                        yield rows(part, max(blocks, key=lambda k: blocks[k].size))
+        for name in list(blocks):
+            yield rows(part, name)
     kind = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())),
                       ("counts", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32()))])
     return read.mapInArrow(run, "block bigint, lang string, words array<binary>, counts array<bigint>, codes array<int>")
@@ -105,9 +110,39 @@ def joined(codes: np.ndarray, n: int) -> np.ndarray:
     return np.where((a > 0) & (b > 0), a * (n + 1) + b, 0)
 
 
+def dealt(batch_rows, buckets: int):
+    """Record batches (bucket, a block's own values, arrays) of the parts for each bucket, from (own values, bucket of
+    each element, columns)."""
+    for own, to, columns in batch_rows:
+        order = np.argsort(to, kind="stable")
+        at, cut = np.unique(to[order], return_index=True)
+        if len(at):
+            ends = np.append(cut, len(order)).astype(np.int32)
+            out = {"bucket": pa.array(at.astype(np.int64))} | {k: pa.array([v] * len(at)) for k, v in own.items()}
+            for name, x in columns.items():
+                x = x if isinstance(x, pa.Array) else pa.array(x)
+                out[name] = pa.ListArray.from_arrays(pa.array(ends), x.take(pa.array(order)))
+            yield pa.record_batch(out)
+
+
+def word_counts(relation: DataFrame, buckets: int) -> DataFrame:
+    """Each block's words, their codes and occurrences, as arrays dealt to buckets by a hash of language and word."""
+    def parts(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch["words"][row].values
+                salt = zlib.crc32(batch["lang"][row].as_py().encode() + b" ")
+                to = np.fromiter((zlib.crc32(w, salt) % buckets for w in words.to_pylist()), np.int64, len(words))
+                yield {"block": batch["block"][row].as_py(), "lang": batch["lang"][row].as_py()}, to, {
+                    "word": words, "code": np.arange(1, len(words) + 1, dtype=np.int64), "n": column(batch, "counts", row)}
+    return relation.select("block", "lang", "words", "counts").mapInArrow(
+        lambda b: dealt(parts(b), buckets),
+        "bucket bigint, block bigint, lang string, word array<binary>, code array<bigint>, n array<bigint>")
+
+
 def pair_counts(relation: DataFrame, buckets: int) -> DataFrame:
     """Each block's pairs (ids a and b) and their occurrences n, as arrays dealt to buckets by a hash of the pair."""
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 ids = column(batch, "ids", row)
@@ -116,17 +151,46 @@ def pair_counts(relation: DataFrame, buckets: int) -> DataFrame:
                 a, b, n = ids[a - 1], ids[b - 1], n[key > 0].astype(np.int64)
                 mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(
                     0xD6E8FEB86659FD93)
-                to = (mixed >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                to, cut = np.unique(to[order], return_index=True)
-                parts = np.split(order, cut[1:]) if len(to) else []
-                if parts:
-                    lists = lambda x: pa.array([x[i] for i in parts], pa.list_(pa.int64()))
-                    yield pa.record_batch({
-                        "bucket": pa.array(to.astype(np.int64)),
-                        "block": pa.array(np.full(len(to), batch["block"][row].as_py(), np.int64)),
-                        "a": lists(a), "b": lists(b), "n": lists(n)})
-    return relation.mapInArrow(run, "bucket bigint, block bigint, a array<bigint>, b array<bigint>, n array<bigint>")
+                yield {"block": batch["block"][row].as_py()}, (mixed >> np.uint64(32)) % np.uint64(buckets), {"a": a, "b": b, "n": n}
+    return relation.mapInArrow(lambda b: dealt(parts(b), buckets),
+                               "bucket bigint, block bigint, a array<bigint>, b array<bigint>, n array<bigint>")
+
+
+def per_block(block: np.ndarray, **columns):
+    """Rows (block, arrays) of parallel arrays."""
+    order = np.argsort(block, kind="stable")
+    of, cut = np.unique(block[order], return_index=True)
+    for name, at in zip(of.tolist(), np.split(order, cut[1:])):
+        yield {"block": name} | {k: x[at] for k, x in columns.items()}
+
+
+def grouped_words(sent: DataFrame, least: int) -> DataFrame:
+    """As ``grouped`` for words: rows with block null (lang; word, f, id) and, for each block, one (code, id)."""
+    def run(t: pa.Table) -> pa.Table:
+        out, base = [], t["bucket"][0].as_py() << 32
+        for lang in sorted(set(t["lang"].to_pylist())):
+            own = t.filter(pc.equal(t["lang"], lang))
+            flat = lambda c: own[c].combine_chunks().flatten()  # noqa: E731,B023
+            words = flat("word").dictionary_encode()
+            code, n, at = flat("code").to_numpy(), flat("n").to_numpy(), words.indices.to_numpy()
+            f = np.bincount(at, n, len(words.dictionary)).astype(np.int64)
+            often = np.flatnonzero(f >= least)
+            often = often[np.argsort(np.array(words.dictionary.take(pa.array(often)).to_pylist(), object), kind="stable")]
+            ids = np.zeros(len(f), np.int64) - 1
+            ids[often] = base + np.arange(len(often))
+            base += len(often)
+            if len(often):
+                out.append({"lang": lang, "word": words.dictionary.take(pa.array(often)).to_pylist(), "f": f[often],
+                            "id": ids[often]})
+            hit = ids[at] >= 0
+            block = np.repeat(own["block"].to_numpy(), [len(x) for x in own["code"]])
+            out += per_block(block[hit], code=code[hit], id=ids[at[hit]])
+        return pa.Table.from_pylist(out, schema=kind)
+    longs = pa.list_(pa.int64())
+    kind = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("word", pa.list_(pa.binary())), ("code", longs),
+                      ("f", longs), ("id", longs)])
+    return sent.groupBy("bucket").applyInArrow(
+        run, "block bigint, lang string, word array<binary>, code array<bigint>, f array<bigint>, id array<bigint>")
 
 
 def grouped(sent: DataFrame, least: int) -> DataFrame:
@@ -146,11 +210,7 @@ def grouped(sent: DataFrame, least: int) -> DataFrame:
         keep = often[group]
         sizes = [len(x) for x in t["a"]]
         block = np.repeat(t["block"].to_numpy(), sizes)[order][keep]
-        a, b, ids = a[keep], b[keep], own[group[keep]]
-        order = np.argsort(block, kind="stable")
-        of, cut = np.unique(block[order], return_index=True)
-        for name, at in zip(of.tolist(), np.split(order, cut[1:])):
-            out.append({"block": name, "a": a[at], "b": b[at], "f": None, "id": ids[at]})
+        out += per_block(block, a=a[keep], b=b[keep], id=own[group[keep]])
         return pa.Table.from_pylist([r for r in out if len(r["a"])], schema=kind)
     longs = pa.list_(pa.int64())
     kind = pa.schema([("block", pa.int64()), ("a", longs), ("b", longs), ("f", longs), ("id", longs)])
@@ -167,7 +227,7 @@ def renamed(codes: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.nd
 
 
 def semi_joined(relation: DataFrame, frequent: DataFrame, of_pairs: bool) -> DataFrame:
-    """The relation of the frequent groups only. ``frequent``: (block, id and code) of words or, as arrays, (id, a, b)."""
+    """The relation of the frequent groups only. ``frequent``: (block, arrays id and code of words, or id, a and b)."""
     def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
         out = []
         for row in range(len(rows) if len(hits) else 0):
@@ -178,7 +238,7 @@ def semi_joined(relation: DataFrame, frequent: DataFrame, of_pairs: bool) -> Dat
                 a, b, ids = (hits[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("a", "b", "id"))
                 keys = (np.searchsorted(known, a) + 1) * (len(known) + 1) + np.searchsorted(known, b) + 1
             else:
-                keys, ids = hits["code"].to_numpy(), hits["id"].to_numpy()
+                keys, ids = (hits[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("code", "id"))
             ids, codes = renamed(codes.astype(np.int64), keys, ids)
             out.append({"block": rows["block"][row].as_py(), "ids": ids, "codes": codes})
         return pa.Table.from_pylist(out, schema=kind)
@@ -201,24 +261,20 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text:
     Tables: id, lang, words, f, heads and tails (counts of the first and last 1, 2, ... words), a, b (halves)."""
     ship(docs.sparkSession)
     r = saved(occurrences(docs, text, lang), "words")
-    told = r.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
-        "block", "lang", (F.col("at") + 1).cast("bigint").alias("code"), F.col("w.words").alias("word"),
-        F.col("w.counts").alias("n"))
     total = saved(r.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n")), "totals")
-    words = saved(told.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least).select(
-        F.monotonically_increasing_id().alias("id"), "lang", F.array("word").alias("words"), "f",
-        F.array("f").alias("heads"), F.array("f").alias("tails"),
-        F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")), "phrases-1")
-    hits = told.join(words.select("id", "lang", F.col("words")[0].alias("word")), ["lang", "word"]).select("block", "code", "id")
-    tables = [words]
-    r = saved(semi_joined(r.select("block", "codes"), hits, False), "relation-1")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), r.count())
+    round_ = saved(grouped_words(word_counts(r, buckets), least), "round-1")
+    own = F.array("f")
+    tables = [saved(round_.filter("block is null").select("lang", F.inline(F.arrays_zip("word", "f", "id"))).select(
+        "id", "lang", F.array("word").alias("words"), "f", own.alias("heads"), own.alias("tails"),
+        F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")), "phrases-1")]
+    hits = round_.filter("block is not null").select("block", "code", "id")
+    r = saved(semi_joined(r.select("block", "codes"), hits, False), "relation-1")
     for k in range(2, longest + 1):
         round_ = saved(grouped(pair_counts(r, buckets), least), f"round-{k}")
         counted = round_.filter("block is null").select(F.inline(F.arrays_zip("a", "b", "f", "id")))
         left = tables[-1].select(F.col("id").alias("a"), "lang", F.col("words").alias("start"), F.col("heads").alias("h"))
         right = tables[-1].select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"), F.col("tails").alias("t"))
-        own = F.array("f")
         tables.append(saved(counted.join(left, "a").join(right, "b").select(
             "id", "lang", F.concat("start", F.array("last")).alias("words"), "f",
             F.concat("h", own).alias("heads"), F.concat("t", own).alias("tails"), "a", "b"), f"phrases-{k}"))

@@ -66,6 +66,7 @@ def test_equals_counting(spark, monkeypatch):
     assert found(setm.collocations(frame(spark, rows), least=8)) == want
     monkeypatch.setattr(setm, "BLOCK_WORDS", 300)  # many blocks
     monkeypatch.setattr(setm, "SLICE_BYTES", 50)
+    monkeypatch.setattr(setm, "HELD_WORDS", 500)
     assert found(setm.collocations(frame(spark, rows), least=8)) == want
 
 
