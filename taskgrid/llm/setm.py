@@ -3,7 +3,7 @@
 The occurrence relation R1 (block, place, word) is written once, sorted by place:
 a place numbers the words of a block in reading order, with one empty place
 between pieces, so places p and p + 1 hold adjacent words of one piece. A block is
-a bounded run of texts of one language; its relation is one row, an array over
+a bounded run of texts of one language; its relation is one row, a packed array over
 places of codes into the block's own list of phrases (0: no frequent phrase).
 
 Each length is one round. The relation is merge-joined with itself at adjacent
@@ -67,21 +67,37 @@ class Block:
             at = end
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An integer array as one small binary value: byte planes, compressed (a relation holds millions of places a row)."""
+    import zstandard
+    x = np.ascontiguousarray(x)
+    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    import zstandard
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
 def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """R1 as rows (block, lang, words, counts, codes); word k of the list has code k + 1."""
+    """R1 as rows (block, lang, n, words, counts, codes); word k of the list has code k + 1. Arrays are ``packed``."""
     read = docs.select(F.spark_partition_id().cast("bigint").alias("part"),
                        F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
 
     def run(batches):
+        import zstandard
         blocks: dict[str, Block] = {}
         made = count()
 
         def rows(part: int, name: str):
             b = blocks.pop(name)
             codes, words = np.concatenate(b.codes), list(b.vocabulary)[1:]
+            counts = np.bincount(codes, minlength=len(words) + 1)[1:]
             return pa.RecordBatch.from_pylist([{
-                "block": (part << 32) + next(made), "lang": name, "words": words,
-                "counts": np.bincount(codes, minlength=len(words) + 1)[1:], "codes": codes}], schema=kind)
+                "block": (part << 32) + next(made), "lang": name, "n": int(counts.sum()),
+                "words": zstandard.compress(b"\n".join(words), 1), "counts": packed(counts), "codes": packed(codes)}],
+                schema=kind)
         part = 0
         for batch in batches:
             for p, name, text in zip(*batch.columns):
@@ -95,13 +111,9 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
                         yield rows(part, max(blocks, key=lambda k: blocks[k].size))
         for name in list(blocks):
             yield rows(part, name)
-    kind = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.binary())),
-                      ("counts", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32()))])
-    return read.mapInArrow(run, "block bigint, lang string, words array<binary>, counts array<bigint>, codes array<int>")
-
-
-def column(batch, name: str, row: int) -> np.ndarray:
-    return batch[name][row].values.to_numpy(zero_copy_only=False)
+    kind = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()),
+                      ("counts", pa.binary()), ("codes", pa.binary())])
+    return read.mapInArrow(run, "block bigint, lang string, n bigint, words binary, counts binary, codes binary")
 
 
 def joined(codes: np.ndarray, n: int) -> np.ndarray:
@@ -128,13 +140,16 @@ def dealt(batch_rows, buckets: int):
 def word_counts(relation: DataFrame, buckets: int) -> DataFrame:
     """Each block's words, their codes and occurrences, as arrays dealt to buckets by a hash of language and word."""
     def parts(batches):
+        import zstandard
         for batch in batches:
             for row in range(batch.num_rows):
-                words = batch["words"][row].values
+                joint = zstandard.decompress(batch["words"][row].as_py())
+                words = joint.split(b"\n") if joint else []
                 salt = zlib.crc32(batch["lang"][row].as_py().encode() + b" ")
-                to = np.fromiter((zlib.crc32(w, salt) % buckets for w in words.to_pylist()), np.int64, len(words))
+                to = np.fromiter((zlib.crc32(w, salt) % buckets for w in words), np.int64, len(words))
                 yield {"block": batch["block"][row].as_py(), "lang": batch["lang"][row].as_py()}, to, {
-                    "word": words, "code": np.arange(1, len(words) + 1, dtype=np.int64), "n": column(batch, "counts", row)}
+                    "word": pa.array(words, pa.binary()), "code": np.arange(1, len(words) + 1, dtype=np.int64),
+                    "n": unpacked(batch["counts"][row].as_py())}
     return relation.select("block", "lang", "words", "counts").mapInArrow(
         lambda b: dealt(parts(b), buckets),
         "bucket bigint, block bigint, lang string, word array<binary>, code array<bigint>, n array<bigint>")
@@ -145,8 +160,8 @@ def pair_counts(relation: DataFrame, buckets: int) -> DataFrame:
     def parts(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = column(batch, "ids", row)
-                key, n = np.unique(joined(column(batch, "codes", row), len(ids)), return_counts=True)
+                ids = unpacked(batch["ids"][row].as_py())
+                key, n = np.unique(joined(unpacked(batch["codes"][row].as_py(), np.int32), len(ids)), return_counts=True)
                 a, b = np.divmod(key[key > 0], len(ids) + 1)
                 a, b, n = ids[a - 1], ids[b - 1], n[key > 0].astype(np.int64)
                 mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(
@@ -231,21 +246,21 @@ def semi_joined(relation: DataFrame, frequent: DataFrame, of_pairs: bool) -> Dat
     def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
         out = []
         for row in range(len(rows) if len(hits) else 0):
-            codes = column(rows, "codes", row)
+            codes = unpacked(rows["codes"][row].as_py(), np.int32)
             if of_pairs:
-                known = column(rows, "ids", row)
+                known = unpacked(rows["ids"][row].as_py())
                 codes = joined(codes, len(known))
                 a, b, ids = (hits[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("a", "b", "id"))
                 keys = (np.searchsorted(known, a) + 1) * (len(known) + 1) + np.searchsorted(known, b) + 1
             else:
                 keys, ids = (hits[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("code", "id"))
             ids, codes = renamed(codes.astype(np.int64), keys, ids)
-            out.append({"block": rows["block"][row].as_py(), "ids": ids, "codes": codes})
+            out.append({"block": rows["block"][row].as_py(), "ids": packed(ids), "codes": packed(codes)})
         return pa.Table.from_pylist(out, schema=kind)
-    kind = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("codes", pa.list_(pa.int32()))])
+    kind = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("codes", pa.binary())])
     hits = frequent.select(*(F.col(c).alias(c) for c in frequent.columns))  # columns apart from the relation's
     return relation.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(
-        run, "block bigint, ids array<bigint>, codes array<int>")
+        run, "block bigint, ids binary, codes binary")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -261,7 +276,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text:
     Tables: id, lang, words, f, heads and tails (counts of the first and last 1, 2, ... words), a, b (halves)."""
     ship(docs.sparkSession)
     r = saved(occurrences(docs, text, lang), "words")
-    total = saved(r.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n")), "totals")
+    total = saved(r.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), r.count())
     round_ = saved(grouped_words(word_counts(r, buckets), least), "round-1")
     own = F.array("f")
