@@ -358,6 +358,33 @@ def launch_summary(rows: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
         F.count_distinct(cfg.list_name).alias("retailers"))
 
 
+PROFILE_SECTIONS = ("records", "construction_flag", "polygon_status", "parent_ali", "needs_work")
+
+
+def grouped_profile(df: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
+    """A19 (grouped part): every per-retailer output in one pass, long form (section, retailer, label, n).
+
+    Sections are A4 (``records``, label null), A5, A6, A12 (labels Connected, Unknown) and A21 (labels yes, no; a
+    retailer without rows of a label has no row of it). GROUPING SETS expand a row to one per section before the
+    partial aggregate, so what is shuffled is one row per retailer, label and task."""
+    name = F.col(cfg.list_name)
+    rows = df.filter(name.isNotNull()).select(
+        name.alias("_r"),
+        F.coalesce(F.col(cfg.construction_flag), F.lit(cfg.flag_normal)).alias("_flag"),
+        F.coalesce(F.col(cfg.polygon_status), F.lit(cfg.flag_normal)).alias("_status"),
+        F.when(F.col(cfg.parent_ali).isNotNull(), "Connected").otherwise("Unknown").alias("_parent"),
+        F.when(needs_work_condition(cfg), "yes").otherwise("no").alias("_needs"))
+    labels = ("_flag", "_status", "_parent", "_needs")
+    sets = [["_r"], *[["_r", c] for c in labels]]
+    told = rows.groupingSets(sets, "_r", *labels).agg(_n().alias("n"), F.grouping_id().alias("_id"))
+    section = F.lit(PROFILE_SECTIONS[0])
+    for k, s in enumerate(PROFILE_SECTIONS[1:]):
+        # grouping_id has a 1 for each column that a set leaves out; the label columns are the last four bits
+        section = F.when(F.col("_id") == 15 - (8 >> k), s).otherwise(section)
+    return told.select(section.alias("section"), F.col("_r").alias(cfg.list_name),
+                       F.coalesce(*labels).alias("label"), "n")
+
+
 def coverage_by(df: DataFrame, keys: Sequence[str], cfg: TaskConfig = DEFAULT) -> DataFrame:
     """A18 per group: the coverage counts for each value of ``keys``."""
     flags = _flag_counts(cfg)
@@ -387,9 +414,7 @@ def from_profile(profile: DataFrame, cfg: TaskConfig = DEFAULT,
     ln = cfg.list_name
 
     def pivot(col: str, values) -> DataFrame:
-        if values is None:
-            values = sorted(r[0] for r in profile.select(col).distinct().collect())
-        values = list(values)
+        values = list(_discover(profile, F.col(col)) if values is None else values)
         if TOTAL_LABEL in values or ln in values:
             raise ValueError(f"a pivot value collides with an output column: {values}")
         return profile.groupBy(ln).agg(
