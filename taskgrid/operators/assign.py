@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskgrid.config import (
@@ -217,35 +217,44 @@ def unassigned_count(df: DataFrame, assignments: DataFrame, cfg: TaskConfig = DE
     return per.agg(F.count_if(F.col("_a") == 0).alias("unassigned_count"))
 
 
-def assignment_summary(assignments: DataFrame, analysts: Sequence[str],
-                       cfg: TaskConfig = DEFAULT) -> DataFrame:
-    """Per analyst the row count, its share as ``"x%"`` and the sorted
-    retailer list; analysts without rows are kept; a ``Total`` row last.
-
-    One aggregate over the assignments; the small per-analyst table (one row
-    per listed analyst) gets its total from a window and emits the ``Total``
-    row alongside the first analyst's row, so the assignments are not
-    evaluated a second time for the total."""
-    spark = assignments.sparkSession
-    names = analysts_frame(spark, analysts)
-    per = assignments.groupBy("analyst").agg(
-        F.count(F.lit(1)).alias("tasks_assigned"),
-        F.array_join(F.sort_array(F.collect_set(cfg.list_name)), ", ").alias("assigned_retailers"))
-    s = (F.broadcast(names).join(per, "analyst", "left")
-           .na.fill({"tasks_assigned": 0, "assigned_retailers": ""}))
-    total = F.sum("tasks_assigned").over(Window.partitionBy())
-    s = s.withColumn("_total", total)
+def assignment_retailers(assignments: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
+    """T7 in long form: (analyst, retailer, n) for every retailer with rows at the analyst; a null retailer is left out."""
+    return (assignments.filter(F.col(cfg.list_name).isNotNull())
+            .groupBy("analyst", cfg.list_name).agg(F.count(F.lit(1)).alias("n")))
+
+
+def summary_rows(counts: DataFrame, total: Column) -> DataFrame:
+    """The summary's rows from one row per listed analyst (position, analyst, tasks_assigned, further columns):
+    the count's share of ``total`` as ``"x%"``, and a ``Total`` row last."""
+    more = [c for c in counts.columns if c not in ("position", "analyst", "tasks_assigned")]
+    s = counts.withColumn("_total", total.cast("bigint")).withColumn("_last", F.max("position").over(Window.partitionBy()))
     share = F.coalesce(pct(F.col("tasks_assigned"), F.col("_total")), F.lit(0.0))
-    row = F.struct(F.col("position"), F.col("analyst"), F.col("tasks_assigned"),
-                   F.concat(share.cast("string"), F.lit("%")).alias("percentage"),
-                   F.col("assigned_retailers"))
-    tot = F.struct(F.lit(len(analysts)).alias("position"), F.lit(TOTAL_LABEL).alias("analyst"),
-                   F.col("_total").cast("bigint").alias("tasks_assigned"),
-                   F.lit("100.0%").alias("percentage"), F.lit("").alias("assigned_retailers"))
-    rows = F.when(F.col("position") == 0, F.array(row, tot)).otherwise(F.array(row))
+    row = F.struct("position", "analyst", "tasks_assigned", F.concat(share.cast("string"), F.lit("%")).alias("percentage"), *more)
+    last = F.struct((F.col("_last") + 1).alias("position"), F.lit(TOTAL_LABEL).alias("analyst"),
+                    F.col("_total").alias("tasks_assigned"), F.lit("100.0%").alias("percentage"),
+                    *[F.lit("").alias(c) for c in more])
+    rows = F.when(F.col("position") == 0, F.array(row, last)).otherwise(F.array(row))
     return s.select(F.inline(rows)).orderBy("position").drop("position")
 
 
+def assignment_summary(assignments: DataFrame, analysts: Sequence[str], cfg: TaskConfig = DEFAULT,
+                       retailer_list: bool = True) -> DataFrame:
+    """Per analyst the row count, its share as ``"x%"`` and, with ``retailer_list``, the sorted retailer
+    names in one text cell (``assignment_retailers`` has them as rows); analysts without rows are kept; a
+    ``Total`` row last.
+
+    Rows are counted per (analyst, retailer) first, so a retailer is one row per task before the exchange and the
+    text is made of distinct names; the total is a window over one row per listed analyst."""
+    names = analysts_frame(assignments.sparkSession, analysts)
+    per = assignments.groupBy("analyst", cfg.list_name).agg(F.count(F.lit(1)).alias("n"))
+    out = [F.sum("n").alias("tasks_assigned")]
+    if retailer_list:
+        out.append(F.array_join(F.sort_array(F.collect_list(cfg.list_name)), ", ").alias("assigned_retailers"))
+    s = F.broadcast(names).join(per.groupBy("analyst").agg(*out), "analyst", "left").na.fill(
+        {"tasks_assigned": 0} | ({"assigned_retailers": ""} if retailer_list else {}))
+    return summary_rows(s, F.sum("tasks_assigned").over(Window.partitionBy()))
+
+
 def analyst_sheets(assignments: DataFrame, cfg: TaskConfig = DEFAULT) -> DataFrame:
     """The 14-column analyst layout plus ``analyst``; fill columns and
     columns missing from the input are blank (``''``)."""

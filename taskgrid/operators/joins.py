@@ -28,26 +28,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _default(dt: T.DataType) -> Column | None:
-    if isinstance(dt, T.StringType):
-        return F.lit("")
+def _default(dt: T.DataType) -> Column:
+    """A constant of type ``dt`` to stand in a null key's place."""
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return F.lit("").cast(dt)
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                        T.DoubleType, T.DecimalType)):
         return F.lit(0).cast(dt)
     if isinstance(dt, T.BooleanType):
         return F.lit(False)
-    if isinstance(dt, T.DateType):
-        return F.to_date(F.lit("1970-01-01"))
-    return None
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(dt)
+    raise TypeError(f"unsupported key type {dt.simpleString()}")
 
 
 def ns_key(df: DataFrame, key: str, prefix: str = "_k") -> tuple[Column, Column]:
     """The null-safe pair for ``df[key]``: ``(coalesce(key, default), isnull(key))``."""
     c = F.col(_q(key))
-    d = _default(df.schema[key].dataType)
-    if d is None:
-        raise TypeError(f"unsupported key type {df.schema[key].dataType.simpleString()}")
-    return F.coalesce(c, d).alias(f"{prefix}v"), c.isNull().alias(f"{prefix}n")
+    return F.coalesce(c, _default(df.schema[key].dataType)).alias(f"{prefix}v"), c.isNull().alias(f"{prefix}n")
 
 
 def ns_cond(prefix_a: str, prefix_b: str) -> Column:

@@ -1,13 +1,14 @@
 """The three end-to-end flows: analyse an upload, launch work, compare lists.
 
-Each returns ``dict[str, DataFrame]``. Small shared intermediates (the fused
-summary row, the per-retailer profile) are persisted because several outputs
-read them; the large inputs are not.
+Each returns ``dict[str, DataFrame]``. ``analysis`` persists the small shared
+intermediates (the fused summary row, the per-retailer profile) while a block
+reads them, and releases them after it; the large inputs are never persisted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,17 @@ from taskgrid.operators import assign, compare as cmp, quality as q
 
 
 def analyse(df: DataFrame, cfg: TaskConfig = DEFAULT, flag_values: Sequence[str] | None = None,
-            status_values: Sequence[str] | None = None) -> dict[str, DataFrame]:
+            status_values: Sequence[str] | None = None, keep: bool = False) -> dict[str, DataFrame]:
     """The full analysis of one task list.
 
     Two passes over the data serve every aggregate: the fused scalar row and
-    the per-retailer profile. Percent tables are read off the fused row.
-    """
-    summary = q.full_analysis_row(df, cfg).persist()
-    profile = q.retailer_profile(df, cfg).persist()
-    out = {"summary": summary, "unique_retailers": q.unique_retailers(df, cfg)}
+    the per-retailer profile. Percent tables are read off the fused row. With
+    ``keep`` both are persisted; ``analysis`` does that and releases them."""
+    summary = q.full_analysis_row(df, cfg)
+    profile = q.retailer_profile(df, cfg)
+    if keep:
+        summary, profile = summary.persist(), profile.persist()
+    out = {"summary": summary, "unique_retailers": q.unique_retailers(df, cfg), "profile": profile}
     out.update(q.from_profile(profile, cfg, flag_values, status_values))
 
     def stack(items):
@@ -44,6 +47,18 @@ def analyse(df: DataFrame, cfg: TaskConfig = DEFAULT, flag_values: Sequence[str]
     return out
 
 
+@contextmanager
+def analysis(df: DataFrame, cfg: TaskConfig = DEFAULT, flag_values: Sequence[str] | None = None,
+             status_values: Sequence[str] | None = None):
+    """``analyse`` with its two shared tables persisted for the length of a ``with`` block."""
+    out = analyse(df, cfg, flag_values, status_values, keep=True)
+    try:
+        yield out
+    finally:
+        out["summary"].unpersist(blocking=True)
+        out["profile"].unpersist(blocking=True)
+
+
 def launch(df: DataFrame, analysts: Sequence[str], selected=None, plan=None, split_plan=None,
            seed: int | str = 0, cfg: TaskConfig = DEFAULT) -> dict[str, DataFrame]:
     """Needs-work rows of the selected retailers, divided among analysts.
@@ -74,4 +89,4 @@ def compare(df1: DataFrame, df2: DataFrame, kind: str, cfg: TaskConfig = DEFAULT
     return cmp.compare(df1, df2, kind, cfg, null_keys)
 
 
-__all__ = ["analyse", "launch", "compare"]
+__all__ = ["analyse", "analysis", "launch", "compare"]

@@ -73,7 +73,7 @@ register("records_per_retailer", W(
 
 
 def _pivot_sql(expr: str, values) -> str:
-    cols = ", ".join(f'{_cnt(f"{expr} = {chr(39)}{v}{chr(39)}")} AS "{v}"' for v in values)
+    cols = ", ".join(_cnt(f"{expr} = '{v}'") + f' AS "{v}"' for v in values)
     return W(f'SELECT list_name, {cols}, count(*) AS "Total" FROM tasks '
              "WHERE list_name IS NOT NULL GROUP BY list_name")
 
@@ -111,15 +111,14 @@ def _stack_sql(items, total="t") -> str:
 
 
 register("construction_flag_percentages", W(
-    f", a AS (SELECT count(*) AS t, {_cnt(FLAG + chr(61) + repr('Construction'))} AS c0, "
-    f"{_cnt(FLAG + ' = ' + repr('Mall Tenant'))} AS c1, "
-    f"{_cnt(FLAG + ' = ' + repr('Multi-Level'))} AS c2, "
-    f"{_cnt(FLAG + ' = ' + repr('Normal'))} AS c3 FROM tasks)\n"
+    ", a AS (SELECT count(*) AS t, " + _cnt(FLAG + " = 'Construction'") + " AS c0, "
+    + _cnt(FLAG + " = 'Mall Tenant'") + " AS c1, " + _cnt(FLAG + " = 'Multi-Level'") + " AS c2, "
+    + _cnt(FLAG + " = 'Normal'") + " AS c3 FROM tasks)\n"
     + _stack_sql([("Construction", "c0"), ("Mall Tenant", "c1"), ("Multi Level", "c2"),
                   ("Normal", "c3")])))(
     lambda s, d: q.construction_flag_percentages(tasks(s, d)))
 register("polygon_status_percentages", W(
-    f", a AS (SELECT count(*) AS t, {_cnt(chr(39).join(['polygon_status = ', 'VerifiedQA', '']))} AS v "
+    ", a AS (SELECT count(*) AS t, " + _cnt("polygon_status = 'VerifiedQA'") + " AS v "
     "FROM tasks), b AS (SELECT t, v, t - v AS u FROM a)\n"
     + _stack_sql([("Verified QA", "v"), ("Unverified", "u")]).replace("FROM a", "FROM b")))(
     lambda s, d: q.polygon_status_percentages(tasks(s, d)))
@@ -148,13 +147,13 @@ register("classify_marked", W(
     lambda s, d: q.classify_marked(tasks(s, d)))
 COVERAGE_SQL = (f"{_cnt(MARKED_SQL)} AS marked_count, {pct_sql(_cnt(MARKED_SQL), 'count(*)')} AS marked_pct, "
                 f"{_cnt(PENDING_SQL)} AS pending_count, {pct_sql(_cnt(PENDING_SQL), 'count(*)')} AS pending_pct, "
-                f"{_cnt(chr(39).join(['polygon_status IN (', 'VerifiedQA', ', ', 'VerifiedAdmin', ')']))} AS polygon_done_count, "
-                f"{_cnt(PENDING_SQL)} AS polygon_missing_count")
+                + _cnt("polygon_status IN ('VerifiedQA', 'VerifiedAdmin')") + " AS polygon_done_count, "
+                + _cnt(PENDING_SQL) + " AS polygon_missing_count")
 register("polygon_coverage", W(
     f"SELECT count(*) AS total, {COVERAGE_SQL}, "
-    f"{_cnt(FLAG + ' = ' + repr('Mall Tenant'))} AS mall_tenant_count, "
-    f"{_cnt(FLAG + ' = ' + repr('Multi-Level'))} AS multi_level_count, "
-    f"{_cnt(FLAG + ' = ' + repr('Construction'))} AS construction_count FROM tasks"))(
+    + _cnt(FLAG + " = 'Mall Tenant'") + " AS mall_tenant_count, "
+    + _cnt(FLAG + " = 'Multi-Level'") + " AS multi_level_count, "
+    + _cnt(FLAG + " = 'Construction'") + " AS construction_count FROM tasks"))(
     lambda s, d: q.polygon_coverage(tasks(s, d)))
 
 
@@ -178,6 +177,17 @@ def _full_sql() -> str:
 
 register("full_analysis", _full_sql())(lambda s, d: q.full_analysis_row(tasks(s, d)))
 NEEDS_SQL = f"NOT {G_VER}"
+
+
+register("full_analysis_profile", W(
+    ", t AS (SELECT * FROM tasks WHERE list_name IS NOT NULL)\n"
+    "SELECT 'records' AS section, list_name, CAST(NULL AS VARCHAR) AS label, count(*) AS n FROM t GROUP BY list_name "
+    f"UNION ALL SELECT 'construction_flag', list_name, {FLAG}, count(*) FROM t GROUP BY ALL "
+    f"UNION ALL SELECT 'polygon_status', list_name, {STATUS_FILL}, count(*) FROM t GROUP BY ALL "
+    "UNION ALL SELECT 'parent_ali', list_name, CASE WHEN parent_ali IS NULL THEN 'Unknown' ELSE 'Connected' END, "
+    "count(*) FROM t GROUP BY ALL "
+    f"UNION ALL SELECT 'needs_work', list_name, CASE WHEN NOT {G_VER} THEN 'yes' ELSE 'no' END, count(*) FROM t GROUP BY ALL"))(
+    lambda s, d: q.grouped_profile(tasks(s, d)))
 register("needs_work", W(f"SELECT * FROM tasks WHERE {NEEDS_SQL}"))(
     lambda s, d: q.needs_work(tasks(s, d)))
 register("needs_work_preview", W(
@@ -197,6 +207,18 @@ def _launch_subset(s, d):
     return q.launch_subset(t, selected=pre)
 
 
+LAUNCHED_SQL = (f", pre AS (SELECT list_name FROM tasks WHERE list_name IS NOT NULL GROUP BY list_name "
+                f"HAVING {_cnt(NEEDS_SQL)} > 0), launched AS (SELECT * FROM tasks WHERE {NEEDS_SQL} "
+                "AND list_name IN (SELECT list_name FROM pre))\n")
+register("launch_summary", W(
+    LAUNCHED_SQL + "SELECT CASE WHEN count(*) = 0 THEN NULL WHEN count(DISTINCT list_name) = 1 THEN 'single' "
+    "ELSE 'multi' END AS mode, count(*) AS total_alis, count(DISTINCT list_name) AS retailers FROM launched"))(
+    lambda s, d: q.launch_summary(_launch_subset(s, d)))
+register("launch_counts", W(
+    LAUNCHED_SQL + "SELECT list_name, count(*) AS record_count FROM launched GROUP BY list_name"))(
+    lambda s, d: q.records_per_retailer(_launch_subset(s, d)))
+
+
 # -- comparator -----------------------------------------------------------------
 from taskgrid.operators import compare as c  # noqa: E402
 
@@ -298,6 +320,25 @@ register("migration_summary", WV(
     "LEFT JOIN x ON x.bk = b.bucket GROUP BY b.bucket"))(
     lambda s, d: c.migration_summary(v1(s, d), v2(s, d)))
 
+_CLASS_COUNTS = ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN {BUCKETS_SQL[b]} THEN 1 ELSE 0 END), 0) AS DECIMAL(38,0)) AS {b}"
+    for b in ("changed_lost", "changed_never", "lost_only", "clean"))
+register("migration_classes", WV(
+    ", k AS (SELECT address, sum(o) AS old_rows, sum(n) AS new_rows FROM (SELECT address, 1 AS o, 0 AS n FROM d1 "
+    "UNION ALL SELECT address, 0, 1 FROM d2) GROUP BY address), p AS (SELECT " + _PAIR_COLS.format(addr="o.address")
+    + " FROM d1 o JOIN d2 n ON o.address = n.address), "
+    f"b AS (SELECT address, count(*) AS pairs, {_CLASS_COUNTS} FROM p GROUP BY address)\n"
+    "SELECT k.address, CAST(old_rows AS BIGINT) AS old_rows, CAST(new_rows AS BIGINT) AS new_rows, "
+    "CASE WHEN b.pairs IS NOT NULL THEN 'both' WHEN new_rows = 0 THEN 'left_only' WHEN old_rows = 0 THEN 'right_only' "
+    "ELSE 'apart' END AS side, CAST(coalesce(b.pairs, 0) AS DECIMAL(38,0)) AS pairs, "
+    + ", ".join(f"CAST(coalesce(b.{x}, 0) AS DECIMAL(38,0)) AS {x}"
+                for x in ("changed_lost", "changed_never", "lost_only", "clean"))
+    + " FROM k LEFT JOIN b ON b.address = k.address"))(
+    lambda s, d: c.migration_classes(v1(s, d), v2(s, d)))
+register("migration_members", WV(
+    "SELECT *, 'old' AS version FROM d1 UNION ALL SELECT *, 'new' AS version FROM d2"))(
+    lambda s, d: c.migration_members(v1(s, d), v2(s, d)))
+
 
 # -- launcher -------------------------------------------------------------------
 from taskgrid.operators import assign as a  # noqa: E402
@@ -389,6 +430,26 @@ def _summary(s, d):
     return a.assignment_summary(_applied(s, d)[1], NAMES)
 
 
+SHARES_SQL = (
+    ", shares AS (SELECT p.target AS analyst, r.list_name, r.cnt AS n FROM retailers r JOIN plan p USING (list_name) "
+    f"WHERE p.target IN {IN_NAMES} UNION ALL SELECT sp.analyst, sp.list_name, sp.n FROM split_plan sp WHERE sp.n > 0)")
+register("assignment_retailers", WP(
+    SHARES_SQL + "\nSELECT analyst, list_name, CAST(sum(n) AS BIGINT) AS n FROM shares GROUP BY analyst, list_name"))(
+    lambda s, d: a.assignment_retailers(_applied(s, d)[1]))
+
+
+@register("write_assignments_summary", WP(
+    SHARES_SQL + ", per AS (SELECT analyst, sum(n) AS v FROM shares GROUP BY analyst), body AS (SELECT a.analyst, "
+    "CAST(coalesce(per.v, 0) AS BIGINT) AS tasks_assigned FROM analysts a LEFT JOIN per USING (analyst)), "
+    "tot AS (SELECT CAST(sum(tasks_assigned) AS BIGINT) AS t FROM body)\n"
+    f"SELECT analyst, tasks_assigned, CAST(coalesce({pct_sql('tasks_assigned', 't')}, 0.0) AS VARCHAR) || '%' "
+    "AS percentage FROM body, tot UNION ALL SELECT 'Total', t, '100.0%' FROM tot"))
+def _write_summary(s, d):
+    path = scratch_path(s, "assignments")
+    writers.write_assignments(_applied(s, d)[1], NAMES, path)
+    return s.read.parquet(f"{path}/summary").drop("assigned_retailers")
+
+
 SHEET_SQL = ("SELECT '' AS \"Date\", category AS \"Category\", list_id AS \"List ID\", list_name AS \"List Name\", "
              "ali AS \"ALI\", '' AS \"Polygon Status\", store_name AS \"Store Name\", address AS \"Address\", "
              "city AS \"City\", state AS \"State\", zip AS \"ZIP\", '' AS \"Source-1\", '' AS \"Source-2\", "
@@ -496,6 +557,74 @@ def _union_sheets(s, d):
     return files.union_sheets(s, paths)
 
 
+# Lines of four fields with some that do not parse: by list_id % 9 a field too many (1) or too few (2), an ALI with a
+# letter (3), a latitude that is a word (4), an ALI with a fraction (5).
+BAD_LINE_SQL = (
+    "category || ',' || list_id || ',' || CASE list_id % 9 WHEN 3 THEN coalesce(ali || 'x', '') "
+    "WHEN 5 THEN coalesce(ali || '.5', '') ELSE coalesce(CAST(ali AS VARCHAR), '') END || "
+    "CASE list_id % 9 WHEN 1 THEN ',' || latitude || ',extra' WHEN 2 THEN '' WHEN 4 THEN ',oops' ELSE ',' || latitude END")
+
+
+@register("read_tasks_csv_rejects", W(
+    f", b AS (SELECT *, {BAD_LINE_SQL} AS line FROM tasks)\n"
+    "SELECT CAST(NULL AS VARCHAR) AS column_name, line AS value, 'wrong number of fields' AS reason FROM b "
+    "WHERE list_id % 9 IN (1, 2) UNION ALL SELECT 'ali', ali || 'x', 'not a bigint' FROM b "
+    "WHERE list_id % 9 = 3 AND ali IS NOT NULL UNION ALL SELECT 'ali', ali || '.5', 'not a bigint' FROM b "
+    "WHERE list_id % 9 = 5 AND ali IS NOT NULL UNION ALL SELECT 'latitude', 'oops', 'not a double' FROM b "
+    "WHERE list_id % 9 = 4"))
+def _read_rejects(s, d):
+    m, text = F.col("list_id") % 9, lambda c: F.coalesce(c, F.lit(""))
+    ali, lat = F.col("ali").cast("string"), F.concat(F.lit(","), F.col("latitude").cast("string"))
+    line = F.concat(
+        "category", F.lit(","), F.col("list_id").cast("string"), F.lit(","),
+        F.when(m == 3, text(F.concat(ali, F.lit("x")))).when(m == 5, text(F.concat(ali, F.lit(".5")))).otherwise(text(ali)),
+        F.when(m == 1, F.concat(lat, F.lit(",extra"))).when(m == 2, "").when(m == 4, ",oops").otherwise(lat))
+    path = scratch_path(s, "bad-csv")
+    # whole lines: one column that is never quoted, under a header of four names
+    (tasks(s, d).select(line.alias("category,list_id,ali,latitude")).write.option("header", True)
+     .option("sep", "\u0001").option("quote", "").csv(path))
+    return files.read_checked(s, path).rejects.drop("file")
+
+
+def _typed_sheets(s, d):
+    """Three sheets whose columns hold values of different types."""
+    t, lid = tasks(s, d), F.col("list_id")
+    text = lambda c: c.cast("string")
+    is_open = F.when(lid % 2 == 0, "True").otherwise("False").alias("open")
+    sheets = (
+        t.filter("batch = 'A'").select("ali", "list_name", text(lid % 7).alias("floor"), text(lid % 100).alias("code"),
+                                       F.concat(F.lit("2024-01-"), F.lpad(text(1 + lid % 28), 2, "0")).alias("day"), is_open),
+        t.filter("batch = 'N'").select("list_name", "ali", F.concat(text(lid % 7), F.lit(".5")).alias("floor"),
+                                       F.concat(F.lit("c"), text(lid % 100)).alias("code"), is_open),
+        t.filter("batch = 'R'").select("ali", "list_name", F.lit("N/A").alias("floor"), F.concat(
+            F.lit("2024-02-01 10:"), F.lpad(text(lid % 60), 2, "0"), F.lit(":00")).alias("day"), is_open))
+    paths = [scratch_path(s, f"typed-sheet{k}") for k in range(len(sheets))]
+    for sheet, path in zip(sheets, paths):
+        writers.write_table(sheet, path, fmt="csv")
+    return paths
+
+
+@register("union_sheets_inferred", W(
+    "SELECT ali, list_name, CASE batch WHEN 'A' THEN CAST(list_id % 7 AS DOUBLE) WHEN 'N' THEN list_id % 7 + 0.5::DOUBLE END "
+    "AS floor, CASE batch WHEN 'A' THEN CAST(list_id % 100 AS VARCHAR) WHEN 'N' THEN 'c' || (list_id % 100) END AS code, "
+    "CASE batch WHEN 'A' THEN '2024-01-' || lpad(CAST(1 + list_id % 28 AS VARCHAR), 2, '0') || ' 00:00:00' "
+    "WHEN 'R' THEN '2024-02-01 10:' || lpad(CAST(list_id % 60 AS VARCHAR), 2, '0') || ':00' END AS day, "
+    "list_id % 2 = 0 AS open FROM tasks"))
+def _union_inferred(s, d):
+    df = files.union_sheets(s, _typed_sheets(s, d), infer=True)
+    return df.withColumn("day", F.date_format("day", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("inferred_types", W(
+    "SELECT 'floor' AS column_name, 'double' AS type, count(*) AS values FROM tasks WHERE batch IN ('A', 'N') "
+    "UNION ALL SELECT 'code', 'string', count(*) FROM tasks WHERE batch IN ('A', 'N') "
+    "UNION ALL SELECT 'day', 'timestamp', count(*) FROM tasks WHERE batch IN ('A', 'R') "
+    "UNION ALL SELECT 'open', 'boolean', count(*) FROM tasks UNION ALL SELECT 'ali', 'bigint', count(ali) FROM tasks "
+    "UNION ALL SELECT 'list_name', 'string', count(list_name) FROM tasks"))
+def _inferred_types(s, d):
+    return files.inferred_types(files.union_sheets(s, _typed_sheets(s, d), types=None))
+
+
 DISPLAY_SQL = ", ".join(
     f'{c} AS "{schema.DEFAULT.display(c)}"' for c in TASK_COLS)
 register("rename_columns", W(f"SELECT {DISPLAY_SQL} FROM tasks"))(
@@ -536,6 +665,26 @@ register("json_records", W(
 register("page", W(
     "SELECT * FROM tasks ORDER BY " + ", ".join(f"{c} NULLS FIRST" for c in TASK_COLS)
     + " LIMIT 50 OFFSET 100"))(lambda s, d: view.page(tasks(s, d), 2))
+
+
+@register("page_deep", W(
+    "SELECT * FROM tasks ORDER BY " + ", ".join(f"{c} NULLS FIRST" for c in TASK_COLS)
+    + " LIMIT 50 OFFSET (SELECT count(*) // 100 * 50 FROM tasks)"))
+def _page_deep(s, d):
+    t = tasks(s, d)
+    middle = view.page_count(t).first()["rows"] // 100
+    return view.page(t, middle, shallow=1000)
+
+
+register("json_intervals", W(
+    "SELECT '{\"ali\":' || coalesce(CAST(ali AS VARCHAR), 'null') || ',\"waited\":\"' || "
+    "CASE WHEN list_id % 2 = 0 THEN CAST(list_id % 5 AS VARCHAR) ELSE '-' || (list_id % 5 + 1) END || ' days ' || "
+    "CASE WHEN list_id % 2 = 0 THEN '01:02:' || lpad(CAST(list_id % 60 AS VARCHAR), 2, '0') "
+    "ELSE '+01:02:' || lpad(CAST(list_id % 60 AS VARCHAR), 2, '0') || '.250000' END || '\"}' AS record FROM tasks"))(
+    lambda s, d: writers.json_records(tasks(s, d).select("ali", F.when(
+        F.col("list_id") % 2 == 0, F.make_dt_interval(F.col("list_id") % 5, F.lit(1), F.lit(2), F.col("list_id") % 60))
+        .otherwise(F.make_dt_interval(-(F.col("list_id") % 5 + 1), F.lit(1), F.lit(2), F.col("list_id") % 60 + F.lit(0.25)))
+        .alias("waited"))))
 register("page_count", W(
     "SELECT count(*) AS rows, CAST(ceil(count(*) / 50) AS BIGINT) AS pages FROM tasks"))(
     lambda s, d: view.page_count(tasks(s, d)))

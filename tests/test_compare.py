@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from taskgrid.operators import compare as c
 from taskgrid.plans import registry
@@ -138,3 +139,42 @@ def test_migration_parts_cover_both_files(spark):
     assert j.filter("side = 'both'").select("list_name_old", "ali_old", "address", "city_old", "zip_old",
                                             "polygon_status_old").distinct().count() <= \
         v1.count() - sides["left_only"]
+
+
+def test_classes_hold_what_the_pairs_hold(spark):
+    import random
+    from collections import Counter
+    rng = random.Random(12)
+    rows = lambda n: [{"address": rng.choice([None, "a", "b", "c", f"x{k % 9}"]), "ali": rng.choice([None, 1, 2, 3]),
+                       "list_name": f"L{k % 4}", "polygon_status": rng.choice([None, "VerifiedQA", "Draft"])} for k in range(n)]
+    d1, d2 = make_tasks(spark, rows(120)), make_tasks(spark, rows(90))
+    for mode in ("match", "separate"):
+        classes = c.migration_classes(d1, d2, null_keys=mode).collect()
+        for b in ("changed_lost", "changed_never", "lost_only", "clean"):
+            want = Counter(r.address for r in c.migration_bucket(d1, d2, b, null_keys=mode).collect())
+            assert {r.address: int(r[b]) for r in classes if r[b]} == want
+        want = Counter(r.address for r in c.migration_pairs(d1, d2, null_keys=mode).collect())
+        assert {r.address: int(r.pairs) for r in classes if r.pairs} == want
+        summary = {r.bucket: r.row_count for r in c.migration_summary(d1, d2, null_keys=mode).collect()}
+        assert summary["only_old"] == sum(r.old_rows for r in classes if r.side in ("left_only", "apart"))
+        assert summary["clean"] == sum(int(r.clean) for r in classes)
+    null = [r for r in c.migration_classes(d1, d2).collect() if r.address is None]
+    assert [(r.side, int(r.pairs)) for r in null] == [("apart", 0)]
+    members = c.migration_members(d1, d2)
+    asked = spark.createDataFrame([("a",), (None,), ("a",), ("nowhere",)], "address string")
+    pairs = c.pairs_of_classes(members, asked)
+    want = c.migration_pairs(d1, d2, null_keys="separate").filter("address = 'a'")
+    assert sorted(map(str, pairs.select(sorted(pairs.columns)).collect())) == \
+        sorted(map(str, want.select(sorted(want.columns)).collect()))
+
+
+def test_keys_of_further_types(spark):
+    import datetime as dt
+    at = [dt.datetime(2024, 1, k) for k in (1, 2, 3)]
+    from taskgrid.operators.joins import keyed_semi
+    a = spark.createDataFrame([(at[0], b"x"), (None, b""), (at[1], None)], "k timestamp, b binary")
+    b = spark.createDataFrame([(at[0], None), (None, b"x")], "k timestamp, b binary")
+    assert sorted(str(r.k) for r in keyed_semi(a, b, "k").collect()) == sorted([str(at[0]), "None"])
+    assert sorted(str(r.b) for r in keyed_semi(a, b, "b").collect()) == sorted(["None", str(a.first().b)])
+    with pytest.raises(TypeError, match="unsupported key type"):
+        keyed_semi(a.withColumn("m", F.array("k")), b.withColumn("m", F.array("k")), "m")

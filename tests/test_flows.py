@@ -59,3 +59,35 @@ def test_upload_stream(spark, tmp_dir):
     cov = q.polygon_coverage(full).first()
     # the CSV round trip turns the status text 'None' into null; coverage treats both alike
     assert (total[0], total[1]) == (cov.total, cov.marked_count)
+
+
+def test_grouped_profile_holds_every_per_retailer_output(spark):
+    t = registry.tasks(spark, SF001)
+    rows = q.grouped_profile(t).collect()
+    of = lambda s: sorted((r.list_name, r.label, r.n) for r in rows if r.section == s)
+    assert [(a, n) for a, _, n in of("records")] == _rows(q.records_per_retailer(t))
+    assert of("construction_flag") == _rows(q.construction_flag_long(t))
+    assert of("polygon_status") == _rows(q.polygon_status_long(t))
+    need = {r.list_name: r.needs_work_count for r in q.needs_work_preview(t).collect()}
+    assert {a: n for a, label, n in of("needs_work") if label == "yes"} == {a: n for a, n in need.items() if n}
+    wide = {r.list_name: (r.Connected, r.Unknown) for r in q.parent_ali_per_retailer(t).collect()}
+    got = {(a, label): n for a, label, n in of("parent_ali")}
+    assert {a: (got.get((a, "Connected"), 0), got.get((a, "Unknown"), 0)) for a in wide} == wide
+    assert {r.section for r in rows} == set(q.PROFILE_SECTIONS) and q.grouped_profile(t.limit(0)).collect() == []
+
+
+def test_launch_summary_of_nothing(spark):
+    t = registry.tasks(spark, SF001)
+    none = q.launch_summary(q.launch_subset(t, selected=["nobody"])).first()
+    assert (none.mode, none.total_alis, none.retailers) == (None, 0, 0)
+    one = q.launch_summary(q.launch_subset(t, selected=[q.records_per_retailer(t).first().list_name])).first()
+    assert one.mode == "single" and one.retailers == 1
+
+
+def test_analyse_releases_its_tables(spark):
+    t = registry.tasks(spark, SF001)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with flows.analysis(t) as res:
+        assert res["summary"].first().total_records == 6000
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

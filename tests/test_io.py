@@ -215,3 +215,47 @@ def test_empty_file_infers_text(spark, tmp_dir):
     _write(f"{tmp_dir}/e/a.csv", "ali,n\n")
     df = files.read_tasks_csv(spark, f"{tmp_dir}/e", infer=True)
     assert df.dtypes == [("ali", "bigint"), ("n", "string")] and df.collect() == []
+
+
+def test_deep_pages_find_their_first_key(spark):
+    import random
+    rng = random.Random(4)
+    keys = [(rng.choice([None, "a", "b", "é"]), rng.choice([None, 1.5, -2.0, float("nan")]), rng.randrange(40)) for _ in range(700)]
+    keys += [("m", 0.0, 7)] * 400 + [(None, None, 0)] * 30
+    df = spark.createDataFrame(keys, "a string, b double, c int").repartition(5)
+    order = lambda r: tuple((v is not None, v != v, 0 if v is None or v != v else v) for v in r)
+    want = [repr(order(k)) for k in sorted(keys, key=order)]
+    for number in (0, 1, 3, 5, 10, 12, 15, 16, 22, 99):
+        got = view.page(df, number, size=50, shallow=60)
+        assert [repr(order(tuple(r))) for r in got.collect()] == want[number * 50:number * 50 + 50], number
+    assert view.key_at(df, len(keys), shallow=10) is None
+    key, before, equal = view.key_at(df.filter("a = 'm'"), 200, shallow=10)
+    assert (key, before, equal) == (("m", 0.0, 7), 0, 400)
+    # the plan of a deep page keeps one page of rows, not all before it
+    plan = view.page(df, 15, size=50, shallow=60)._jdf.queryExecution().optimizedPlan().toString()
+    limits = [int(x) for x in __import__("re").findall(r"(?:Global|Local)Limit (\d+)", plan)]
+    assert limits and max(limits) <= 50 and "Offset" not in plan
+
+
+def test_json_intervals_nested(spark):
+    import datetime as dt
+    gap = [dt.timedelta(days=2, hours=3, seconds=4), dt.timedelta(seconds=-1), dt.timedelta(0), None,
+           dt.timedelta(days=-3, microseconds=250), dt.timedelta(days=400, milliseconds=5)]
+    df = spark.createDataFrame([(gap[0], gap, {"k": gap[1]}, (gap[4],))],
+                               "a interval day to second, b array<interval day to second>, "
+                               "c map<string,interval day to second>, d struct<x:interval day to second>")
+    text = ["2 days 03:00:04", "-1 days +23:59:59", "0 days 00:00:00", None, "-3 days +00:00:00.000250",
+            "400 days 00:00:00.005000"]
+    assert json.loads(writers.json_records(df).first().record) == {
+        "a": text[0], "b": text, "c": {"k": text[1]}, "d": {"x": text[4]}}
+
+
+def test_summary_counts_are_observed(spark, tmp_dir):
+    df = make_tasks(spark, [{"ali": i, "list_name": f"R{i % 3}" if i % 7 else None} for i in range(50)])
+    asg = df.withColumn("analyst", F.when(F.col("ali") < 20, "Ann").when(F.col("ali") < 45, "Bo"))
+    writers.write_assignments(asg, ["Ann", "Bo", "Cy"], f"{tmp_dir}/o")
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_dir}/o/summary").collect()]
+    assert got == [("Ann", 20, "44.4%", "R0, R1, R2"), ("Bo", 25, "55.6%", "R0, R1, R2"), ("Cy", 0, "0.0%", ""),
+                   ("Total", 45, "100.0%", "")]
+    rows = {(r.analyst, r.list_name): r.n for r in spark.read.parquet(f"{tmp_dir}/o/retailers").collect()}
+    assert sum(rows.values()) == sum(1 for i in range(50) if i % 7) and (None, "R0") in rows

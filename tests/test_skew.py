@@ -77,3 +77,49 @@ def test_joins_exact_under_skew_split(skewed):
     assert c.migration_join(d1, d2).count() == sum(got.values())
     dups = Counter(r["ali"] for r in old)
     assert q.duplicate_ali_rows(d1).count() == sum(n for n in dups.values() if n > 1)
+
+
+def _launch_rows():
+    rng = random.Random(5)
+    return [{"list_name": "hot" if rng.random() < 0.4 else f"R{i % 6}", "ali": i, "store_name": f"s{i % 50}",
+             "geo_accuracy": rng.choice([None, "x"])} for i in range(4000)]
+
+
+def test_splits_spread_a_hot_retailer_without_broadcasts(skewed):
+    from taskgrid.operators import assign as a
+    from tests.test_assign import brute_split, got
+    rows = _launch_rows()
+    n = Counter(r["list_name"] for r in rows)
+    df = make_tasks(skewed, rows).repartition(6)
+    plan = {"hot": "Split", "R0": "Ann", "R1": "Split", "R2": "Bo"}
+    split = {"hot": {"Ann": 600, "Bo": n["hot"] - 600}, "R1": {"Bo": 10, "Ann": n["R1"] - 10}}
+    res = a.apply_plan(df, ["Ann", "Bo"], plan, split)
+    assert got(res) == brute_split(rows, {"hot": list(split["hot"].items()), "R1": list(split["R1"].items()),
+                                          "R0": [("Ann", n["R0"])], "R2": [("Bo", n["R2"])]})
+    whole = a.apply_plan(df, ["Ann", "Bo"], {"hot": "Ann", "R1": "Bo"})
+    assert Counter(r.analyst for r in whole.collect()) == {"Ann": n["hot"], "Bo": n["R1"]}
+    # the join that labels rows is on (retailer, bucket): the hot retailer has as many keys as buckets
+    plan_text = res._jdf.queryExecution().optimizedPlan().toString()
+    assert "_mb" in plan_text and "BroadcastNestedLoopJoin" not in res._jdf.queryExecution().executedPlan().toString()
+    from taskgrid.operators import slicing
+    x = slicing.with_buckets(df, df["list_name"], 2, df.columns)
+    assert x.filter("list_name = 'hot'").select("_b").distinct().count() > 200
+
+
+def test_launch_and_workbook_under_skew(skewed, tmp_dir):
+    from pyspark.sql import functions as F
+    from taskgrid.sinks import writers
+    rows = _launch_rows()
+    df = make_tasks(skewed, rows).repartition(6)
+    names = skewed.createDataFrame([("hot",), ("R3",)], "name string")
+    subset = q.launch_subset(df, selected=names)
+    smj, split = _skew_joins(subset)
+    assert smj == split == 1
+    assert subset.count() == sum(1 for r in rows if r["list_name"] in ("hot", "R3") and r["geo_accuracy"] != "v")
+    asg = df.withColumn("analyst", F.when(F.col("list_name") == "hot", "Ann").otherwise("Bo"))
+    writers.write_assignments(asg, ["Ann", "Bo"], f"{tmp_dir}/k2")
+    import glob
+    assert len(glob.glob(f"{tmp_dir}/k2/sheets/analyst=Ann/*.parquet")) > 1
+    n = Counter(r["list_name"] == "hot" for r in rows)
+    got = {r.analyst: r.tasks_assigned for r in skewed.read.parquet(f"{tmp_dir}/k2/summary").collect()}
+    assert got == {"Ann": n[True], "Bo": n[False], "Total": len(rows)}
