@@ -42,6 +42,7 @@ from taskgrid.llm.common import ship
 from taskgrid.session import scratch_path
 
 BLOCK_WORDS, HELD_WORDS, SLICE_BYTES = 1 << 20, 1 << 22, 1 << 18
+BLOCKS_PER_FILE = 32
 SCORE = ("cast(1000 as decimal(4,0)) * cast(f as decimal(17,0)) * cast(n as decimal(17,0)) "
          "div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))")
 GAP = b"\xff"  # never part of UTF-8
@@ -263,8 +264,9 @@ def semi_joined(relation: DataFrame, frequent: DataFrame, of_pairs: bool) -> Dat
         run, "block bigint, ids binary, codes binary")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     path = scratch_path(df.sparkSession, f"setm-{name}")
+    df = df.coalesce(files) if files else df
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -276,26 +278,28 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100, text:
     Tables: id, lang, words, f, heads and tails (counts of the first and last 1, 2, ... words), a, b (halves)."""
     ship(docs.sparkSession)
     r = saved(occurrences(docs, text, lang), "words")
-    total = saved(r.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), r.count())
-    round_ = saved(grouped_words(word_counts(r, buckets), least), "round-1")
+    total, blocks = r.groupBy("lang").agg(F.sum("n").alias("n")), r.count()
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    # written tables get files of some tens of MB, however finely the shuffles are cut
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, blocks // BLOCKS_PER_FILE)
+    round_ = saved(grouped_words(word_counts(r, buckets), least), "round-1", files)
     own = F.array("f")
     tables = [saved(round_.filter("block is null").select("lang", F.inline(F.arrays_zip("word", "f", "id"))).select(
         "id", "lang", F.array("word").alias("words"), "f", own.alias("heads"), own.alias("tails"),
-        F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")), "phrases-1")]
+        F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")), "phrases-1", files)]
     hits = round_.filter("block is not null").select("block", "code", "id")
-    r = saved(semi_joined(r.select("block", "codes"), hits, False), "relation-1")
+    r = saved(semi_joined(r.select("block", "codes"), hits, False), "relation-1", files)
     for k in range(2, longest + 1):
-        round_ = saved(grouped(pair_counts(r, buckets), least), f"round-{k}")
+        round_ = saved(grouped(pair_counts(r, buckets), least), f"round-{k}", files)
         counted = round_.filter("block is null").select(F.inline(F.arrays_zip("a", "b", "f", "id")))
         left = tables[-1].select(F.col("id").alias("a"), "lang", F.col("words").alias("start"), F.col("heads").alias("h"))
         right = tables[-1].select(F.col("id").alias("b"), F.element_at("words", -1).alias("last"), F.col("tails").alias("t"))
         tables.append(saved(counted.join(left, "a").join(right, "b").select(
             "id", "lang", F.concat("start", F.array("last")).alias("words"), "f",
-            F.concat("h", own).alias("heads"), F.concat("t", own).alias("tails"), "a", "b"), f"phrases-{k}"))
+            F.concat("h", own).alias("heads"), F.concat("t", own).alias("tails"), "a", "b"), f"phrases-{k}", files))
         if k < longest:
             r = saved(semi_joined(r, round_.filter("block is not null").select("block", "a", "b", "id"), True),
-                      f"relation-{k}")
+                      f"relation-{k}", files)
     return tables, total
 
 
