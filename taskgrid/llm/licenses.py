@@ -1,25 +1,42 @@
 """License scan (operator 9), DataFrame functions only.
 
-Every line of a text and the whole text are normalised (lower case, letters and
-digits, single spaces) and compared to licence templates by the Dice coefficient
-over their sets of word bigrams, 2 |A and B| / (|A| + |B|). A coefficient of t
-needs sizes within t / (2 - t) of each other, so a unit outside every template's
-bounds is dropped before its bigrams are made, and pairs outside are pruned
-before they are counted. Only bigrams of the templates survive the join, so
-nothing else is shuffled; the templates are a parameter table, and Spark
-broadcasts it only while it is below the session's own threshold.
-
-Null and empty texts have no units. Repeated rows count once per (id, line)
-of the row; rows of one id are told apart by their text. The best template per
-unit wins, ties by template id.
+A text is normalised (lower case, letters and digits, single spaces) to one
+sequence of words, so line breaks, comment marks and punctuation inside a notice
+do not matter. Each licence template of n words is compared with the windows of n
+words of the text (the whole text where it is shorter) by the Dice coefficient of
+their sets of word bigrams, 2 |A and B| / (|A| + |B|). Of a template's windows the
+one that holds the most of its bigrams counts, the last of equals; it is a match at
+``least`` or more. Where matches of a text overlap, the best stays: higher
+coefficient, then more words, then the template's name.
+
+Size bounds prune before any bigram is made. A coefficient of t needs
+o = t / (2 - t) |B| common bigrams at least, so no set of words that touches more
+than |B| - o of them may be missing as a whole: a text without any word of such a
+set (long words first) cannot match, which plain substring tests decide. What is
+left is written once; its bigrams meet the templates' by an equi join, so only
+template bigrams are shuffled, grouped by stretches of n places (at most 2n rows a
+group). The best window starts at a common bigram or ends the text, so only those
+starts are tried.
+
+The templates are a parameter table (license, text) whose words make up the
+substring tests; it is read on the driver. Null and empty texts have no words.
+Repeated rows (same id and text) count once, rows of one id with other texts
+apart. Empty tables and templates of fewer than two words match nothing. A text of
+any length is one array of words; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public licence notices.
+from taskgrid.session import scratch_path
+
+# Public licence notices, headers and opening and closing paragraphs of licence bodies.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -30,6 +47,26 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("Apache-2.0 header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0 header, terms", "Unless required by applicable law or agreed to in writing, software distributed under the License "
+     "is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License "
+     "for the specific language governing permissions and limitations under the License."),
+    ("MIT grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+     "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to "
+     "whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+     "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+     "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+     "following conditions are met:"),
+    ("ISC grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("GPL header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+     "version."),
 ]
 
 
@@ -42,55 +79,89 @@ def words(text: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda x: x != "")
 
 
-def bigrams(w: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-                                       F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-                                       lambda a, b: F.concat_ws(" ", a, b)))
+def pairs(w: Column) -> Column:
+    """The word bigrams in order, repeats included."""
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def needed(n_bigrams: int, least: float) -> int:
+    """Common bigrams that a coefficient of ``least`` takes with a template of ``n_bigrams``."""
+    return math.ceil(least / (2 - least) * n_bigrams - 1e-9)
+
+
+def telling_words(template: list[str], least: float) -> list[str]:
+    """Words of which a match holds one at least: long ones that together touch more bigrams than may be missing."""
+    grams = set(zip(template, template[1:]))
+    out, touched = [], set()
+    for w in sorted(set(template), key=lambda x: (-len(x), x)):
+        out.append(w)
+        touched |= {g for g in grams if w in g}
+        if len(touched) > len(grams) - needed(len(grams), least):
+            break
+    return out
 
 
 def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text",
          least: float = 0.8) -> DataFrame:
-    """(id, line, license, dice): units (line 0 is the whole text, lines count from 1) with their best licence."""
-    t = (known.select("license", bigrams(words(F.col("text"))).alias("b")).withColumn("size_b", F.size("b"))
-         .filter("size_b > 0"))
-    ratio = least / (2 - least)
-    low, high = t.agg(F.min("size_b") * ratio, F.max("size_b") / ratio).first()  # one row
-    lines = F.split(F.col(text), "\n")
-    units = F.filter(F.concat(
-        F.array(F.struct(F.lit(0).alias("line"), F.col(text).alias("u"))),
-        F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("u")))),
-        lambda x: (F.size(lines) > 1) | (x["line"] > 0))
-    u = (df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.explode(units).alias("x"))
-         .select("doc_id", "row", "x.line", words(F.col("x.u")).alias("w"))
-         .filter(F.size("w") - 1 >= F.lit(low or 0))
-         .withColumn("a", bigrams(F.col("w"))).withColumn("size_a", F.size("a"))
-         .filter(F.col("size_a").between(F.lit(low or 0), F.lit(high or 0))))
-    g = t.select("license", "size_b", F.explode("b").alias("gram"))
-    hit = (u.select("doc_id", "row", "line", "size_a", F.explode("a").alias("gram")).join(g, "gram")
-           .filter((F.col("size_a") >= F.col("size_b") * ratio) & (F.col("size_a") * ratio <= F.col("size_b"))))
-    dice = (2 * F.count(F.lit(1)) / (F.col("size_a") + F.col("size_b"))).alias("dice")
-    # identical rows of an id share their units, so each bigram is counted once per unit
-    one = hit.distinct().groupBy("doc_id", "row", "line", "license", "size_a", "size_b").agg(dice).filter(
-        F.col("dice") >= least)
-    best = F.min_by(F.struct("license", "dice"), F.struct((-F.col("dice")).alias("d"), "license")).alias("best")
-    return (one.groupBy("doc_id", "row", "line").agg(best)
-            .select(F.col("doc_id").alias(id_col), "line", "best.license", F.round("best.dice", 6).alias("dice")))
-
-
-_VALUES = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES)
+    """(id, license, start, words, dice): the matches; ``start`` is the window's first word, from 1."""
+    spark = df.sparkSession
+    t = known.select("license", words(F.col("text")).alias("w")).withColumn("grams", F.array_distinct(pairs(F.col("w"))))
+    t = t.filter(F.size("grams") > 0).select("license", F.size("w").alias("n"), "grams", F.size("grams").alias("size_b"), F.ceil(
+        F.size("grams") * (least / (2 - least)) - 1e-9).cast("int").alias("need"), "w")
+    asked = sorted({w for r in t.select("w").collect() for w in telling_words(list(r["w"]), least)}, key=lambda x: (-len(x), x))
+    lower = F.lower(F.col(text))
+    likely = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in asked], F.lit(False))
+    path = scratch_path(spark, "licence-candidates")
+    (df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).filter(likely).dropDuplicates(["doc_id", "text"])
+       .select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+       .write.parquet(path))
+    u = spark.read.parquet(path)
+
+    grams = t.select("license", "n", "need", "size_b", F.explode("grams").alias("gram"))
+    hits = (u.select("row", F.size("w").alias("m"), F.posexplode(pairs(F.col("w"))).alias("p", "gram")).join(grams, "gram")
+            .select("row", "license", "n", "need", "size_b", (F.col("p") + 1).alias("p"), "gram",
+                    F.greatest(F.col("m") - F.col("n") + 1, F.lit(1)).alias("last")))
+    # a window of n words lies within two neighbouring stretches of n places
+    block = F.floor(F.col("p") / F.col("n")).cast("bigint")
+    near = hits.withColumn("block", F.explode(F.array(block, block - 1))).groupBy(
+        "row", "license", "n", "need", "size_b", "last", "block").agg(F.collect_list(F.struct("p", "gram")).alias("hits"))
+    near = near.filter(F.size("hits") >= F.col("need")).withColumn("starts", F.filter(F.array_distinct(F.transform(
+        "hits", lambda h: F.least(h["p"], F.col("last")))), lambda s: F.floor(s / F.col("n")) == F.col("block")))
+    tried = F.transform("starts", lambda s: F.struct(F.size(F.array_distinct(F.transform(F.filter(
+        "hits", lambda h: (h["p"] >= s) & (h["p"] < s + F.col("n") - 1)), lambda h: h["gram"]))).alias("common"), s.alias("start")))
+    best = near.withColumn("best", F.array_max(tried)).filter(F.col("best.common") >= F.col("need")).groupBy(
+        "row", "license", "n", "size_b").agg(F.max("best").alias("best"))
+
+    held = F.slice("w", F.col("best.start"), F.col("n"))
+    dice = 2 * F.col("best.common") / (F.size(F.array_distinct(pairs(held))) + F.col("size_b"))
+    found = u.join(best, "row").select("row", "doc_id", F.struct(
+        (-dice).alias("order"), (-F.col("n")).alias("short"), "license", F.col("best.start").alias("start"),
+        (F.col("best.start") + F.size(held)).alias("end")).alias("x")).filter(F.col("x.order") <= -least)
+    # a text has at most one match of each template
+    kept = F.filter("xs", lambda x: ~F.exists("xs", lambda y: (y < x) & (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    return found.groupBy("row", "doc_id").agg(F.collect_list("x").alias("xs")).select(
+        "doc_id", F.explode(kept).alias("x")).select(
+        F.col("doc_id").alias(id_col), "x.license", "x.start", (F.col("x.end") - F.col("x.start")).alias("words"),
+        F.round(-F.col("x.order"), 6).alias("dice"))
+
+
+_VALUES = ", ".join("('" + k + "', '" + re.sub("'", "''", t) + "')" for k, t in TEMPLATES)
 SQL = rf"""
 WITH t(license, text) AS (VALUES {_VALUES}),
-d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, text, 0 AS line, text AS u FROM d WHERE contains(text, chr(10))
-      UNION ALL SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line,
-                       unnest(string_split(text, chr(10))) AS u FROM d),
-w AS (SELECT doc_id, text, line, regexp_extract_all(lower(u), '[\p{{L}}\p{{N}}]+') AS w FROM u),
-a AS (SELECT doc_id, text, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a
-      FROM w WHERE len(w) BETWEEN 2 AND 200),
 tw AS (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM t),
-b AS (SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
-s AS (SELECT doc_id, text, line, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-      FROM a JOIN b ON len(a) >= len(b) * 2 / 3.0 - 1e-9 AND len(a) * 2 / 3.0 - 1e-9 <= len(b))
-SELECT doc_id, CAST(line AS INTEGER) AS line, license, round(CAST(dice AS DOUBLE), 6) AS dice FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, text, line ORDER BY dice DESC, license) AS k
-  FROM s WHERE dice >= 0.8) WHERE k = 1"""
+b AS (SELECT license, len(w) AS n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tw),
+d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM d),
+g AS (SELECT doc_id, text, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM a),
+-- texts that hold two thirds of a template's bigrams somewhere: a coefficient of 0.8 needs them
+c AS (SELECT doc_id, text, w, g, license, n, b FROM g JOIN b ON len(list_intersect(g, b)) >= ceil(len(b) * 2 / 3.0 - 1e-9)),
+s AS (SELECT *, unnest(range(1, greatest(len(w) - n + 1, 1) + 1)) AS start FROM c),
+x AS (SELECT doc_id, text, license, n, start, len(b) AS size_b, list_distinct(g[start:start + n - 2]) AS a, b, len(w) AS m FROM s),
+y AS (SELECT *, len(list_intersect(a, b)) AS common FROM x
+      QUALIFY row_number() OVER (PARTITION BY doc_id, text, license ORDER BY len(list_intersect(a, b)) DESC, start DESC) = 1),
+z AS (SELECT doc_id, text, license, n, start, least(n, m) AS words, 2.0::DOUBLE * common / (len(a) + size_b) AS dice FROM y)
+SELECT doc_id, license, CAST(start AS INTEGER) AS start, CAST(words AS INTEGER) AS words, round(dice, 6) AS dice FROM z
+WHERE dice >= 0.8 AND NOT EXISTS (SELECT 1 FROM z o WHERE o.doc_id IS NOT DISTINCT FROM z.doc_id AND o.text = z.text
+  AND o.dice >= 0.8 AND o.start < z.start + z.words AND z.start < o.start + o.words AND (o.dice > z.dice
+  OR o.dice = z.dice AND (o.n > z.n OR o.n = z.n AND o.license < z.license)))"""

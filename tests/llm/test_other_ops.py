@@ -211,32 +211,59 @@ def test_resources_of_one_script_stay_apart(spark):
         3: ("resolved", 1), 4: ("no_response", None)}
 
 
+def license_matches(text, known, least=0.8):
+    """By the definition: every window of every template."""
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    found = []
+    for name, t in known:
+        tw = re.findall(r"[^\W_]+", t.lower())
+        n, grams = len(tw), set(zip(tw, tw[1:]))
+        if not grams:
+            continue
+        best = max(((len(set(zip(w[i:i + n], w[i + 1:i + n])) & grams), i) for i in range(max(len(w) - n + 1, 1))), default=(0, 0))
+        held = w[best[1]:best[1] + n]
+        dice = 2 * best[0] / (len(set(zip(held, held[1:]))) + len(grams))
+        if dice >= least:
+            found.append((-dice, -n, name, best[1], best[1] + len(held)))
+    return {(m[2], m[3] + 1, m[4] - m[3], round(-m[0], 6)) for m in found
+            if not any(o < m and o[3] < m[4] and m[3] < o[4] for o in found)}
+
+
 def test_licenses(spark):
     rng = random.Random(8)
     known = licenses.TEMPLATES
-    rows = [(0, None), (1, ""), (2, "\n\n")]
-    for k in range(80):
+    rows = [(0, None), (1, ""), (2, "\n\n"), (3, "license"), (4, "under the MIT")]
+    for k in range(110):
         t = rng.choice(known)[1].split()
-        if rng.random() < 0.5:
-            t[rng.randrange(len(t))] = "other"
-        rows.append((k, "some words here\n" * rng.randrange(3) + " ".join(t).upper() + "\nplain text of no licence"))
-    rows += [(200, known[3][1]), rows[10]]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, license int")
-
-    def grams(t):
-        w = re.findall(r"[^\W_]+", t.lower())
-        return set(zip(w, w[1:]))
-    want = set()
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        for n, u in ([(0, t or "")] if len(lines) > 1 else []) + list(enumerate(lines, 1)):
-            a = grams(u)
-            s = [(2 * len(a & grams(x)) / (len(a) + len(grams(x))), k) for k, x in known] if a else []
-            if s and max(s)[0] >= 0.8:
-                want.add((i, n, round(max(s)[0], 6)))
+        for _ in range(rng.choice([0, 0, 1, 3, len(t) // 3])):
+            t[rng.randrange(len(t))] = rng.choice(["other", "the license", ""])
+        mark = rng.choice(["\n// ", " ", "\n * ", "\n# "])
+        cut = rng.randint(4, 12)
+        body = "".join(x + (mark if i % cut == cut - 1 else " ") for i, x in enumerate(t))
+        more = rng.choice(known)[1] if rng.random() < 0.3 else ""
+        rows.append((10 + k, "some words of the software here " * rng.randrange(60) + body.upper() + " plain text, no licence " + more
+                     + " and more of the same" * rng.randrange(30)))
+    rows += [(200, known[3][1]), rows[10], (10, known[1][1]), (None, known[4][1]), (None, known[4][1])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, license int, row int").repartition(3)
+    want = {(i, *m) for i, t in rows for m in license_matches(t, known)}
     got = licenses.scan(df, licenses.templates(spark)).collect()
-    assert {(r.doc_id, r.line, r.dice) for r in got} == want
+    assert len(want) > 90 and len({m[1] for m in want}) >= 14
+    assert len(got) == len(want) and {(r.doc_id, r.license, r.start, r.words, r.dice) for r in got} == want
     assert licenses.scan(df.limit(0), licenses.templates(spark)).count() == 0
+    assert licenses.scan(df, licenses.templates(spark).limit(0)).count() == 0
+
+
+def test_notices_wrapped_in_line_and_bodies(spark):
+    kept = {k: t for k, t in licenses.TEMPLATES}
+    code = "int main(void) { return run(); }  "
+    wrapped = kept["BSD-3-Clause"].replace("governed by", "governed by\n//").replace("Use of", "// Use of")
+    rows = [(1, f"/* {kept['Apache-2.0']} */ " + code * 4000), (2, code * 40 + "\n" + wrapped + "\n" + (code + "\n") * 60),
+            (3, "Copyright (c) 2020 A. Body\n\n" + kept["MIT grant"] + "\n\nThe above copyright notice and this permission notice "
+             "shall be included in all copies or substantial portions of the Software.\n\n" + kept["MIT warranty"]),
+            (4, " * ".join(x + "\n" for x in re.findall(r".{1,60}(?: |$)", kept["GPL header"]))), (5, code * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(df, licenses.templates(spark)).collect()}
+    assert got == {(1, "Apache-2.0"), (2, "BSD-3-Clause"), (3, "MIT grant"), (3, "MIT warranty"), (4, "GPL header")}
 
 
 def test_pipeline(spark):
