@@ -7,16 +7,22 @@ at cover positions are hashed and exchanged. Windows of 20 words around anchors
 that occur again are then extended to: their own 96-bit hashes are exchanged with
 the smallest document id, and a window is removed where an earlier one exists.
 
-Documents are dealt by id hash into chunks. A chunk sends each distinct hash
-once, so a passage that a third of all documents share is one entry per chunk.
-Every chunk, bucket of hashes and reply is bounded by the chunk size.
+Documents are dealt by a hash of id and text into chunks, so an id of any number of
+rows is spread. A chunk sends each distinct hash once, so a passage that a third of
+all documents share is one entry per chunk; identical rows (same id and text) count
+as one document, kept once with their number. Every chunk, bucket of hashes and
+reply is bounded by the chunk size, but for a single text longer than that.
+Questions and replies hold all 96 bits.
 
 Null texts have no words. Null ids come before all others; rows of equal id are
-ordered by text and identical rows (same id and text) count as one document.
+ordered by their text's hash. An empty table gives an empty one; extra columns are
+not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,16 +43,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """The documents of one chunk in (id, text) order, their words as one array."""
+    """The documents of one chunk in (id, text hash, text) order, their words as one array."""
 
     def __init__(self, t: pa.Table):
         import xxhash
-        rows = [(NULL_ID if i is None else i, x or b"") for i, x in zip(t["id"].to_pylist(), t["text"].to_pylist())]
-        self.rows = sorted(set(rows))
-        self.copies = {}
-        for r in rows:
-            self.copies[r] = self.copies.get(r, 0) + 1
-        self.words = [x.split() for _, x in self.rows]
+        rows = zip(t["id"].to_pylist(), t["tie"].to_pylist(), t["text"].to_pylist())
+        self.copies = Counter((NULL_ID if i is None else i, k, x or b"") for i, k, x in rows)
+        self.rows = sorted(self.copies)
+        self.words = [x.split() for _, _, x in self.rows]
         n = [len(w) for w in self.words]
         self.ends = np.cumsum(n, dtype=np.int64)
         self.w = np.fromiter((xxhash.xxh64_intdigest(w, 7) for ws in self.words for w in ws), np.uint64, sum(n))
@@ -92,6 +96,12 @@ def parts(h: np.ndarray, n: int):
             yield k, order[cut[k]:cut[k + 1]]
 
 
+def as_pairs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h), PAIR)
+    out["h"], out["g"] = h, g
+    return out
+
+
 def packed(rows, names) -> pa.Table:
     cols = list(zip(*rows)) or [[]] * len(names)
     kinds = [pa.int32() if x in ("bucket", "chunk") else pa.binary() for x in names]
@@ -104,8 +114,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     size = df.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // CHUNK_BYTES + 1)
     key = F.col(id_col).cast("bigint")
-    docs = df.select(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("chunk"), key.alias("id"),
-                     F.col(text).cast("binary").alias("text"))
+    docs = df.select(F.pmod(F.xxhash64(key, F.col(text)), F.lit(n)).cast("int").alias("chunk"), key.alias("id"),
+                     F.xxhash64(F.col(text)).alias("tie"), F.col(text).cast("binary").alias("text"))
 
     def send_anchors(t: pa.Table) -> pa.Table:
         c = Chunk(t)
@@ -128,46 +138,50 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     def send_windows(t: pa.Table, r: pa.Table) -> pa.Table:
         if not len(t):
-            return packed([], ["bucket", "chunk", "h", "g", "id"])
+            return packed([], ["bucket", "chunk", "h", "g", "id", "tie"])
         c = Chunk(t)
         take, pair = c.windows(joined(r))
         u, first = np.unique(pair, return_index=True)  # documents are in order: the first place is the smallest
-        ids = np.array([i for i, _ in c.rows], np.int64)[c.doc[take[first]]]
+        of = c.doc[take[first]]
+        ids, ties = (np.array([r[k] for r in c.rows], np.int64)[of] for k in (0, 1))
         chunk = t["chunk"][0].as_py()
-        return packed([(k, chunk, u["h"][i].tobytes(), u["g"][i].tobytes(), ids[i].tobytes())
-                       for k, i in parts(u["h"], n)], ["bucket", "chunk", "h", "g", "id"])
+        return packed([(k, chunk, u["h"][i].tobytes(), u["g"][i].tobytes(), ids[i].tobytes(), ties[i].tobytes())
+                       for k, i in parts(u["h"], n)], ["bucket", "chunk", "h", "g", "id", "tie"])
 
     def later_windows(t: pa.Table) -> pa.Table:
         part = lambda k, d: [np.frombuffer(x, d) for x in t[k].to_pylist()]
-        h, g, ids = part("h", np.uint64), part("g", np.uint32), part("id", np.int64)
-        pair = np.zeros(sum(map(len, h)), PAIR)
-        pair["h"], pair["g"] = np.concatenate(h), np.concatenate(g)
+        h, g = part("h", np.uint64), part("g", np.uint32)
+        ids, ties = np.concatenate(part("id", np.int64)), np.concatenate(part("tie", np.int64))
+        pair = as_pairs(np.concatenate(h), np.concatenate(g))
         u, inv = np.unique(pair, return_inverse=True)
-        least = np.full(len(u), np.iinfo(np.int64).max)
-        flat = np.concatenate(ids)
-        np.minimum.at(least, inv, flat)
-        late, out, at = flat > least[inv], [], 0
-        for c, x in zip(t["chunk"].to_pylist(), h):
-            out.append((c, x[late[at:at + len(x)]].tobytes()))
+        order = np.lexsort((ties, ids, inv))
+        least = order[np.flatnonzero(np.diff(inv[order], prepend=-1))]  # the first document of each window
+        late = (ids > ids[least[inv]]) | (ids == ids[least[inv]]) & (ties > ties[least[inv]])
+        out, at = [], 0
+        for c, x, y in zip(t["chunk"].to_pylist(), h, g):
+            own = late[at:at + len(x)]
+            out.append((c, x[own].tobytes(), y[own].tobytes()))
             at += len(x)
-        return packed(out, ["chunk", "h"])
+        return packed(out, ["chunk", "h", "g"])
 
     def cut(t: pa.Table, r1: pa.Table, r2: np.ndarray) -> pa.Table:
         c = Chunk(t)
         take, pair = c.windows(joined(r1))
         late = np.ones(len(take), bool)
         late[np.unique(pair, return_index=True)[1]] = False
-        late |= np.isin(pair["h"], r2)
+        asked = np.flatnonzero(np.isin(pair["h"], r2["h"]))
+        late[asked] |= np.isin(pair[asked], r2)
         edge = np.zeros(len(c.w) + WINDOW + 1, np.int64)
         edge[take[late]] += 1
         edge[take[late] + WINDOW] -= 1
         keep = np.cumsum(edge)[:len(c.w)] == 0
         out, at = [], 0
-        for (i, x), ws in zip(c.rows, c.words):
+        for row, ws in zip(c.rows, c.words):
             k = keep[at:at + len(ws)]
             at += len(ws)
             kept = b" ".join(ws if k.all() else [w for w, y in zip(ws, k) if y]).decode("utf-8", "replace")
-            out += [(None if i == NULL_ID else i, len(ws), int(len(ws) - k.sum()), kept)] * c.copies[i, x]
+            i = None if row[0] == NULL_ID else row[0]
+            out += [(i, len(ws), int(len(ws) - k.sum()), kept)] * c.copies[row]
         cols = list(zip(*out))
         return pa.table({"id": pa.array(cols[0], pa.int64()), "n_words": pa.array(cols[1], pa.int64()),
                          "n_removed": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.string())})
@@ -178,14 +192,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                              "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
         import pyarrow.compute as pc
         late = r.filter(pc.field("step") == 2)
-        return cut(t, r.filter(pc.field("step") == 1), joined(late))
+        flat = lambda k, d: np.frombuffer(b"".join(late[k].to_pylist()), d)
+        return cut(t, r.filter(pc.field("step") == 1), as_pairs(flat("h", np.uint64), flat("g", np.uint32)))
 
     sent = docs.groupBy("chunk").applyInArrow(send_anchors, "bucket int, chunk int, h binary, more binary")
     again = sent.groupBy("bucket").applyInArrow(repeated_anchors, "chunk int, h binary")
     wide = docs.groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(
-        send_windows, "bucket int, chunk int, h binary, g binary, id binary")
-    late = wide.groupBy("bucket").applyInArrow(later_windows, "chunk int, h binary")
-    reply = again.withColumn("step", F.lit(1)).union(late.withColumn("step", F.lit(2)))
+        send_windows, "bucket int, chunk int, h binary, g binary, id binary, tie binary")
+    late = wide.groupBy("bucket").applyInArrow(later_windows, "chunk int, h binary, g binary")
+    reply = again.withColumns({"g": F.lit(None).cast("binary"), "step": F.lit(1)}).unionByName(late.withColumn("step", F.lit(2)))
     out = docs.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(
         finish, "id bigint, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("id", id_col)

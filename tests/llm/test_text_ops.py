@@ -197,6 +197,26 @@ def test_substring(docs):
     assert Counter(map(tuple, substring.digest(df).collect())) == want
 
 
+def test_substring_of_a_hot_id(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(10)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(rng.choice([None, None, 5, 5, 9, k]), " ".join(f"r{k}w{j}" for j in range(25)) + " " + passage)
+            for k in range(90)] + [(None, passage)] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    tie = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    first = min(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+    want = Counter()
+    for r in rows:
+        w = r[1].split()
+        kept = w if r == first else w[:-30]
+        want[r[0], len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, substring.digest(df).collect())) == want
+    n = 64
+    chunks = df.select(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(n)).alias("c")).distinct().count()
+    assert chunks > 25  # null ids alone are a third of the rows
+
+
 def test_empty(spark):
     common.ship(spark)
     e = spark.createDataFrame([], "doc_id bigint, text string")
