@@ -87,7 +87,7 @@ class Lattice(Decoder):
         self.unknown = min(s for s in self.score.values() if s > -1e8) - 10
         # every end of a piece with the piece's score, None where it is no piece itself: a miss ends a search
         self.known = {p[k:]: None for p in self.ids for k in range(1, len(p))} | self.score
-        self.last, self.into, self.best = "", [[]], [0.0]
+        self.last, self.into, self.best, self.tick = "", [[]], [0.0], 0
         self.words = word_pattern(self.ids)
         self.table = WordTable(self.word)
         self.alternatives = lru_cache(ALTERNATIVES)(self.n_best_ids)
@@ -123,28 +123,36 @@ class Lattice(Decoder):
             into.append(ends)
             best.append(top)
 
-    def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
-        """The ``n`` best (score, cuts) of ``word``; cuts are nested pairs, the first piece's start outermost."""
+    def search(self, word: str, n: int) -> Iterator[tuple[float, tuple, float]]:
+        """The segmentations of ``word`` in order of score, up to ``n``: (score, cuts, the next one's score or NONE).
+
+        Cuts are nested pairs, the first piece's start outermost. As the heuristics are exact, the head of the frontier
+        has the score of the next segmentation, and each entry stands for a path of its own with that score, so no
+        more entries than paths still wanted can matter."""
         if word != self.last:
             self.forward(word)
         into, best = self.into, self.best
         size = len(word)
-        # sorted; as the heuristics are exact, each entry stands for a path of its own with that score, so no more
-        # entries than paths still wanted can matter
-        out, ahead, tick = [], [(-best[size], 0, size, 0.0, ())], 0
-        while ahead and len(out) < n:
-            f, _, at, done, cuts = ahead.pop(0)
+        # sorted, best last; of equals the newest is taken first: towards the start
+        ahead, room = [(best[size], 0, size, 0.0, ())], n
+        while ahead and room:
+            f, tick, at, done, cuts = ahead.pop()
             if at == 0:
-                out.append((-f, cuts))
+                room -= 1
+                yield f, cuts, ahead[-1][0] if ahead else NONE
                 continue
-            room = n - len(out)
             for a, s in into[at]:
-                f = -(done + s + best[a])
-                if len(ahead) < room or f <= ahead[-1][0]:
-                    tick -= 1  # the newest of equals first: towards the start
+                f = done + s + best[a]
+                if len(ahead) < room:
+                    tick = self.tick = self.tick + 1
                     insort(ahead, (f, tick, a, done + s, (cuts, a)))
-                    del ahead[room:]
-        return out
+                elif f >= ahead[0][0]:
+                    del ahead[0]
+                    tick = self.tick = self.tick + 1
+                    insort(ahead, (f, tick, a, done + s, (cuts, a)))
+
+    def n_best(self, word: str, n: int) -> list[tuple[float, tuple]]:
+        return [(f, cuts) for f, cuts, _ in self.search(word, n)]
 
     def pieces(self, word: str, cuts: tuple) -> list[int]:
         out, b = [], 0
@@ -159,11 +167,9 @@ class Lattice(Decoder):
         return [(s, np.array(self.pieces(word, cuts), np.int32)) for s, cuts in self.n_best(word, n)]
 
     def word(self, w: str) -> tuple:
-        """(best score, its ids as int32 bytes, loss of the second best), from the two best of the search."""
-        found = self.n_best(w, 2)
-        score, cuts = found[0]
-        return (score, array("i", self.pieces(w, cuts)).tobytes(),
-                score - found[1][0] if len(found) > 1 else float("inf"))
+        """(best score, its ids as int32 bytes, loss of the second best), from a search for two."""
+        score, cuts, second = next(self.search(w, 2))
+        return score, array("i", self.pieces(w, cuts)).tobytes(), score - second if second > NONE else float("inf")
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids (int32 bytes) of the best segmentation and the ``n`` best scores."""
