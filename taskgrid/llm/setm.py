@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import count
 
 import numpy as np
@@ -42,7 +42,7 @@ from taskgrid.llm.common import ship
 from taskgrid.session import scratch_path
 
 BLOCK_WORDS, HELD_WORDS, SLICE_BYTES = 1 << 20, 1 << 22, 1 << 18
-BLOCKS_PER_FILE = 32
+BLOCKS_PER_FILE = 16
 SCORE = ("cast(1000 as decimal(4,0)) * cast(f as decimal(17,0)) * cast(n as decimal(17,0)) "
          "div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))")
 GAP = b"\xff"  # never part of UTF-8
@@ -68,17 +68,33 @@ class Block:
             at = end
 
 
+@lru_cache(1)
+def codec():
+    import zstandard
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
 def packed(x: np.ndarray) -> bytes:
     """An integer array as one small binary value: byte planes, compressed (a relation holds millions of places a row)."""
-    import zstandard
     x = np.ascontiguousarray(x)
-    return zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+    return codec()[0](x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def unpacked(data: bytes, kind=np.int64) -> np.ndarray:
-    import zstandard
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(codec()[1](data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    return codec()[0](b"\n".join(words))  # no word holds a line break
+
+
+def unpacked_words(data: bytes) -> list[bytes]:
+    joint = codec()[1](data)
+    return joint.split(b"\n") if joint else []
+
+
+def all_of(t: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([unpacked(x) for x in t[name].to_pylist()])
 
 
 def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -87,7 +103,6 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
                        F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
 
     def run(batches):
-        import zstandard
         blocks: dict[str, Block] = {}
         made = count()
 
@@ -97,7 +112,7 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
             counts = np.bincount(codes, minlength=len(words) + 1)[1:]
             return pa.RecordBatch.from_pylist([{
                 "block": (part << 32) + next(made), "lang": name, "n": int(counts.sum()),
-                "words": zstandard.compress(b"\n".join(words), 1), "counts": packed(counts), "codes": packed(codes)}],
+                "words": packed_words(words), "counts": packed(counts), "codes": packed(codes)}],
                 schema=kind)
         part = 0
         for batch in batches:
@@ -124,36 +139,34 @@ def joined(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def dealt(batch_rows, buckets: int):
-    """Record batches (bucket, a block's own values, arrays) of the parts for each bucket, from (own values, bucket of
-    each element, columns)."""
+    """Record batches (bucket, a block's own values, packed arrays) of the parts for each bucket, from (own values, bucket
+    of each element, columns)."""
     for own, to, columns in batch_rows:
         order = np.argsort(to, kind="stable")
         at, cut = np.unique(to[order], return_index=True)
         if len(at):
-            ends = np.append(cut, len(order)).astype(np.int32)
+            parts = np.split(order, cut[1:])
             out = {"bucket": pa.array(at.astype(np.int64))} | {k: pa.array([v] * len(at)) for k, v in own.items()}
             for name, x in columns.items():
-                x = x if isinstance(x, pa.Array) else pa.array(x)
-                out[name] = pa.ListArray.from_arrays(pa.array(ends), x.take(pa.array(order)))
+                out[name] = pa.array([packed(x[i]) if isinstance(x, np.ndarray) else packed_words([x[k] for k in i.tolist()])
+                                      for i in parts], pa.binary())
             yield pa.record_batch(out)
 
 
 def word_counts(relation: DataFrame, buckets: int) -> DataFrame:
     """Each block's words, their codes and occurrences, as arrays dealt to buckets by a hash of language and word."""
     def parts(batches):
-        import zstandard
         for batch in batches:
             for row in range(batch.num_rows):
-                joint = zstandard.decompress(batch["words"][row].as_py())
-                words = joint.split(b"\n") if joint else []
+                words = unpacked_words(batch["words"][row].as_py())
                 salt = zlib.crc32(batch["lang"][row].as_py().encode() + b" ")
                 to = np.fromiter((zlib.crc32(w, salt) % buckets for w in words), np.int64, len(words))
                 yield {"block": batch["block"][row].as_py(), "lang": batch["lang"][row].as_py()}, to, {
-                    "word": pa.array(words, pa.binary()), "code": np.arange(1, len(words) + 1, dtype=np.int64),
+                    "word": words, "code": np.arange(1, len(words) + 1, dtype=np.int64),
                     "n": unpacked(batch["counts"][row].as_py())}
     return relation.select("block", "lang", "words", "counts").mapInArrow(
         lambda b: dealt(parts(b), buckets),
-        "bucket bigint, block bigint, lang string, word array<binary>, code array<bigint>, n array<bigint>")
+        "bucket bigint, block bigint, lang string, word binary, code binary, n binary")
 
 
 def pair_counts(relation: DataFrame, buckets: int) -> DataFrame:
@@ -169,7 +182,7 @@ def pair_counts(relation: DataFrame, buckets: int) -> DataFrame:
                     0xD6E8FEB86659FD93)
                 yield {"block": batch["block"][row].as_py()}, (mixed >> np.uint64(32)) % np.uint64(buckets), {"a": a, "b": b, "n": n}
     return relation.mapInArrow(lambda b: dealt(parts(b), buckets),
-                               "bucket bigint, block bigint, a array<bigint>, b array<bigint>, n array<bigint>")
+                               "bucket bigint, block bigint, a binary, b binary, n binary")
 
 
 def per_block(block: np.ndarray, **columns):
@@ -186,9 +199,9 @@ def grouped_words(sent: DataFrame, least: int) -> DataFrame:
         out, base = [], t["bucket"][0].as_py() << 32
         for lang in sorted(set(t["lang"].to_pylist())):
             own = t.filter(pc.equal(t["lang"], lang))
-            flat = lambda c: own[c].combine_chunks().flatten()  # noqa: E731,B023
-            words = flat("word").dictionary_encode()
-            code, n, at = flat("code").to_numpy(), flat("n").to_numpy(), words.indices.to_numpy()
+            lists = [unpacked_words(x) for x in own["word"].to_pylist()]
+            words = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
+            code, n, at = all_of(own, "code"), all_of(own, "n"), words.indices.to_numpy()
             f = np.bincount(at, n, len(words.dictionary)).astype(np.int64)
             often = np.flatnonzero(f >= least)
             often = often[np.argsort(np.array(words.dictionary.take(pa.array(often)).to_pylist(), object), kind="stable")]
@@ -199,7 +212,7 @@ def grouped_words(sent: DataFrame, least: int) -> DataFrame:
                 out.append({"lang": lang, "word": words.dictionary.take(pa.array(often)).to_pylist(), "f": f[often],
                             "id": ids[often]})
             hit = ids[at] >= 0
-            block = np.repeat(own["block"].to_numpy(), [len(x) for x in own["code"]])
+            block = np.repeat(own["block"].to_numpy(), [len(ws) for ws in lists])
             out += per_block(block[hit], code=code[hit], id=ids[at[hit]])
         return pa.Table.from_pylist(out, schema=kind)
     longs = pa.list_(pa.int64())
@@ -213,8 +226,8 @@ def grouped(sent: DataFrame, least: int) -> DataFrame:
     """Group-count of a bucket: one row with its frequent pairs (block null: a, b, f, id) and, for each block that has
     some of them, one with those (a, b, id). Ids number a bucket's frequent pairs in order, so a lost task gives the same."""
     def run(t: pa.Table) -> pa.Table:
-        flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        a, b, n = flat("a"), flat("b"), flat("n")
+        n_lists = [unpacked(x) for x in t["n"].to_pylist()]
+        a, b, n = all_of(t, "a"), all_of(t, "b"), np.concatenate(n_lists)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
@@ -224,8 +237,7 @@ def grouped(sent: DataFrame, least: int) -> DataFrame:
         out = [{"block": None, "a": a[first][often], "b": b[first][often], "f": f[often], "id": own[often]}]
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(a))))
         keep = often[group]
-        sizes = [len(x) for x in t["a"]]
-        block = np.repeat(t["block"].to_numpy(), sizes)[order][keep]
+        block = np.repeat(t["block"].to_numpy(), list(map(len, n_lists)))[order][keep]
         out += per_block(block, a=a[keep], b=b[keep], id=own[group[keep]])
         return pa.Table.from_pylist([r for r in out if len(r["a"])], schema=kind)
     longs = pa.list_(pa.int64())
