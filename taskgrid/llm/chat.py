@@ -1,8 +1,9 @@
 """Chat formatting of reply trees (operator 2), DataFrame functions only.
 
-Iterative self-joins with doubling strides enumerate every root-to-leaf path
-(about log2 of the depth joins), branches are ranked within their tree by the
-sum of their messages' scores, and each chosen path becomes one conversation.
+Iterative self-joins with doubling strides make jump tables (a node and its 2^k-th
+ancestor, about log2 of the depth joins), from which every root-to-leaf path is
+enumerated; branches are ranked within their tree by the sum of their messages'
+scores, and each chosen path becomes one conversation.
 
 Template: ``<|im_start|>role NEWLINE text<|im_end|>NEWLINE`` per message. Inside
 texts and roles ``&`` becomes ``&amp;``, ``<|`` becomes ``&lt;|`` (and a line
@@ -12,7 +13,9 @@ the formatted text) over the assistants' texts.
 
 Null texts and roles count as empty, null scores as 0. A node whose parent is
 null, itself or unknown is a root; a longer cycle raises. Repeated node ids
-count once (the smallest role and text). Equal scores rank by leaf id.
+count once (the smallest role and text). Equal scores rank by leaf id. An empty table
+gives no conversation (the query its own one, -1; a given conversation -1 is merged
+with that). Texts of any length are kept whole, other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,26 +36,47 @@ def unescaped(c: Column) -> Column:
                      F.lit("&amp;"), F.lit("&"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, path) for each leaf of ``nodes`` (tree, node, parent); path lists node ids from the root."""
+def jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Tables k = 0, 1, ... of (tree, node, above): each node's 2^k-th ancestor, where it has one.
+
+    A node of a tree with n nodes has fewer than n ancestors; one that still has some after log2(n) doublings is on
+    a cycle, or below one, and raises."""
     from taskgrid.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(nodes.sparkSession)
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p")).distinct()
+    out = [nodes.select("tree", "node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("above"))
+           .filter("above is not null")
+           .join(known, (F.col("tree") == F.col("t")) & (F.col("above") == F.col("p")), "left_semi").checkpoint()]
+    largest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while out[-1].limit(1).count():
+        if 1 << (len(out) - 1) >= largest:
+            raise ValueError("parent links form a cycle")
+        far = out[-1].select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("above").alias("further"))
+        out.append(out[-1].join(far, (F.col("tree") == F.col("t")) & (F.col("above") == F.col("p")))
+                   .select("tree", "node", F.col("further").alias("above")).checkpoint())
+    return out[:-1]
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up) for each node on the path to each leaf of ``nodes`` (tree, node, parent); ``up`` counts
+    from the leaf.
+
+    Only leaves are expanded, by the binary digits of the distance: from the longest jump to the shortest, every node
+    reached so far stays and, where it can, also jumps. So each ancestor is reached once, and the rows are the paths'
+    own; nothing is kept per inner node but one ancestor a table."""
     step = nodes.select("tree", "node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"))
-    leaves = step.select("tree", "node").join(
+    at = step.select("tree", "node").join(
         step.select(F.col("tree").alias("t"), F.col("parent").alias("p")).filter("p is not null").distinct(),
-        (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
-    step = (step.join(known, (step.tree == known.t) & (step.parent == known.p), "left")
-            .select("tree", "node", F.col("p").alias("up"), F.array("node").alias("path"))).checkpoint()
-    while step.filter("up is not null").limit(1).count():
-        above = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"),
-                            F.col("path").alias("path2"))
-        step = step.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-            "tree", "node", F.col("up2").alias("up"),
-            F.when(F.col("n").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path")).checkpoint()
-        if step.filter(F.size(F.array_distinct("path")) < F.size("path")).limit(1).count():
-            raise ValueError("parent links form a cycle")
-    return step.join(leaves, ["tree", "node"]).select("tree", F.col("node").alias("leaf"), "path")
+        (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select(
+        "tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
+    tables = jumps(nodes)
+    for k in reversed(range(len(tables))):
+        jump = tables[k].select(F.col("tree").alias("t"), F.col("node").alias("p"), "above")
+        stay, go = F.struct("node", "up"), F.struct(F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        at = at.join(jump, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left").select(
+            "tree", "leaf", F.explode(F.when(F.col("above").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("x")
+        ).select("tree", "leaf", "x.node", "x.up")
+    return at
 
 
 def conversations(messages: DataFrame, best: int = 1) -> DataFrame:
@@ -64,7 +88,7 @@ def conversations(messages: DataFrame, best: int = 1) -> DataFrame:
         F.min("parent").alias("parent"),
         F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))).alias("m"))
-    long = paths(m.select("tree", "node", "parent")).select("tree", "leaf", F.posexplode("path").alias("k", "node"))
+    long = paths(m.select("tree", "node", "parent")).select("tree", "leaf", "node", (-F.col("up")).alias("k"))
     full = (long.join(m.select("tree", "node", "m"), ["tree", "node"]).groupBy("tree", "leaf")
             .agg(F.sort_array(F.collect_list(F.struct("k", "m.role", "m.text"))).alias("turns"),
                  F.sum("m.score").alias("score")))

@@ -45,6 +45,18 @@ def test_reply_trees(spark):
         chat.paths(loop).collect()
 
 
+def test_a_deep_chain_keeps_one_ancestor_a_node(spark):
+    n = 20_000
+    nodes = spark.range(n).select(F.lit(1).alias("tree"), F.col("id").alias("node"), F.when(
+        F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    tables = chat.jumps(nodes)
+    assert len(tables) == 15 and all(t.count() == n - (1 << k) for k, t in enumerate(tables))
+    assert all([f.dataType.simpleString() for f in t.schema.fields] == ["int", "bigint", "bigint"] for t in tables)
+    got = chat.paths(nodes).agg(F.count("*"), F.min("leaf"), F.max("leaf"), F.sum(F.col("node") + F.col("up")),
+                                F.countDistinct("node")).first()
+    assert tuple(got) == (n, n - 1, n - 1, n * (n - 1), n)
+
+
 def test_chat_turns_edges(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, None, "x"), (None, 0, "assistant", "a"), (2, None, "user", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
