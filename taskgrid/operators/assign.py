@@ -315,30 +315,38 @@ def plan_problems(retailer_counts: DataFrame, analysts: Sequence[str], plan, spl
     (``unassigned_retailer``), Split retailers whose counts do not add up
     (``split_sum_mismatch``), and analysts named in the plan but not listed
     (``unknown_analyst``). Columns: problem, list_name, analyst, expected,
-    actual."""
+    actual.
+
+    One aggregate per retailer over the counts, the plan and its shares, tagged by their columns; its problems are
+    unfolded from that row."""
     spark = retailer_counts.sparkSession
     names = _names(analysts)
-    p = plan_frame(spark, plan)
-    sp = split_frame(spark, split_plan, names)
-    rc = retailer_counts.select(F.col(cfg.list_name).alias("list_name"),
-                                F.col("record_count").cast("bigint").alias("cnt"))
-    null_s = F.lit(None).cast("string")
-    null_l = F.lit(None).cast("bigint")
-    unassigned = (rc.join(p.filter(F.col("target").isNotNull()), "list_name", "left_anti")
-                    .select(F.lit("unassigned_retailer").alias("problem"), "list_name",
-                            null_s.alias("analyst"), F.col("cnt").alias("expected"), null_l.alias("actual")))
-    sums = sp.groupBy("list_name").agg(F.sum("n").alias("actual"))
-    mismatch = (rc.join(p.filter(F.col("target") == SPLIT), "list_name")
-                  .join(sums, "list_name", "left").na.fill(0, ["actual"])
-                  .filter(F.col("actual") != F.col("cnt"))
-                  .select(F.lit("split_sum_mismatch").alias("problem"), "list_name", null_s.alias("analyst"),
-                          F.col("cnt").alias("expected"), F.col("actual").cast("bigint").alias("actual")))
-    whole_unknown = (p.filter(F.col("target").isNotNull() & (F.col("target") != SPLIT)
-                              & ~F.col("target").isin(names))
-                       .select("list_name", F.col("target").alias("analyst")))
-    split_unknown = (sp.join(p.filter(F.col("target") == SPLIT), "list_name", "left_semi")
-                       .filter(~F.col("analyst").isin(names)).select("list_name", "analyst"))
-    unknown = whole_unknown.unionByName(split_unknown).select(
-        F.lit("unknown_analyst").alias("problem"), "list_name", "analyst",
-        null_l.alias("expected"), null_l.alias("actual"))
-    return unassigned.unionByName(mismatch).unionByName(unknown)
+    none = {"cnt": F.lit(None).cast("bigint"), "target": F.lit(None).cast("string"),
+            "analyst": F.lit(None).cast("string"), "n": F.lit(None).cast("bigint")}
+
+    def tagged(df: DataFrame, name: str, **given: Column) -> DataFrame:
+        return df.select(F.col(name).alias("list_name"), *[(none | given)[c].alias(c) for c in none])
+    rows = tagged(retailer_counts, cfg.list_name, cnt=F.col("record_count").cast("bigint")).unionByName(
+        tagged(plan_frame(spark, plan), "list_name", target=F.col("target"))).unionByName(
+        tagged(split_frame(spark, split_plan, names), "list_name", analyst=F.col("analyst"), n=F.col("n")))
+    strange = lambda c: F.when(~F.col(c).isin(names), F.col(c))
+    per = rows.groupBy("list_name").agg(
+        F.max("cnt").alias("cnt"), F.count("target").alias("planned"), F.max(F.col("target") == SPLIT).alias("split"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("asked"),
+        F.collect_list(F.when(F.col("target") != SPLIT, strange("target"))).alias("targets"),
+        F.collect_list(strange("analyst")).alias("sharers"))
+    known, split = F.col("list_name").isNotNull(), F.coalesce("split", F.lit(False))
+
+    def problem(name: str, analyst=None, expected=None, actual=None) -> Column:
+        return F.struct(F.lit(name).alias("problem"), (analyst if analyst is not None else none["analyst"]).alias("analyst"),
+                        (expected if expected is not None else none["cnt"]).alias("expected"),
+                        (actual if actual is not None else none["cnt"]).alias("actual"))
+    unknown = F.concat("targets", F.when(split & known, F.col("sharers")).otherwise(F.slice("sharers", 1, 0)))
+    found = F.concat(
+        F.array(F.when(known & F.col("cnt").isNotNull() & (F.col("planned") == 0),
+                       problem("unassigned_retailer", expected=F.col("cnt"))),
+                F.when(known & split & (F.col("asked") != F.col("cnt")),
+                       problem("split_sum_mismatch", expected=F.col("cnt"), actual=F.col("asked")))),
+        F.transform(unknown, lambda x: problem("unknown_analyst", analyst=x)))
+    listed = per.select("list_name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    return listed.select("x.problem", "list_name", "x.analyst", "x.expected", "x.actual")
