@@ -7,11 +7,15 @@ and their bytes, eight keys a fingerprint. The equal positional bytes of a
 candidate pair are then tallied, pairs with fewer than five are dropped and the
 rest verified by bit distance. Equal fingerprints are one entry of the index.
 
-Postings longer than ``BLOCK`` are cut into blocks by a hash of the fingerprint
-and every pair of blocks is one task's work: a posting never meets in one task,
-and a task returns a spanning forest of its links, not its pairs.
-
-Null or wordless texts have fingerprint zero and link like any other.
+A linked pair of a posting shares two more of the five other places, so a posting
+longer than ``BLOCK`` is split by a second index level, keyed by two of those places
+and their bytes (ten keys a fingerprint): its work falls by the bytes' spread, not
+only over more tasks. What is still longer is cut into blocks by a hash of the
+fingerprint and every pair of blocks is one task's work: a posting never meets in one
+task, and a task returns a spanning forest of its links, not its pairs.
+
+An empty table gives an empty result; texts are read whole, one at a time; extra
+columns are not read. Null or wordless texts have fingerprint zero and link like any other.
 Components come from the links by rounds of minimum labels over the distinct
 fingerprints, each round written to the checkpoint folder. Rows with a null id
 take part; ``component_id`` is the smallest id that is not null.
@@ -30,6 +34,7 @@ from taskgrid.llm.common import per_text
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 KEYS = [c for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for c in combinations(half, 3)]
+REST = [list(combinations([p for p in range(8) if p not in c], 2)) for c in KEYS]
 BLOCK = 1024
 
 
@@ -89,11 +94,22 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         for k, c in enumerate(KEYS)])).alias("p")).select("fp", "p.k", "p.v")
     size = post.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = post.join(size, ["k", "v"])
+    short = keyed.filter(F.col("n") <= BLOCK).select("fp", "k", "v", F.lit(-1).alias("s"), F.lit(0).cast("bigint").alias("w"), "n")
+    # the second level of the index, for long postings alone
+    pairs = F.element_at(F.array(*[F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in r]) for r in REST]),
+                         F.col("k") + 1)
+    places = F.array(*[byte(p) for p in range(8)])
+    split = keyed.filter(F.col("n") > BLOCK).select("fp", "k", "v", F.explode(F.transform(pairs, lambda x: F.struct(
+        (x["p"] * 8 + x["q"]).alias("s"),
+        (F.element_at(places, x["p"] + 1) * 256 + F.element_at(places, x["q"] + 1)).alias("w")))).alias("x")).select(
+        "fp", "k", "v", "x.s", "x.w")
+    deeper = split.groupBy("k", "v", "s", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keyed = short.unionByName(split.join(deeper, ["k", "v", "s", "w"]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     # a fingerprint of block i goes to the pairs (i, j) and (j, i) of its posting
     work = keyed.withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "fp", "k", "v", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"),
+        "fp", "k", "v", "s", "w", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"),
         (F.col("i") <= F.col("j")).alias("first"))
 
     def run(t: pa.Table) -> pa.Table:
@@ -103,7 +119,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         out = list(forest(a, None if lo == hi else np.sort(fp[~first]), distance))
         col = lambda k: pa.array(np.array([x[k] for x in out], np.uint64).view(np.int64))
         return pa.table({"a": col(0), "b": col(1)})
-    return work.groupBy("k", "v", "lo", "hi").applyInArrow(run, "a bigint, b bigint").distinct()
+    return work.groupBy("k", "v", "s", "w", "lo", "hi").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -197,6 +197,30 @@ def test_substring(docs):
     assert Counter(map(tuple, substring.digest(df).collect())) == want
 
 
+def test_long_postings_are_split_by_further_bytes(spark, monkeypatch):
+    import numpy as np
+    rng = random.Random(13)
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    base = 0xABCDEF << 40
+    fps = {base | rng.getrandbits(40) for _ in range(1500)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in rng.sample(sorted(fps), 200)}
+    fps |= {base | 0x1122334400 | k for k in range(200)}  # a second level that is long as well
+    v = np.array(sorted(fps), np.uint64)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
+    label = np.arange(len(v))
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        label[label == label[j]] = label[i]
+    df = spark.createDataFrame([(int(x) - (1 << 64) if x >> 63 else int(x),) for x in v.tolist()], "fp bigint")
+    edges = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df).collect()]
+    at = {int(x): k for k, x in enumerate(v)}
+    own = np.arange(len(v))
+    for a, b in edges:
+        assert near[at[a], at[b]]
+        own[own == own[at[b]]] = own[at[a]]
+    same = lambda x: sorted(tuple(np.flatnonzero(x == k)) for k in set(x.tolist()))
+    assert same(own) == same(label) and len(edges) < len(v) * 12
+
+
 def test_substring_of_a_hot_id(spark):
     from pyspark.sql import functions as F
     rng = random.Random(10)
