@@ -12,14 +12,14 @@ coefficient, then more words, then the template's name.
 Size bounds prune before any bigram is made. A coefficient of t needs
 o = t / (2 - t) |B| common bigrams at least, so no set of words that touches more
 than |B| - o of them may be missing as a whole: a text without any word of such a
-set (long words first) cannot match, which plain substring tests decide. What is
-left is written once; its bigrams meet the templates' by an equi join, so only
+set (long words first) cannot match. One split of the text and its intersection with
+all those words decides that for every template. What is left is written once; its bigrams meet the templates' by an equi join, so only
 template bigrams are shuffled, grouped by stretches of n places (at most 2n rows a
 group). The best window starts at a common bigram or ends the text, so only those
 starts are tried.
 
-The templates are a parameter table (license, text) whose words make up the
-substring tests; it is read on the driver. Null and empty texts have no words.
+The templates are a parameter table (license, text) whose words make up the tests;
+it is read on the driver. Null and empty texts have no words.
 Repeated rows (same id and text) count once, rows of one id with other texts
 apart. Empty tables and templates of fewer than two words match nothing. A text of
 any length is one array of words; extra columns are not read.
@@ -70,6 +70,9 @@ TEMPLATES = [
 ]
 
 
+COMMON = 5  # letters of a word that may well be common
+
+
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "license string, text string")
 
@@ -90,16 +93,36 @@ def needed(n_bigrams: int, least: float) -> int:
     return math.ceil(least / (2 - least) * n_bigrams - 1e-9)
 
 
-def telling_words(template: list[str], least: float) -> list[str]:
+def telling_words(template: list[str], least: float, without: str = "") -> list[str]:
     """Words of which a match holds one at least: long ones that together touch more bigrams than may be missing."""
     grams = set(zip(template, template[1:]))
     out, touched = [], set()
-    for w in sorted(set(template), key=lambda x: (-len(x), x)):
+    for w in sorted(set(template) - {without}, key=lambda x: (-len(x), x)):
         out.append(w)
         touched |= {g for g in grams if w in g}
         if len(touched) > len(grams) - needed(len(grams), least):
-            break
-    return out
+            return out
+    return []
+
+
+def word_tests(template: list[str], least: float) -> list[list[str]]:
+    """Sets of words; a match holds a word of each. A set with short, common words has others beside it without them."""
+    first = telling_words(template, least)
+    more = [telling_words(template, least, w) for w in first if len(w) <= COMMON]
+    return [first, *[x for x in more if x]]
+
+
+def likely(text: Column, templates_words: list[list[str]], least: float) -> Column:
+    """Whether a text passes the word tests of any template."""
+    tests = [word_tests(w, least) for w in templates_words]
+    asked = sorted({w for t in tests for s in t for w in s})
+    if not asked:
+        return F.lit(False)
+    lits = lambda ws: F.array(*[F.lit(w) for w in ws])
+    # a lambda's variable: the text is split once, however many tests ask for its words
+    present = F.array_intersect(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lits(asked))
+    return F.exists(F.array(present), lambda p: reduce(lambda a, b: a | b, [
+        reduce(lambda a, b: a & b, [F.arrays_overlap(p, lits(s)) for s in t]) for t in tests]))
 
 
 def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text",
@@ -109,11 +132,9 @@ def scan(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "t
     t = known.select("license", words(F.col("text")).alias("w")).withColumn("grams", F.array_distinct(pairs(F.col("w"))))
     t = t.filter(F.size("grams") > 0).select("license", F.size("w").alias("n"), "grams", F.size("grams").alias("size_b"), F.ceil(
         F.size("grams") * (least / (2 - least)) - 1e-9).cast("int").alias("need"), "w")
-    asked = sorted({w for r in t.select("w").collect() for w in telling_words(list(r["w"]), least)}, key=lambda x: (-len(x), x))
-    lower = F.lower(F.col(text))
-    likely = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(w)) for w in asked], F.lit(False))
+    own = [list(r["w"]) for r in t.select("w").collect()]
     path = scratch_path(spark, "licence-candidates")
-    (df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).filter(likely).dropDuplicates(["doc_id", "text"])
+    (df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).filter(likely(F.col("text"), own, least)).dropDuplicates(["doc_id", "text"])
        .select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
        .write.parquet(path))
     u = spark.read.parquet(path)
