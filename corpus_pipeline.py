@@ -3,7 +3,9 @@
 Stages keep whole rows: null texts count as empty (too short, so the quality
 stage drops them); rows of one id are judged each by the row stages, and the
 near-duplicate stage keeps one row per group (smallest id, null last, then
-text), whatever ids the rows have.
+text), whatever ids the rows have; of repeated rows so does one stay. An empty table
+passes every stage empty. Texts are read whole. Stages carry the five columns of
+documents; columns beside them are left out.
 """
 
 from __future__ import annotations
