@@ -8,9 +8,14 @@ expression.
 
 The list is fitted on at most ``sample`` labelled rows (a documented bound;
 those of smallest id hash); statistics and verdicts cover every row. With no
-labelled bad row the list is empty and every text is kept. Null texts have no
-words. Repeated rows are judged each; a label repeated for an id counts once
-(the lowest quality).
+labelled bad row the list is empty and every text is kept. A list has at most
+``MAX_RULES`` rules of at most ``MAX_CONDITIONS`` conditions, each threshold one of
+``CUTS`` quantiles of the growing rows: bounds of the model, not of the rows judged.
+
+Null texts have no words. Repeated rows are judged each; a label repeated for an id
+counts once (the lowest quality). Empty tables give no rules and no rows; a text of
+any length is one pass. Columns named ``stats``, ``base_failed`` and ``kept`` are
+replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ STATS_DDL = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines b
              "n_repeat_words bigint, n_distinct bigint, n_upper bigint, n_marks bigint")
 KEEP = {x: bytes(set(range(256)) - set(s)) for x, s in
         {"symbols": SYMBOLS, "upper": bytes(range(65, 91)), "marks": b"!?"}.items()}
+MAX_RULES, MAX_CONDITIONS, CUTS = 12, 4, 64
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
@@ -77,9 +83,9 @@ def covers(x: np.ndarray, rule) -> np.ndarray:
     return hit
 
 
-def grow(x: np.ndarray, bad: np.ndarray, cuts: int = 64):
+def grow(x: np.ndarray, bad: np.ndarray, cuts: int = CUTS):
     rule, x, bad = [], x, bad
-    while len(x) and not bad.all() and len(rule) < 4:
+    while len(x) and not bad.all() and len(rule) < MAX_CONDITIONS:
         p0 = bad.sum() / len(bad)
         best = (1e-9, None, None)
         for j in range(x.shape[1]):
@@ -98,7 +104,7 @@ def grow(x: np.ndarray, bad: np.ndarray, cuts: int = 64):
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.98, max_rules: int = 12) -> list:
+def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.98, max_rules: int = MAX_RULES) -> list:
     """Ordered rules (feature number, operator, threshold); rows any rule covers are rejected."""
     rules = []
     while bad.any() and len(rules) < max_rules:
@@ -130,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, precision: float
     # at most ``sample`` short rows, one of each id, so the broadcast and the rows fetched are bounded
     rows = (with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
             .select("doc_id", F.struct("quality", *[c.alias(k) for k, c in named.items()]).alias("r"))
-            .groupBy("doc_id").agg(F.min("r").alias("r")).select("r.*")
-            .orderBy(*named, "quality").collect())
+            .groupBy("doc_id").agg(F.min("r").alias("r")).select("r.*").collect())
+    rows.sort(key=lambda r: (*[r[k] for k in named], r["quality"]))
     if not rows:
         return []
     x = np.array([[r[k] for k in named] for r in rows])

@@ -14,6 +14,9 @@ loses least. All N come back as ids.
 Scores are those of the model file. A character that no piece covers becomes its
 byte pieces at the lowest score less 10. Ties rank by pieces' ids from the end.
 Null and empty texts have one empty segmentation. Decoding gives the text back.
+Repeated rows are encoded each, an empty table gives an empty one, texts are taken
+whole in groups of about ``GROUP_CHARS`` characters (a longer text is a group of its
+own). A column named like the result is replaced; others pass through.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ to another character (checked when it is loaded), so a text splits there without
 changing the merges; counts of such words are remembered in a table of bounded
 size.
 
-Null counts as empty (no token). Repeated rows are counted each; a clashing
-column is replaced.
+Null counts as empty (no token). Repeated rows are counted each, an empty table
+gives an empty one; texts are counted whole, word by word (a text that never splits
+is one heap). A clashing column is replaced.
 """
 
 from __future__ import annotations
