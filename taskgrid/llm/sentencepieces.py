@@ -40,6 +40,7 @@ from taskgrid.llm.token_counts import SPACE, default_model, word_pattern
 CACHE_WORDS = 400_000
 ALTERNATIVES = 20_000
 GROUP_CHARS = 2 << 20
+IDS_AT_ONCE = 1 << 18
 MISS = object()
 NONE = -1e300  # no path
 _LOADED: dict = {}
@@ -67,12 +68,22 @@ class Decoder:
     def __init__(self, path: str):
         import sentencepiece
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.encode()
+        self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode()
                     for i, p in enumerate(map(sp.id_to_piece, range(sp.get_piece_size())))]
+        # all pieces' bytes in one array, and where each starts
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        self.start = np.cumsum(self.size) - self.size
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """Text of the ids: pieces and bytes joined, space marks read as spaces, the dummy first one dropped."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        ids, out = np.asarray(ids, np.int64), []
+        for k in range(0, len(ids), IDS_AT_ONCE):
+            part = ids[k:k + IDS_AT_ONCE]
+            long = self.size[part]
+            ends = np.cumsum(long)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.start[part] - ends + long, long)].tobytes())
+        text = b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -253,7 +264,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "pieces", n_best: int =
             texts, later = tee(t.decode("utf-8", "replace") for t in texts)
             for t, (ids, scores, changes) in zip(later, m.encode_all(texts, n_best)):
                 ids = np.frombuffer(ids, np.int32)
-                same = not check or m.decode(ids.tolist()) == t.replace(SPACE, " ")
+                same = not check or m.decode(ids) == t.replace(SPACE, " ")
                 yield ids, scores, changes, same
         return every
     found = per_text(F.col(text), "ids array<int>, scores array<double>, changes array<struct<rank:int,at:int,gone:int,"
