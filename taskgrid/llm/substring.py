@@ -33,7 +33,6 @@ ANCHOR = WINDOW - PERIOD + 1
 CHUNK_BYTES = 16 << 20
 _rng = np.random.default_rng(20)
 COEF = _rng.integers(1, 1 << 63, (3, WINDOW), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-PAIR = np.dtype([("h", "<u8"), ("g", "<u4")])
 NULL_ID = -(1 << 63)
 
 
@@ -73,7 +72,7 @@ class Chunk:
         return at, h[at]
 
     def windows(self, repeated: np.ndarray):
-        """Places and pair hashes of the windows that hold a repeated anchor."""
+        """Places and 96-bit hashes (64 and 32 bits) of the windows that hold a repeated anchor."""
         at, h = self.anchors()
         at = at[np.isin(h, repeated)]
         n = max(len(self.w) - WINDOW + 1, 0)
@@ -81,10 +80,7 @@ class Chunk:
         np.add.at(edge, np.maximum(at - PERIOD + 1, at - self.at[at]), 1)
         np.add.at(edge, at + 1, -1)
         take = np.flatnonzero((np.cumsum(edge)[:n] > 0) & (self.left[:n] >= WINDOW))
-        out = np.zeros(len(take), PAIR)
-        out["h"] = self.hashes(WINDOW, 1)[take]
-        out["g"] = self.hashes(WINDOW, 2)[take] >> np.uint64(32)
-        return take, out
+        return take, self.hashes(WINDOW, 1)[take], (self.hashes(WINDOW, 2)[take] >> np.uint64(32)).astype(np.uint32)
 
 
 def parts(h: np.ndarray, n: int):
@@ -96,10 +92,32 @@ def parts(h: np.ndarray, n: int):
             yield k, order[cut[k]:cut[k + 1]]
 
 
-def as_pairs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h), PAIR)
-    out["h"], out["g"] = h, g
-    return out
+def distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first of each distinct pair, in order of the pairs; each place's pair number)."""
+    order = np.argsort(h, kind="stable")
+    again = h[order][1:] == h[order][:-1]
+    if (again & (g[order][1:] != g[order][:-1])).any():  # one 64-bit hash, two windows
+        order = np.lexsort((g, h))
+        again = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+    new = np.ones(len(order), bool)
+    new[1:] = ~again
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+def among(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
+    """Whether each pair is among the known ones."""
+    order = np.lexsort((known_g, known_h))
+    known_h, known_g = known_h[order], known_g[order]
+    found, live = np.zeros(len(h), bool), np.arange(len(h))
+    at = np.searchsorted(known_h, h)
+    while len(live):  # one round for each pair that shares a 64-bit hash
+        live = live[at[live] < len(known_h)]
+        live = live[known_h[at[live]] == h[live]]
+        found[live] |= known_g[at[live]] == g[live]
+        at[live] += 1
+    return found
 
 
 def packed(rows, names) -> pa.Table:
@@ -140,20 +158,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         if not len(t):
             return packed([], ["bucket", "chunk", "h", "g", "id", "tie"])
         c = Chunk(t)
-        take, pair = c.windows(joined(r))
-        u, first = np.unique(pair, return_index=True)  # documents are in order: the first place is the smallest
+        take, h, g = c.windows(joined(r))
+        first, _ = distinct(h, g)  # documents are in order: the first place is the smallest
+        h, g = h[first], g[first]
         of = c.doc[take[first]]
         ids, ties = (np.array([r[k] for r in c.rows], np.int64)[of] for k in (0, 1))
         chunk = t["chunk"][0].as_py()
-        return packed([(k, chunk, u["h"][i].tobytes(), u["g"][i].tobytes(), ids[i].tobytes(), ties[i].tobytes())
-                       for k, i in parts(u["h"], n)], ["bucket", "chunk", "h", "g", "id", "tie"])
+        return packed([(k, chunk, h[i].tobytes(), g[i].tobytes(), ids[i].tobytes(), ties[i].tobytes())
+                       for k, i in parts(h, n)], ["bucket", "chunk", "h", "g", "id", "tie"])
 
     def later_windows(t: pa.Table) -> pa.Table:
         part = lambda k, d: [np.frombuffer(x, d) for x in t[k].to_pylist()]
         h, g = part("h", np.uint64), part("g", np.uint32)
         ids, ties = np.concatenate(part("id", np.int64)), np.concatenate(part("tie", np.int64))
-        pair = as_pairs(np.concatenate(h), np.concatenate(g))
-        u, inv = np.unique(pair, return_inverse=True)
+        inv = distinct(np.concatenate(h), np.concatenate(g))[1]
         order = np.lexsort((ties, ids, inv))
         least = order[np.flatnonzero(np.diff(inv[order], prepend=-1))]  # the first document of each window
         late = (ids > ids[least[inv]]) | (ids == ids[least[inv]]) & (ties > ties[least[inv]])
@@ -164,13 +182,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             at += len(x)
         return packed(out, ["chunk", "h", "g"])
 
-    def cut(t: pa.Table, r1: pa.Table, r2: np.ndarray) -> pa.Table:
+    def cut(t: pa.Table, r1: pa.Table, late_h: np.ndarray, late_g: np.ndarray) -> pa.Table:
         c = Chunk(t)
-        take, pair = c.windows(joined(r1))
+        take, h, g = c.windows(joined(r1))
         late = np.ones(len(take), bool)
-        late[np.unique(pair, return_index=True)[1]] = False
-        asked = np.flatnonzero(np.isin(pair["h"], r2["h"]))
-        late[asked] |= np.isin(pair[asked], r2)
+        late[distinct(h, g)[0]] = False
+        late |= among(h, g, late_h, late_g)
         edge = np.zeros(len(c.w) + WINDOW + 1, np.int64)
         edge[take[late]] += 1
         edge[take[late] + WINDOW] -= 1
@@ -193,7 +210,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         import pyarrow.compute as pc
         late = r.filter(pc.field("step") == 2)
         flat = lambda k, d: np.frombuffer(b"".join(late[k].to_pylist()), d)
-        return cut(t, r.filter(pc.field("step") == 1), as_pairs(flat("h", np.uint64), flat("g", np.uint32)))
+        return cut(t, r.filter(pc.field("step") == 1), flat("h", np.uint64), flat("g", np.uint32))
 
     sent = docs.groupBy("chunk").applyInArrow(send_anchors, "bucket int, chunk int, h binary, more binary")
     again = sent.groupBy("bucket").applyInArrow(repeated_anchors, "chunk int, h binary")

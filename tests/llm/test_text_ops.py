@@ -241,6 +241,18 @@ def test_substring_of_a_hot_id(spark):
     assert chunks > 25  # null ids alone are a third of the rows
 
 
+def test_pairs_that_share_64_bits():
+    import numpy as np
+    h = np.array([5, 3, 5, 5, 9, 3, 5], np.uint64)
+    g = np.array([1, 7, 2, 1, 0, 7, 3], np.uint32)
+    first, number = substring.distinct(h, g)
+    assert first.tolist() == [1, 0, 2, 6, 4] and number.tolist() == [1, 0, 2, 1, 4, 0, 3]
+    assert substring.among(h, g, h[[2, 4, 6]], np.array([2, 1, 3], np.uint32)).tolist() == [
+        False, False, True, False, False, False, True]
+    none = np.zeros(0, np.uint64)
+    assert substring.distinct(none, none)[0].tolist() == [] and not substring.among(h, g, none, none).any()
+
+
 def test_empty(spark):
     common.ship(spark)
     e = spark.createDataFrame([], "doc_id bigint, text string")
