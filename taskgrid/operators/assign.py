@@ -63,19 +63,16 @@ def equal_split(df: DataFrame, analysts: Sequence[str], seed: int | str = 0,
     derived from the row count, read by a scalar subquery of the same query."""
     names = _names(analysts)
     cols = df.columns
-    if digits is None:
-        digits = slicing.auto_digits(df.agg(F.count(F.lit(1))).scalar())
-    x, bc = slicing.bucket_counts(df, None, seed, digits)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    x, bc = slicing.bucket_counts(df, None, seed, slicing.auto_digits(total) if digits is None else digits)
     k = len(names)
-    tot = bc.groupBy("_g").agg(F.sum("_n").alias("_t"))
-    target, rem = F.floor(F.col("_t") / k), F.col("_t") % k
-    slices = (tot.select("_g", "_t", F.inline(F.array(*[
-                  F.struct(F.lit(i).alias("position"), F.lit(a).alias("analyst")) for i, a in enumerate(names)
-              ])).alias("position", "analyst"))
-              .select("_g", "analyst",
-                      F.when(F.col("position") == 0, F.lit(0)).otherwise(rem + F.col("position") * target)
-                       .cast("bigint").alias("lo"),
-                      (rem + (F.col("position") + 1) * target).cast("bigint").alias("hi")))
+    target, rem = F.floor(total / k).cast("bigint"), (total % k).cast("bigint")
+    # the same empty group as the buckets', again not as a literal
+    slices = (df.sparkSession.range(k).select(
+        F.substring(F.col("id").cast("string"), 1, 0).alias("_g"), F.col("id"),
+        F.element_at(F.array(*[F.lit(a) for a in names]), (F.col("id") + 1).cast("int")).alias("analyst"))
+        .select("_g", "analyst", F.when(F.col("id") == 0, F.lit(0)).otherwise(rem + F.col("id") * target)
+                .cast("bigint").alias("lo"), (rem + (F.col("id") + 1) * target).cast("bigint").alias("hi")))
     return slicing.assign_ranges(x, bc, slices, cols)
 
 
