@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from taskgrid.llm.common import per_text
 from taskgrid.llm.token_counts import SPACE, default_model, word_pattern
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 ALTERNATIVES = 20_000
 GROUP_CHARS = 2 << 20
 IDS_AT_ONCE = 1 << 18
@@ -47,22 +47,38 @@ _LOADED: dict = {}
 _DECODERS: dict = {}
 
 
-class WordTable(dict):
-    """Answers of ``make`` per word. ``turn`` (between groups of texts) starts a new table when this one holds
-    ``CACHE_WORDS``; words of the one before are kept only if they are met again."""
+class WordTable:
+    """Per word its best score, the ids of that segmentation and the loss of the second best, in flat arrays.
+
+    ``turn`` (between groups of texts) starts a new table when this one holds ``CACHE_WORDS`` words; words of the one
+    before are kept only if they are met again."""
 
     def __init__(self, make):
-        self.make, self.old = make, {}
+        self.make, self.old = make, None
+        self.clear()
 
-    def __missing__(self, w):
-        self[w] = hit = self.old.get(w) or self.make(w)
-        return hit
+    def clear(self):
+        self.number: dict[str, int] = {}
+        self.score, self.loss, self.ends, self.flat = array("d"), array("d"), array("q"), array("i")
 
     def turn(self):
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
+        if len(self.number) >= CACHE_WORDS:
+            self.old = (self.number, self.score, self.loss, self.ends, self.flat)
             self.clear()
 
+    def add(self, w: str) -> None:
+        k = self.old[0].get(w) if self.old else None
+        if k is None:
+            score, ids, loss = self.make(w)
+        else:
+            _, scores, losses, ends, flat = self.old
+            score, ids, loss = scores[k], flat[ends[k - 1] if k else 0:ends[k]], losses[k]
+        self.number[w] = len(self.score)
+        self.score.append(score)
+        self.loss.append(loss)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
 
 class Decoder:
     def __init__(self, path: str):
@@ -181,9 +197,9 @@ class Lattice(Decoder):
         return [(s, np.array(self.pieces(word, cuts), np.int32)) for s, cuts in self.n_best(word, n)]
 
     def word(self, w: str) -> tuple:
-        """(best score, its ids as int32 bytes, loss of the second best), from a search for two."""
+        """(best score, its ids, loss of the second best), from a search for two."""
         score, cuts, second = next(self.search(w, 2))
-        return score, array("i", self.pieces(w, cuts)).tobytes(), score - second if second > NONE else float("inf")
+        return score, array("i", self.pieces(w, cuts)), score - second if second > NONE else float("inf")
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """Ids (int32 bytes) of the best segmentation and the ``n`` best scores."""
@@ -203,15 +219,14 @@ class Lattice(Decoder):
         yield from self.encode_group(group, n)
 
     def encode_group(self, group: list[list[str]], n: int) -> Iterator[tuple[bytes, list[float], list[tuple]]]:
-        self.table.turn()
-        words = list(set().union(*group))
-        for w in sorted(filterfalse(self.table.__contains__, words)):
-            self.table[w]
-        score, ids, loss = zip(*map(self.table.__getitem__, words)) if words else ((), (), ())
-        score, loss = np.array(score), np.array(loss)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), np.int32), np.cumsum(size) - size
-        number = {w: k for k, w in enumerate(words)}
+        table = self.table
+        table.turn()
+        for w in sorted(filterfalse(table.number.__contains__, set().union(*group))):
+            table.add(w)
+        number, score, loss = table.number, np.array(table.score), np.array(table.loss)
+        flat, ends_of = np.array(table.flat), np.array(table.ends)
+        size = np.diff(ends_of, prepend=0)
+        start = ends_of - size
         for ws in group:
             if not ws:
                 yield b"", [0.0], []
