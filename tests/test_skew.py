@@ -123,3 +123,25 @@ def test_launch_and_workbook_under_skew(skewed, tmp_dir):
     n = Counter(r["list_name"] == "hot" for r in rows)
     got = {r.analyst: r.tasks_assigned for r in skewed.read.parquet(f"{tmp_dir}/k2/summary").collect()}
     assert got == {"Ann": n[True], "Bo": n[False], "Total": len(rows)}
+
+
+@pytest.mark.parametrize("mode", ["match", "separate"])
+def test_pairs_of_a_heavy_address_are_built_by_many_tasks(skewed, monkeypatch, mode):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(c, "BLOCK", 30, raising=False)
+    rng = random.Random(3)
+
+    def rows(n):
+        return [{"address": rng.choice([None, "hot", "hot", f"x{i}"]), "ali": rng.choice([None, 1, 2, 3]), "zip": str(i),
+                 "list_name": "R", "polygon_status": rng.choice([None, "VerifiedQA", "Draft"])} for i in range(n)]
+    old, new = rows(700), rows(500)
+    d1, d2 = make_tasks(skewed, old), make_tasks(skewed, new)
+    want = brute_summary(old, new, mode == "match")
+    for bucket in ("changed_lost", "changed_never", "lost_only", "clean"):
+        assert c.migration_bucket(d1, d2, bucket, null_keys=mode).count() == want[bucket]
+    joined = c.migration_join(d1, d2, null_keys=mode)
+    assert joined.count() == sum(want.values())
+    assert joined.filter("side = 'both'").select("address", "zip_old", "zip_new").distinct().count() == sum(
+        (o["address"] == n["address"]) and (mode == "match" or n["address"] is not None) for o in old for n in new)
+    shares = [r["count"] for r in joined.filter("side = 'both'").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < 0.5 * sum(shares)
