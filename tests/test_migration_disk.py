@@ -22,7 +22,7 @@ def _shuffled_rows(df) -> int:
         name = node.nodeName()
         if name == "AdaptiveSparkPlan":
             return walk(node.executedPlan())
-        if name in ("ShuffleQueryStage", "BroadcastQueryStage"):
+        if name.endswith("QueryStage"):
             return walk(node.plan())
         own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
         kids = node.children()
@@ -35,7 +35,18 @@ def _rows(rng, addresses):
              "polygon_status": rng.choice([None, "VerifiedQA", "Draft"])} for i, a in enumerate(addresses)]
 
 
-def test_each_file_is_shuffled_once(spark, monkeypatch):
+@pytest.fixture()
+def large(spark):
+    """No join is small enough for a broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    yield spark
+    spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def test_each_file_is_shuffled_once(large, monkeypatch):
+    spark = large
     monkeypatch.setattr(c, "BUCKETS", 8, raising=False)
     rng = random.Random(1)
     old, new = _rows(rng, [f"x{i}" for i in range(800)]), _rows(rng, [f"x{i}" for i in range(400, 1000)])
